@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.llm import simhash
+from motifloom.llm import bpe, chat, decontaminate, digests, simhash, urls
 from motifloom.session import let_workers_import
 
 
@@ -22,8 +22,142 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    rows = said.union(extra).select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))
+    out = chat.format_chat(rows).withColumns(
+        {"turns": chat.read_turns(F.col("formatted")), "learned": chat.read_loss(F.col("formatted"), F.col("loss"))}
+    )
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+URL_RULES = (
+    urls.Rule("allow", "com", "/"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.edit_study(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(ids, 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def tokenizer() -> tuple[str, str]:
+    """Path and pattern of the public vocabulary that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, *tokenizer(), digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_format": op2_chat_format,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_url_filter": op6_url_filter,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op10_document_fingerprint": op10_document_fingerprint,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP2 = """
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length(role) + length(text) + EXTRA)::bigint as formatted_chars
+from said group by conv_id
+"""
+
+def _count(column: str, found: str) -> str:
+    quoted = found.replace("'", "''")
+    return f"(length({column}) - length(replace({column}, '{quoted}', ''))) // {len(found)}"
+
+
+_MARKS = len(chat.TURN + chat.BODY + chat.END)
+_EXTRA = " + ".join(
+    [str(_MARKS)] + [_count(c, "\\") for c in ("role", "text")] + [f"2 * ({_count(c, s)})" for c in ("role", "text") for s in chat.CONTROL]
+)
+_OP2 = _OP2.replace("EXTRA", _EXTRA)
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+_OP4 = f"""
+with doc as (
+  select row_number() over () as rid, doc_id, {_WORDS} as w from documents
+), item as (
+  select item_id, {_WORDS} as w from benchmark
+), phrase as (
+  select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as p
+  from (select item_id, w, least(len(w), 10) as n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as i from item where len(w) > 0)
+), size as (
+  select distinct n from phrase
+), place as (
+  select rid, w, unnest(range(1, len(w) + 1)) as i from doc
+), found as (
+  select rid, i, n, item_id from (select rid, i, n, array_to_string(w[i:i + n - 1], ' ') as p from place, size where i + n - 1 <= len(w)) join phrase using (n, p)
+), hit as (
+  select rid, count(distinct pos) as n_hit from (select rid, unnest(range(i, i + n)) as pos from found) group by rid
+), named as (
+  select rid, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct rid, item_id from found) group by rid
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc left join hit using (rid) left join named using (rid)
+"""
+
+_OP6 = """
+with parts as (
+  select page_id, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+), named as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from parts
+), rules(verdict, rhost, rpath) as (
+  values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), best as (
+  select page_id, arg_max(rhost || rpath, length(rhost || rpath)) as rule, arg_max(verdict, length(rhost || rpath)) as verdict
+  from named join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by page_id
+)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from named left join best using (page_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": _OP2, "op4_benchmark_decontamination": _OP4, "op6_url_filter": _OP6}
