@@ -26,14 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.llm.kernels import Words, as_bytes, chunks, mix, signed, unsigned, xxh64
+from motifloom.llm.skew import cells
 from motifloom.operators.components import components
 from motifloom.session import store
 
 
-#: Most keys of large buckets that are broadcast (16 bytes each); more are joined by a shuffle.
-BROADCAST_KEYS = 20_000
-
-
 @dataclass(frozen=True)
 class SimHash:
     """What to compare. ``bits`` is 64 or 128.
@@ -261,28 +258,6 @@ def _bucket_links(spec: SimHash):
     return run
 
 
-def cells(keyed: DataFrame, most: int, spread: str) -> DataFrame:
-    """Give each row of ``keyed(key, ...)`` the cells it is compared in.
-
-    A key with at most ``most`` rows is one cell. A larger one is cut into
-    chunks of about half of that by a hash of ``spread``, and each pair of
-    chunks is a cell: any two rows of a key meet in one cell at least. The
-    large keys are broadcast only if there are few of them.
-    """
-    hot = keyed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > most)
-    hot = store(hot.select("key", F.ceil(F.col("rows") / (most / 2)).cast("int").alias("parts")), "hot").read()
-    n_hot = hot.count()
-    if not n_hot:
-        return keyed.withColumn("cell", F.lit(0))
-    hot = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
-    mine = F.expr(f"cast(pmod(xxhash64({spread}), parts) as int)")
-    pairs = F.expr(
-        "case when parts is null then array(0) else"
-        " transform(filter(sequence(0, parts - 1), x -> x <> mine), x -> least(x, mine) * parts + greatest(x, mine)) end"
-    )
-    return keyed.join(hot, "key", "left").withColumn("mine", mine).withColumn("cell", F.explode(pairs)).drop("parts", "mine")
-
-
 def near_links(nodes: DataFrame, spec: SimHash) -> DataFrame:
     """Spanning links ``(u, v)`` between ``nodes(node, f0[, f1])`` within the radius."""
     names = [f"f{w}" for w in range(spec.bits // 64)]
