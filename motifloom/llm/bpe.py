@@ -227,18 +227,18 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", dig
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
+        types = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.binary()]
         for batch in batches:
             texts = [t or "" for t in batch.column(len(names)).to_pylist()]
-            cols: list[list] = [[] for _ in added]
             for a, b in chunks(map(len, texts)):
+                cols: list[list] = [[] for _ in added]
                 for ids in e.encode(texts[a:b]):
                     numbers = np.frombuffer(ids, "<u4")
                     back = e.v.decode(numbers)
                     one = (len(numbers), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()) if digests else (numbers.astype(np.int32), back)
                     for col, x in zip(cols, one, strict=True):
                         col.append(x)
-            types = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.binary()]
-            kept = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], [*names, *added])
+                kept = [batch.column(i).slice(a, b - a) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], [*names, *added])
 
     return rows.mapInArrow(run, ", ".join(filter(None, [kinds, *[f"{n} {k}" for n, k in added.items()]])))
