@@ -14,8 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Rows travel to Python in batches of about so many bytes, whatever their number.
+BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
 def let_workers_import(spark: SparkSession) -> None:
-    """Put this package on the Python path that Spark hands to its workers."""
+    """Put this package on the Python path that Spark hands to its workers, and bound the batches they get."""
+    for name, (default, ours) in BATCH_BYTES.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, ours)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
