@@ -25,7 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.llm.kernels import as_bytes, chunks
+from motifloom.llm.kernels import as_bytes, chunks, small_batches
+from motifloom.session import let_workers_import
 
 BATCH_BYTES = 64
 #: Pieces that a worker's memo holds before it starts anew, and pieces merged in one array.
@@ -220,6 +221,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", dig
     ``decoded_sha256`` instead. A null text is empty; ``docs`` keeps all its
     columns but those named here. ``path`` must be readable on the executors.
     """
+    let_workers_import(docs.sparkSession)
     added = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} if digests else {"tokens": "array<int>", "decoded": "binary"}
     names = [c for c in docs.columns if c not in {*added, "_text"}]
     rows = docs.select(*names, F.col(text_col).cast("string").alias("_text"))
@@ -228,7 +230,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", dig
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         types = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.binary()]
-        for batch in batches:
+        for batch in small_batches(batches, len(names)):
             texts = [t or "" for t in batch.column(len(names)).to_pylist()]
             for a, b in chunks(map(len, texts)):
                 cols: list[list] = [[] for _ in added]

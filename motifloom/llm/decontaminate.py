@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.llm.kernels import as_bytes
+from motifloom.llm.kernels import as_bytes, small_batches
+from motifloom.session import let_workers_import
 
 #: Most bytes of test items that one automaton is built from and broadcast.
 BLOCK_BYTES = 16 << 20
@@ -95,7 +96,7 @@ _STATE = "n_words long, hits binary, items array<long>, n_hit long, begins array
 def _scan(found: dict[bytes, set], n_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = None
-        for batch in batches:
+        for batch in small_batches(batches, n_docs):
             scanner = scanner or Scanner(found)
             rows = {n: [] for n in ("n_words", "hits", "items", "n_hit", "begins", "ends")}
             texts = batch.column(n_docs).to_pylist()
@@ -128,6 +129,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
 
     ``docs`` keeps all its columns but those named here.
     """
+    let_workers_import(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1

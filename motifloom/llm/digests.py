@@ -68,12 +68,16 @@ def shown(h1: Column, h2: Column, tie: Column, mixed: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``fingerprint``, ``group_id`` (smallest id of an equal form) and ``group_size``."""
-    marked = with_hash(docs, text_col)
-    groups = digest_groups(docs, id_col, text_col)
-    out = marked.join(groups, ["h1", "h2", "tie"], "left")
+    """``docs`` with ``fingerprint``, ``group_id`` (smallest id of an equal form) and ``group_size``.
+
+    Columns of ``docs`` by these names give way; all others are kept.
+    """
+    added = ("fingerprint", "group_id", "group_size")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
+    marked = with_hash(docs.select(row.alias("_row"), F.col(text_col).cast("string").alias("_text")), "_text").drop("_text")
+    out = marked.join(digest_groups(docs, id_col, text_col), ["h1", "h2", "tie"], "left")
     return out.select(
-        *docs.columns,
+        "_row.*",
         shown(F.col("h1"), F.col("h2"), F.col("tie"), F.col("mixed")).alias("fingerprint"),
         F.col("first_id").alias("group_id"),
         F.col("copies").alias("group_size"),

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 
@@ -39,6 +41,14 @@ def chunks(sizes: Iterable[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield first, at
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices with about ``most`` bytes in a text column, one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        for a, b in chunks(sizes.tolist(), most):
+            yield batch.slice(a, b - a)
+
+
 class Words:
     """The words of several texts, joined by single spaces in one buffer.
 

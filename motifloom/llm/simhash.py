@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.llm.kernels import Words, as_bytes, chunks, mix, signed, unsigned, xxh64
+from motifloom.llm.kernels import Words, as_bytes, chunks, mix, signed, small_batches, unsigned, xxh64
 from motifloom.llm.skew import cells
 from motifloom.operators.components import components
-from motifloom.session import store
+from motifloom.session import let_workers_import, store
 
 
 @dataclass(frozen=True)
@@ -104,12 +104,13 @@ def fingerprints(docs: DataFrame, spec: SimHash, id_col: str = "doc_id", text_co
     names = [f"f{w}" for w in range(spec.bits // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             ids, texts = batch.column(0), [as_bytes(t) for t in batch.column(1).to_pylist()]
             parts = [fingerprint_texts(texts[a:b], spec) for a, b in chunks(map(len, texts))]
             cols = [pa.array(signed(np.concatenate([p[w] for p in parts]))) for w in range(len(names))] if parts else [pa.array([], pa.int64()) for _ in names]
             yield pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", *names])
 
+    let_workers_import(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
@@ -260,6 +261,7 @@ def _bucket_links(spec: SimHash):
 
 def near_links(nodes: DataFrame, spec: SimHash) -> DataFrame:
     """Spanning links ``(u, v)`` between ``nodes(node, f0[, f1])`` within the radius."""
+    let_workers_import(nodes.sparkSession)
     names = [f"f{w}" for w in range(spec.bits // 64)]
     tables = [
         F.xxhash64(F.lit(t), *[F.col(n).bitwiseAND(F.lit(int(signed(np.array([m], np.uint64))[0]))) for n, m in zip(names, masks, strict=True) if m])

@@ -12,7 +12,8 @@ A task lays the contexts of its anchors out as one text and builds a suffix
 array by prefix doubling. Previous and next smaller positions in suffix order
 give each position the longest factor that also starts earlier; larger
 positions likewise give the longest one that starts later. An anchor with very
-many different contexts is cut into chunks, and each pair of chunks is a task.
+many different contexts, like a line found everywhere, is split by more of the
+text around it, see ``search``.
 
 Equal texts are handled as one. Nulls: a null text is empty, null ids come
 first in the order of documents. Repeated rows are places of their own.
@@ -28,65 +29,82 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.llm.kernels import Anchors, as_bytes, chunks, mix, signed
-from motifloom.llm.skew import cells, digest
-from motifloom.session import release, store
+from motifloom.llm.kernels import Anchors, as_bytes, chunks, mix, signed, small_batches
+from motifloom.llm.skew import digest
+from motifloom.session import let_workers_import, release, store
 
-#: Bytes of an anchor, contexts of one anchor in one task, and bytes that one suffix array is built over.
-GRAM, GROUP_CONTEXTS, ARRAY_BYTES = 64, 2048, 1 << 20
+#: Bytes of an anchor, items of one key in one task, and bytes that one suffix array is built over.
+GRAM, GROUP_ITEMS, ARRAY_BYTES = 64, 512, 1 << 19
 
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffix order up to ``depth`` symbols (ties by position), each place's rank, and ranks by length.
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Dense ranks of ``key``."""
+    order = np.argsort(key)
+    out = np.empty(len(key), np.int32)
+    out[order] = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0, dtype=np.int32)))
+    return out
+
+
+def prefix_ranks(codes: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(length, ranks)`` of the strings at all places, for lengths 1, 2, 4, ... and ``depth``.
 
-    Codes are non-negative; the last must be unlike all others. Ranks for
-    lengths 1, 2, 4, ... compare equal strings in one step each.
+    Codes are below 65536 and the last is unlike all others. Short lengths are
+    packed and ranked in one step; the end repeats the last code.
     """
     n = len(codes)
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    levels, k = [(1, rank)], 1
-    while k < depth and int(rank.max(initial=0)) + 1 < n:
+    key = np.zeros(n, np.int64)
+    start = min(depth, 3)  # three codes of 16 bits stay positive
+    for i in range(start):
+        key = key << 16 | codes[np.minimum(np.arange(n) + i, n - 1)]
+    rank, k = _ranks(key), start
+    yield k, rank
+    while k < depth:
         step = min(k, depth - k)
-        ahead = np.minimum(np.arange(n) + step, n - 1)
-        key = rank * n + rank[ahead]
-        order = np.argsort(key)
-        new = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        k += step
-        levels.append((k, rank))
-    order = np.argsort(rank * n + np.arange(n))
-    inverse = np.empty(n, np.int64)
-    inverse[order] = np.arange(n)
-    return order, inverse, levels
-
-
-def nearest_smaller(order: np.ndarray, forward: bool) -> np.ndarray:
-    """For each index of ``order``, the nearest earlier (later) index with a smaller value, or -1.
-
-    By pointer jumping: what a pointer jumps over is larger than what it serves.
+        key, past = rank.astype(np.int64) << 32, max(n - step, 0)
+        key[:past] |= rank[step:]
+        key[past:] |= rank[-1]
+        rank, k = _ranks(key), k + step
+        yield k, rank
+
+
+def suffix_order(rank: np.ndarray) -> np.ndarray:
+    """Places in the order of their ranks, ties by place."""
+    return np.argsort(rank.astype(np.int64) << 32 | np.arange(len(rank)))
+
+
+def nearest_smaller(order: np.ndarray, groups: np.ndarray | None = None) -> np.ndarray:
+    """For each index of ``order``, the nearest earlier one with a smaller value, or -1.
+
+    By pointer jumping: what a pointer jumps over is larger than what it
+    serves. With ``groups``, labels of runs of indices, a search ends at its run.
     """
-    values = order if not forward else order[::-1]
-    n = len(values)
-    near = np.arange(-1, n - 1)
+    near = np.arange(-1, len(order) - 1)
     open_ = np.flatnonzero(near >= 0)
     while len(open_):
-        open_ = open_[values[near[open_]] > values[open_]]
+        if groups is not None:
+            outside = groups[near[open_]] != groups[open_]
+            near[open_[outside]] = -1
+            open_ = open_[~outside]
+        open_ = open_[order[near[open_]] > order[open_]]
         near[open_] = near[near[open_]]
         open_ = open_[near[open_] >= 0]
-    if not forward:
-        return near
-    near = near[::-1]
-    return np.where(near >= 0, n - 1 - near, -1)
+    return near
+
+
+def _both_sides(order: np.ndarray, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Previous and next index of a smaller value, -1 where there is none."""
+    back = nearest_smaller(order[::-1], None if groups is None else groups[::-1])[::-1]
+    return nearest_smaller(order, groups), np.where(back >= 0, len(order) - 1 - back, -1)
 
 
 def common_prefix(a: np.ndarray, b: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Length of the common prefix of suffixes ``a`` and ``b``, as far as ranks go."""
+    """Length of the common prefix of the strings at ``a`` and ``b``, as far as ranks go."""
     n = len(levels[0][1])
     a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
-    for k, rank in reversed(levels):
+    codes = levels[0]
+    for k, rank in [*reversed(levels), codes]:
         same = (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)]) & (a != b)
         out[same] += k
         a[same] += k
@@ -95,26 +113,44 @@ def common_prefix(a: np.ndarray, b: np.ndarray, levels: list[tuple[int, np.ndarr
 
 
 def longest_factors(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """At each place, the longest string that also starts earlier, and later (``depth`` at most matter).
+    """At each place, the longest string that also starts earlier, and later (up to about ``depth``).
 
     The first is the longest-previous-factor array; the second mirrors it.
     """
     n = len(codes)
-    order, inverse, levels = suffix_array(codes, depth)
+    levels = [(1, _ranks(codes.astype(np.int64)))] + [x for x in prefix_ranks(codes, depth) if x[0] > 1]
+    order = suffix_order(levels[-1][1])
     out = []
-    for sign in (1, -1):
-        # Mirrored positions turn "larger" into "smaller" for the second array.
-        seen = order if sign == 1 else n - 1 - order
+    for seen in (order, n - 1 - order):  # mirrored places turn "larger" into "smaller"
         best = np.zeros(n, np.int64)
-        for forward in (False, True):
-            near = nearest_smaller(seen, forward)
+        for near in _both_sides(seen):
             some = np.flatnonzero(near >= 0)
-            length = common_prefix(order[some], order[near[some]], levels)
-            best[order[some]] = np.maximum(best[order[some]], length)
+            best[order[some]] = np.maximum(best[order[some]], common_prefix(order[some], order[near[some]], levels))
         out.append(best)
     return out[0], out[1]
 
 
+def factors_reach(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``longest_factors`` is at least ``depth``.
+
+    Strings that agree that far have one rank and lie in one run of the suffix
+    order, so smaller places are looked for in the run only.
+    """
+    rank = None
+    for _, rank in prefix_ranks(codes, depth):
+        pass
+    order = suffix_order(rank)
+    runs = rank[order]
+    out = []
+    for turn in (False, True):
+        seen = len(codes) - 1 - order if turn else order
+        before, after = _both_sides(seen, runs)
+        flags = np.zeros(len(codes), bool)
+        flags[order] = (before >= 0) | (after >= 0)
+        out.append(flags)
+    return out[0], out[1]
+
+
 def repeats(contexts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start of each context in one joined text, and whether ``depth`` symbols repeat from earlier / later places."""
     size = np.array([len(c) for c in contexts], np.int64)
@@ -124,8 +160,7 @@ def repeats(contexts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray,
     own[first + size] = False
     codes[own] = np.frombuffer(b"".join(contexts), np.uint8)
     codes[first + size] = 256 + np.arange(len(contexts))  # a different end for each
-    before, after = longest_factors(codes, depth)
-    return first, before >= depth, after >= depth
+    return first, *factors_reach(codes, depth)
 
 
 def _anchors(values: bytes, length: int, first: np.ndarray) -> Anchors:
@@ -140,7 +175,7 @@ def _anchor_rows(length: int):
     """Arrow function (d0, d1, doc_id, text) -> (d0, d1, doc_id, anchors): each anchor, twice if it recurs in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 3):
             texts = [as_bytes(t) for t in batch.column(3).to_pylist()]
             lists = []
             for a, b in chunks(map(len, texts)):
@@ -154,7 +189,7 @@ def _anchor_rows(length: int):
     return run
 
 
-_CONTEXT = "c0 long, c1 long, anchor long, d0 long, d1 long, doc_id long, at long, strings long, context binary"
+_CONTEXT = "c0 long, c1 long, anchor long, d0 long, d1 long, doc_id long, at long, strings long, mark long, context binary"
 
 
 def _context_rows(length: int):
@@ -162,7 +197,7 @@ def _context_rows(length: int):
     names = [x.split()[0] for x in _CONTEXT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 3):
             keys = [batch.column(c).to_pylist() for c in range(3)]
             texts, wanted = [as_bytes(t) for t in batch.column(3).to_pylist()], batch.column(4)
             for a, b in chunks(map(len, texts)):
@@ -176,56 +211,139 @@ def _context_rows(length: int):
                     take = np.isin(hashes, wanted[a + i].values.to_numpy())
                     lows = (found.lo[mine][take] - first[i]).tolist()
                     highs = (found.hi[mine][take] - first[i]).tolist()
-                    for lo, hi, anchor in zip(lows, highs, hashes[take].tolist(), strict=True):
+                    marks = (found.pos[mine][take] - first[i]).tolist()
+                    for lo, hi, mark, anchor in zip(lows, highs, marks, hashes[take].tolist(), strict=True):
                         context = texts[a + i][lo : hi + length]
                         name = xxhash.xxh3_128_digest(context)
                         c0, c1 = int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True)
                         new = name not in sent
                         sent.add(name)
-                        row = (c0, c1, anchor, *[k[a + i] for k in keys], lo, hi - lo + 1, context if new else None)
+                        row = (c0, c1, anchor, *[k[a + i] for k in keys], lo, hi - lo + 1, mark - lo, context if new else None)
                         for col, x in zip(out, row, strict=True):
                             col.append(x)
-                kinds = [pa.int64()] * 8 + [pa.binary()]
+                kinds = [pa.int64()] * 9 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
     return run
 
 
 def _search(length: int):
-    """Arrow function over contexts (key, cell, c0, c1, place, context) sorted so: runs of repeated string starts."""
+    """Arrow function over items (key, h0, h1, body), sorted by key and place: runs of repeated string starts."""
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
-        contexts = [r[4] for r in rows]
-        first, before, after = repeats(contexts, length)
+        bodies = [r[3] for r in rows]
+        first, before, after = repeats(bodies, length)
         cols: list[list] = [[], [], [], [], []]
-        for row, at in zip(rows, first.tolist(), strict=True):
-            n = len(row[4]) - length + 1
-            for flags, later in ((before[at : at + n], False), (after[at : at + n], True)):
-                edge = np.diff(np.concatenate(([False], flags, [False])).astype(np.int8))
-                for begin, end in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-                    for col, x in zip(cols, (row[2], row[3], begin, end, later), strict=True):
-                        col.append(x)
+        for flags, later in ((before, False), (after, True)):
+            # No string starts in the last bytes of a body, so runs end inside it.
+            edge = np.diff(np.concatenate(([False], flags, [False])).astype(np.int8))
+            begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            owner = np.searchsorted(first, begin, "right") - 1
+            for i, b, e in zip(owner.tolist(), (begin - first[owner]).tolist(), (end - first[owner]).tolist(), strict=True):
+                for col, x in zip(cols, (rows[i][1], rows[i][2], b, e, later), strict=True):
+                    col.append(x)
         kinds = [pa.int64()] * 4 + [pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["c0", "c1", "begin", "end", "later"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["h0", "h1", "begin", "end", "later"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, group = 0, None
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in range(5)], strict=True):
-                if row[:2] != group and size >= ARRAY_BYTES:
+            for row in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
+                if row[0] != group and size >= ARRAY_BYTES:
                     yield emit(held)
                     held, size = [], 0
-                group = row[:2]
+                group = row[0]
                 held.append(row)
-                size += len(row[4])
+                size += len(row[3])
         if held:
             yield emit(held)
 
     return run
 
 
+_ITEM = "key long, h0 long, h1 long, place struct<doc_id:bigint,d0:bigint,d1:bigint,at:bigint>, mark long, strings long, low long, high long, body binary"
+_PART = _ITEM + ", g0 long, g1 long, base long"
+
+
+def _halve(length: int):
+    """Arrow function: split items by how far their strings start before the anchor, in two.
+
+    All strings of a half share a core around the anchor that is longer than
+    that of the whole; the core is the half's key. Strings that are equal fall
+    into the same half with equal cores.
+    """
+    names = [x.split()[0] for x in ("key long, h0 long, h1 long, place x, mark long, strings long, low long, high long, body x, g0 long, g1 long, base long").split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            kind = batch.schema.field("place").type
+            for key, h0, h1, place, mark, strings, low, high, body in zip(*[batch.column(c).to_pylist() for c in range(9)], strict=True):
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    begin, end = max(0, mark - b), min(strings - 1, mark - a)
+                    if begin > end:
+                        continue
+                    part = body[begin : end + length]
+                    core = body[mark - a : mark - b + length]
+                    new = xxhash.xxh64_intdigest(b"%d %d %b" % (key, a, core)) - (1 << 63)
+                    name = xxhash.xxh3_128_digest(b"%d %b" % (mark - begin, part))
+                    ids = int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True)
+                    row = (new, *ids, place | {"at": place["at"] + begin}, mark - begin, end - begin + 1, a, b, part, h0, h1, begin)
+                    for col, x in zip(out, row, strict=True):
+                        col.append(x)
+            kinds = [pa.int64()] * 3 + [kind] + [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+
+    return run
+
+
+def search(items: DataFrame, length: int) -> DataFrame:
+    """``(h0, h1, begin, end, later)`` for ``items`` of one level: repeated starts, and whether from a later place.
+
+    Items of a key are searched together if they are few. The items of a large
+    key are halved, equal halves become one, and the halves are searched under
+    their own, rarer keys; at the end all strings of a key are equal.
+    """
+    found, back = None, None  # back: (h0, h1) of this level to (c0, c1) of the first and an offset
+    while True:
+        sizes = store(items.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key-sizes").read()
+        cold = items.join(sizes.where(F.col("m") <= GROUP_ITEMS).select("key"), "key")
+        dealt = cold.select("key", "h0", "h1", "body", "place").repartition("key").sortWithinPartitions("key", "place", "h0", "h1")
+        runs = dealt.select("key", "h0", "h1", "body").mapInArrow(_search(length), "h0 long, h1 long, begin long, end long, later boolean")
+        large = sizes.where(F.col("m") > GROUP_ITEMS).select("key")
+        more = large.limit(1).count() > 0
+        if more:
+            parts = store(items.join(large, "key").select(*[x.split()[0] for x in _ITEM.split(", ")]).mapInArrow(_halve(length), _PART), "halves").read()
+            alike = parts.groupBy("key", "h0", "h1").agg(
+                F.min("place").alias("place"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("mark", "strings", "low", "high", "body")]
+            )
+            alike = store(alike, "half-kinds").read()
+            twice = parts.join(alike.where("n > 1").select("key", "h0", "h1", F.col("place").alias("p")), ["key", "h0", "h1"])
+            twice = twice.select(
+                F.col("g0").alias("h0"), F.col("g1").alias("h1"), F.col("base").alias("begin"), (F.col("base") + F.col("strings")).alias("end"),
+                F.col("place").eqNullSafe(F.col("p")).alias("later"),
+            )
+            runs = runs.union(twice)
+        if back is not None:
+            runs = runs.join(back, ["h0", "h1"]).select("c0", "c1", (F.col("begin") + F.col("base")).alias("begin"), (F.col("end") + F.col("base")).alias("end"), "later")
+        runs = store(runs.toDF("h0", "h1", "begin", "end", "later"), "runs").read()
+        found = runs if found is None else found.union(runs)
+        if not more:
+            return found
+        step = parts.select("h0", "h1", "g0", "g1", "base").distinct()
+        if back is None:
+            back = step.withColumnsRenamed({"g0": "c0", "g1": "c1"})
+        else:
+            up = back.withColumnsRenamed({"h0": "g0", "h1": "g1", "base": "before"})
+            back = step.join(up, ["g0", "g1"]).select("h0", "h1", "c0", "c1", (F.col("base") + F.col("before")).alias("base")).distinct()
+        back = store(back, "half-owners").read()
+        items = alike.drop("n")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
+    let_workers_import(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.select(*digest(F.col("text")), "doc_id", "text")
 
@@ -239,35 +357,33 @@ def repeated_starts(docs: DataFrame, texts: DataFrame, length: int, keep: str) -
     rows = keyed(docs)
     rows = rows.join(lists, (rows.d0 == lists.e0) & (rows.d1 == lists.e1) & rows.doc_id.eqNullSafe(lists.e2))
     found = store(rows.select("d0", "d1", "doc_id", "text", "anchors").mapInArrow(_context_rows(length), _CONTEXT), "contexts").read()
-    places = found.drop("context").distinct()
+    places = found.drop("context", "mark").distinct()
     order = F.struct("doc_id", "d0", "d1", "at")
     contexts = places.groupBy("c0", "c1").agg(F.count("*").alias("n"), F.min(order).alias("place"), F.first("anchor").alias("key"), F.first("strings").alias("strings"))
     contexts = store(contexts, "context-places").read()
-    groups = contexts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    apart = cells(contexts.join(groups, "key").select("key", "c0", "c1", "place"), GROUP_CONTEXTS, "c0, c1")
-    bodies = found.where("context is not null").groupBy("c0", "c1").agg(F.first("context").alias("context"))
-    dealt = apart.join(bodies, ["c0", "c1"]).repartition("key", "cell").sortWithinPartitions("key", "cell", "place", "c0", "c1")
-    searched = dealt.select("key", F.col("cell").cast("long"), "c0", "c1", "context").mapInArrow(_search(length), "c0 long, c1 long, begin long, end long, later boolean")
-    searched = store(searched, "repeats").read()
-    copied = contexts.where("n > 1")
+    bodies = found.where("context is not null").groupBy("c0", "c1").agg(F.first("context").alias("body"), F.first("mark").alias("mark"))
+    shared_keys = contexts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    items = contexts.join(shared_keys, "key").drop("n").join(bodies, ["c0", "c1"]).withColumnsRenamed({"c0": "h0", "c1": "h1"})
+    items = items.withColumns({"low": F.lit(0).cast("long"), "high": F.lit(length - min(GRAM, length)).cast("long")})
+    items = store(items.select(*[x.split()[0] for x in _ITEM.split(", ")]), "items").read()
+    runs = search(items, length).withColumnsRenamed({"h0": "c0", "h1": "c1"})
+    copied = contexts.where("n > 1").select("c0", "c1", "place", "strings")
+    whole = F.struct(F.lit(0).cast("long").alias("begin"), F.col("strings").alias("end"))
     if keep == "first":
-        runs = searched.where("not later").select("c0", "c1", "begin", "end")
-        hits = runs.join(places, ["c0", "c1"])
-        again = places.join(copied.select("c0", "c1", "place", "strings"), ["c0", "c1", "strings"]).where(~order.eqNullSafe(F.col("place")))
-        again = again.select("d0", "d1", F.col("at").alias("begin"), (F.col("at") + F.col("strings")).alias("end"))
-    else:
-        runs = searched.select("c0", "c1", "begin", "end").union(copied.select("c0", "c1", F.lit(0).cast("long"), "strings"))
-        hits = runs.join(places, ["c0", "c1"])
-        again = None
-    hits = hits.select("d0", "d1", (F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("end")).alias("end"))
-    return hits if again is None else hits.union(again)
+        runs = runs.where("not later")
+    each = runs.groupBy("c0", "c1").agg(F.collect_set(F.struct("begin", "end")).alias("runs"))
+    both = contexts.select("c0", "c1").join(each, ["c0", "c1"], "left").join(copied, ["c0", "c1"], "left").where("runs is not null or strings is not null")
+    hits = places.select("c0", "c1", "d0", "d1", "doc_id", "at").join(both, ["c0", "c1"])
+    copy = F.col("strings").isNotNull() if keep == "none" else F.col("strings").isNotNull() & ~order.eqNullSafe(F.col("place"))
+    mine = F.when(copy, F.array(whole)).otherwise(F.coalesce("runs", F.array().cast("array<struct<begin:bigint,end:bigint>>")))
+    return hits.select("d0", "d1", F.explode(F.transform(mine, lambda r: F.struct((r["begin"] + F.col("at")).alias("begin"), (r["end"] + F.col("at")).alias("end")))).alias("r")).select("d0", "d1", "r.*")
 
 
 def _cut(length: int, keep: str, n_docs: int):
     """Arrow function: remove the bytes that runs of string starts cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, n_docs):
             ids = batch.column("doc_id").to_pylist()
             texts, least, copies, runs = (batch.column(n_docs + i).to_pylist() for i in range(4))
             out: list[list] = [[], [], [], []]

@@ -11,7 +11,7 @@ does not by itself move the score.
 Nulls: a null text is empty and gets the score of a text without features;
 rows with a null label or id are not learnt from. Of repeated labels the
 highest counts. Without labelled rows of both classes each score is the share
-of toxic rows (0.5 without any).
+of toxic rows (0 without any).
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motifloom.llm.kernels import small_batches
+from motifloom.session import let_workers_import
+
 #: Identity terms, in sets within which terms are swapped.
 IDENTITY = (
     ("men", "women"), ("man", "woman"), ("boys", "girls"), ("gay", "straight", "lesbian", "bisexual"),
@@ -165,7 +168,7 @@ def fit(rows: list[tuple[str, int]], s: Settings) -> Model:
     """Fit on ``(text, label)`` rows, by Adam on all rows at once; the classes weigh the same."""
     labels = np.array([y for _, y in rows], int)
     if len(set(labels.tolist())) < 2:
-        share = float(labels.mean()) if len(rows) else 0.5
+        share = float(labels.mean()) if len(rows) else 0.0
         return Model({}, float(np.log((share + 1e-6) / (1 - share + 1e-6))), s.prefixes)
     known, bags, pairs = _Names(), [], []
     for text, _ in rows:
@@ -222,6 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on). Only the text is looked at."""
+    let_workers_import(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("score", "predicted", "_text")]
     rows = docs.select(*names, F.col(text_col).cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -230,7 +234,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, prefixes = json.loads(packed)
         mine = Model(weights, bias, tuple(prefixes))
-        for batch in batches:
+        for batch in small_batches(batches, len(names)):
             scores = [mine.score(t or "") for t in batch.column(len(names)).to_pylist()]
             kept = [batch.column(i) for i in range(len(names))]
             cols = [pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32())]

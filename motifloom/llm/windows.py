@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.llm.kernels import Anchors, Rolling, Words, as_bytes, chunks, mix, signed, spans, unsigned, xxh64
+from motifloom.llm.kernels import Anchors, Rolling, Words, as_bytes, chunks, mix, signed, small_batches, spans, unsigned, xxh64
 from motifloom.llm.skew import digest
-from motifloom.session import delete, release, shared_dir, store
+from motifloom.session import delete, let_workers_import, release, shared_dir, store
 
 #: Words of an anchor. Shorter anchors repeat by chance, longer ones are picked more often.
 GRAM = 15
@@ -48,7 +48,7 @@ def _anchor_rows(size: int):
     """Arrow function (d0, d1, doc_id, text) -> (d0, d1, doc_id, anchors): distinct anchors of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 3):
             texts = [as_bytes(t) for t in batch.column(3).to_pylist()]
             lists: list[np.ndarray] = []
             for a, b in chunks(map(len, texts)):
@@ -65,7 +65,7 @@ def _window_rows(size: int):
     """Arrow function (d0, d1, doc_id, text, anchors) -> windows that picked one of the anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 3):
             keys = [batch.column(c).to_numpy() for c in range(3)]
             texts = [as_bytes(t) for t in batch.column(3).to_pylist()]
             wanted = batch.column(4)
@@ -146,6 +146,7 @@ class WindowIndex:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """``(d0, d1, doc_id, text)`` of ``docs``, with a digest of each text."""
+    let_workers_import(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.select(*digest(F.col("text")), "doc_id", "text")
 
@@ -170,7 +171,7 @@ def _removed(size: int, n_docs: int):
     """Arrow function: cut the words of hit windows, or all of them if the text repeats a smaller id's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, n_docs):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column(n_docs).to_pylist()
             least, hits = batch.column(n_docs + 1).to_pylist(), batch.column(n_docs + 2)
             kept, total, gone = [], [], []
