@@ -241,7 +241,7 @@ _TRUTH = "select * from (" + " union all ".join(
 
 ORACLE_SQL: dict[str, str] = {
     "edge_list": f"with recursive{_RAW} select u, v from raw",
-    "scan_stats": f"with recursive{_RAW} select 3 * count(*) as n_raw, count(*) as loops, 2 * count(*) as n_kept, count(*) as n_edges from raw",
+    "scan_stats": f"with m as (select distinct l_orderkey as g, l_partkey as p from lineitem where l_quantity >= {QUANTITY}), pair as (select x.p as u, y.p as v from m x join m y on x.g = y.g and x.p < y.p) select 3 * count(*) as n_raw, count(*) as loops, 2 * count(*) as n_kept, count(distinct (u, v)) as n_edges from pair",
     "components": f"with recursive{_RAW} select comp.c as comp_id, count(distinct node) as n_nodes, (select count(*) from raw join comp x on raw.u = x.node where x.c = comp.c) as n_edges from comp group by comp.c",
     "lcc_edges": f"{_GRAPH} select u, v from e",
     "neighbors": f"{_GRAPH} select u, string_agg(v::varchar, ',' order by v) as nbrs, count(*) as d from adj group by u",
