@@ -1,7 +1,7 @@
 """Toxicity classifier with counterfactual regularisation.
 
-Features: the words of a text and their leading characters, each present or
-not, so that inflected forms share evidence. Model: logistic regression on
+Features: the words of a text and their leading characters, so that inflected
+forms share evidence; each present at all, repeated, and frequent, or not. Model: logistic regression on
 features that tell the classes apart, fitted on at most ``per_class`` labelled
 rows of each class. Regularisation: wherever a labelled sentence names a
 group, the name is swapped for another of its set, and the squared change of
@@ -48,10 +48,11 @@ class Settings:
     per_class: int = 4000
     features: int = 4096
     prefixes: tuple[int, ...] = (3, 4, 5, 6)
-    least_docs: int = 2
+    least_docs: int = 3
     least_z: float = 3.5
     swap_weight: float = 1.0
-    ridge: float = 1e-3
+    ridge: float = 3e-4
+    toxic_weight: float = 2.0
     rounds: int = 400
     identity: tuple[tuple[str, ...], ...] = IDENTITY
 
@@ -68,8 +69,23 @@ def features_of(word: str, prefixes: tuple[int, ...]) -> list[str]:
     return [word, *[word[:n] + "*" for n in prefixes if len(word) > n]]
 
 
-def bag(words: set[str], prefixes: tuple[int, ...]) -> set[str]:
-    return {f for w in words for f in features_of(w, prefixes)}
+#: A feature is also marked as frequent if at least one word in so many has it.
+FREQUENT = 100
+
+
+def levels(counts: dict[str, int], n_words: int) -> list[str]:
+    """Features that a text has at all, more than once (``+``), and frequently (``%``)."""
+    out = list(counts)
+    out += [f + "+" for f, n in counts.items() if n > 1]
+    return out + [f + "%" for f, n in counts.items() if n * FREQUENT >= n_words]
+
+
+def bag(words: list[str], prefixes: tuple[int, ...]) -> set[str]:
+    counts: Counter = Counter()
+    for word, n in Counter(words).items():
+        for f in features_of(word, prefixes):
+            counts[f] += n
+    return set(levels(counts, len(words)))
 
 
 @dataclass
@@ -78,31 +94,32 @@ class Model:
     bias: float
     prefixes: tuple[int, ...]
     memo: dict[str, tuple] = field(default_factory=dict, repr=False, compare=False)
+    base: set[str] = field(default_factory=set, repr=False, compare=False)
+
+    def __post_init__(self):
+        self.base = {f.rstrip("+%") for f in self.weights}
 
     def logit(self, text: str) -> float:
         if len(self.memo) > 200_000:
             self.memo = {}
-        seen: dict[str, float] = {}
-        memo, weights = self.memo, self.weights
-        for word in set(words_of(text)):
+        counts: dict[str, int] = {}
+        memo, words = self.memo, words_of(text)
+        for word, n in Counter(words).items():
             known = memo.get(word)
             if known is None:
-                known = memo[word] = tuple(f for f in features_of(word, self.prefixes) if f in weights)
+                known = memo[word] = tuple(f for f in features_of(word, self.prefixes) if f in self.base)
             for f in known:
-                seen[f] = weights[f]
-        return self.bias + sum(seen[f] for f in sorted(seen))
+                counts[f] = counts.get(f, 0) + n
+        return self.bias + sum(self.weights.get(f, 0.0) for f in sorted(levels(counts, len(words))))
 
     def score(self, text: str) -> float:
         z = self.logit(text)
         return float(1 / (1 + np.exp(-z))) if z > -700 else 0.0
 
 
-def swapped(words: set[str], identity: tuple[tuple[str, ...], ...]) -> set[str] | None:
+def swapped(words: list[str], turn: dict[str, str]) -> list[str] | None:
     """The words with each identity term replaced by the next of its set; null if there is none."""
-    turn = {t: s[(i + 1) % len(s)] for s in identity for i, t in enumerate(s)}
-    if not words & turn.keys():
-        return None
-    return {turn.get(w, w) for w in words}
+    return [turn.get(w, w) for w in words] if any(w in turn for w in words) else None
 
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
@@ -110,13 +127,12 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 
 def examples(text: str, s: Settings) -> tuple[set[str], list[tuple[set[str], set[str]]]]:
     """A text's features, and the features before and after a swap for each sentence that names a group."""
-    terms = {t for group in s.identity for t in group}
-    pairs = []
-    words = set(words_of(text))
-    if words & terms:
+    turn = {t: group[(i + 1) % len(group)] for group in s.identity for i, t in enumerate(group)}
+    words, pairs = words_of(text), []
+    if not turn.keys().isdisjoint(words):
         for sentence in _SENTENCE.split(text):
-            mine = set(words_of(sentence))
-            other = swapped(mine, s.identity)
+            mine = words_of(sentence)
+            other = swapped(mine, turn)
             if other is not None:
                 pairs.append((bag(mine, s.prefixes), bag(other, s.prefixes)))
     return bag(words, s.prefixes), pairs
@@ -165,7 +181,11 @@ class _Rows:
 
 
 def fit(rows: list[tuple[str, int]], s: Settings) -> Model:
-    """Fit on ``(text, label)`` rows, by Adam on all rows at once; the classes weigh the same."""
+    """Fit on ``(text, label)`` rows, by Adam on all rows at once; texts that repeat count once, with their highest label."""
+    once: dict[str, int] = {}
+    for text, label in rows:
+        once[text] = max(label, once.get(text, 0))
+    rows = list(once.items())
     labels = np.array([y for _, y in rows], int)
     if len(set(labels.tolist())) < 2:
         share = float(labels.mean()) if len(rows) else 0.0
@@ -186,7 +206,8 @@ def fit(rows: list[tuple[str, int]], s: Settings) -> Model:
 
     x = _Rows([dict.fromkeys(kept(b), 1.0) for b in bags], len(names))
     d = _Rows([dict.fromkeys(kept(up), 1.0) | dict.fromkeys(kept(down), -1.0) for up, down in pairs], len(names))
-    weight = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
+    weight = np.where(labels == 1, s.toxic_weight, 1.0)
+    weight /= weight.sum()
     w, bias = np.zeros(len(names)), 0.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, s.rounds + 1):
