@@ -187,4 +187,95 @@ with parts as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from named left join best using (page_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": _OP2, "op4_benchmark_decontamination": _OP4, "op6_url_filter": _OP6}
+_OP1 = """
+with line as (
+  select doc_id, i as line_no, ls[i] as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null))
+), token as (
+  select doc_id, line_no, list_transform(regexp_extract_all(line, '[^ \\x09-\\x0D]+'), lambda t: case when regexp_matches(t, '[0-9]') then chr(1) else t end) as k from line
+), parsed as (
+  select *, len(k) as n, {'n': len(k), 'lead': k[1:3]} as leaf from token where len(k) >= 4
+), exact as (
+  select k, min((doc_id, line_no)) as place from parsed group by k having count(distinct doc_id) >= 3
+), by_line as (
+  select doc_id, line_no from parsed join exact using (k) where (doc_id, line_no) <> place
+), shared as (
+  select leaf from parsed group by leaf having count(*) >= 3 and count(distinct k) > 1
+), member as (
+  select doc_id, line_no, leaf, n, k from parsed where leaf in (select leaf from shared)
+), place as (
+  select doc_id, line_no, leaf, n, unnest(range(1, n + 1)) as i, unnest(k) as t from member
+), vote as (
+  select leaf, i, t, count(*) as c from place group by leaf, i, t
+), constant as (
+  select leaf, i, arg_max(t, c) as t from vote group by leaf, i having max(c) * 2 > sum(c)
+), close as (
+  select p.doc_id, p.line_no, p.leaf from place p join constant c on p.leaf = c.leaf and p.i = c.i and p.t = c.t
+  group by p.doc_id, p.line_no, p.leaf, p.n having count(*) >= p.n * 0.8::double
+), template as (
+  select leaf, min((doc_id, line_no)) as place from close group by leaf having count(distinct doc_id) >= 3
+), by_leaf as (
+  select doc_id, line_no from close join template using (leaf) where (doc_id, line_no) <> place
+), dropped as (
+  select doc_id, line_no from by_line union select doc_id, line_no from by_leaf
+), kept as (
+  select doc_id, string_agg(line, chr(10) order by line_no) as text from line anti join dropped using (doc_id, line_no) group by doc_id
+)
+select d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines, (select count(*) from dropped x where x.doc_id = d.doc_id) as n_dropped,
+  case when d.text is not null then sha256(coalesce(kept.text, '')) end as kept_sha256
+from documents d left join kept using (doc_id)
+"""
+
+_OP3 = """
+with raw as (
+  select doc_id, encode(coalesce(text, '')) as b from documents
+), start as (
+  select doc_id, i, md5(b[i:i + 399]) as h from (select doc_id, b, unnest(range(1, octet_length(b) - 398)) as i from raw where octet_length(b) >= 400)
+), often as (
+  select h from start group by h having count(*) > 1
+), hit as (
+  select doc_id, i, lag(i) over (partition by doc_id order by i) as before from start where h in (select h from often)
+), piece as (
+  select doc_id, i, sum(case when before is null or i > before + 400 then 1 else 0 end) over (partition by doc_id order by i) as run from hit
+), span as (
+  select doc_id, run, min(i) as b, max(i) + 400 as e from piece group by doc_id, run
+), gap as (
+  select doc_id, coalesce(lag(e) over w, 1) as b, b as e from span window w as (partition by doc_id order by b)
+  union all select doc_id, max(e), null from span group by doc_id
+), kept as (
+  select doc_id, string_agg(hex(case when gap.e is null then raw.b[gap.b:] else raw.b[gap.b:gap.e - 1] end), '' order by gap.b) as k from gap join raw using (doc_id) where gap.e is null or gap.e > gap.b group by doc_id
+), sums as (
+  select doc_id, sum(e - b) as n, count(*) as c from span group by doc_id
+)
+select doc_id, octet_length(raw.b)::bigint as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(c, 0)::bigint as n_spans,
+  sha256(case when c is null then raw.b else unhex(coalesce(k, '')) end) as kept_sha256
+from raw left join sums using (doc_id) left join kept using (doc_id)
+"""
+
+_OP7 = """
+with doc as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') as w from documents
+), win as (
+  select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from doc where len(w) >= 50)
+), first as (
+  select h, min(doc_id) as f from win group by h
+), hit as (
+  select distinct doc_id, unnest(range(i, i + 50)) as i from win join first using (h) where f < doc_id
+), word as (
+  select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as t from doc
+), kept as (
+  select doc_id, string_agg(t, ' ' order by i) as k from word anti join hit using (doc_id, i) group by doc_id
+), gone as (
+  select doc_id, count(*) as n from hit group by doc_id
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(k, '')) as kept_sha256
+from doc left join gone using (doc_id) left join kept using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": _OP1,
+    "op2_chat_format": _OP2,
+    "op3_suffix_dedup": _OP3,
+    "op4_benchmark_decontamination": _OP4,
+    "op6_url_filter": _OP6,
+    "op7_substring_dedup": _OP7,
+}
