@@ -6,7 +6,11 @@ import atexit
 import gc
 import os
 import tempfile
+import threading
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,16 +56,29 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_open = threading.local()
+
+
 class Stored:
-    """A table written to the shared folder, dropped by ``drop`` or at exit."""
+    """A table written to the shared folder, dropped by ``drop``, with its scratch block, or at exit."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.block = getattr(_open, "block", None)
+        if self.block is not None:
+            self.block.append(self)
         atexit.register(self.drop)
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
+    def keep(self) -> Stored:
+        """Let the table outlive its scratch block."""
+        if self.block is not None:
+            self.block.remove(self)
+            self.block = None
+        return self
+
     def drop(self) -> None:
         try:
             delete(self.spark, self.path)
@@ -70,6 +87,20 @@ class Stored:
         atexit.unregister(self.drop)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A block whose stored tables are dropped at its end, but for those kept."""
+    outer = getattr(_open, "block", None)
+    _open.block = mine = []
+    try:
+        yield
+    finally:
+        _open.block = outer
+        for table in list(mine):
+            table.drop()
+        release(spark)
+
+
 def store(df: DataFrame, label: str) -> Stored:
     """Write ``df`` to the shared folder, which cuts its lineage.
 
@@ -80,11 +111,17 @@ def store(df: DataFrame, label: str) -> Stored:
     path = f"{shared_dir(spark)}/motifloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
-    release(spark)
+    gc.collect()
+    spark._jvm.System.gc()
     return Stored(spark, path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files that nothing refers to."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner drop shuffle files that nothing refers to.
+
+    Twice, as the bridge to the JVM lets go of collected objects a little later.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.1)
