@@ -28,7 +28,11 @@ from pyspark.sql import functions as F
 from motifloom.llm.kernels import Words, as_bytes, chunks, mix, signed, small_batches, unsigned, xxh64
 from motifloom.llm.skew import cells
 from motifloom.operators.components import components
-from motifloom.session import let_workers_import, store
+from motifloom.session import let_workers_import, scratch, store
+
+
+#: Rows of whole buckets that are compared in one go: wide steps, and some ten megabytes.
+RUN_ROWS = 150_000
 
 
 @dataclass(frozen=True)
@@ -210,9 +214,9 @@ def links(key: np.ndarray, words: list[np.ndarray], radius: int) -> tuple[np.nda
         ask = rest[label[rest] != label[rest + t]]
         if not len(ask):
             continue
-        where, slot = np.unique(ask >> 6, return_inverse=True)
-        want = np.zeros(len(where), np.uint64)
-        np.bitwise_or.at(want, slot, np.uint64(1) << (ask & 63).astype(np.uint64))
+        heads = np.flatnonzero(np.diff(ask >> 6, prepend=-1))
+        where, slot = ask[heads] >> 6, np.repeat(np.arange(len(heads)), np.diff(heads, append=len(ask)))
+        want = np.bitwise_or.reduceat(np.uint64(1) << (ask & 63).astype(np.uint64), heads)
         hit = planes.within(t, radius, (where, want))
         found = ask[(hit[slot] >> (ask & 63).astype(np.uint64)) & np.uint64(1) == 1]
         for i in found.tolist():
@@ -241,20 +245,21 @@ def _bucket_links(spec: SimHash):
         return pa.RecordBatch.from_arrays([pa.array(cols[2][i]), pa.array(cols[2][j])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []
+        rows, goal = 0, RUN_ROWS
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3 + n_words)]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if not len(cols[0]):
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3 + n_words)])
+            rows += batch.num_rows
+            if rows < goal:
                 continue
-            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-            cut = int(np.argmax(last))
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.argmax((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])))
             if cut:
                 yield emit([c[:cut] for c in cols])
-            held = [c[cut:] for c in cols]
-        if held is not None:
-            yield emit(held)
+            held, rows = [[c[cut:] for c in cols]], rows - cut
+            goal = max(RUN_ROWS, 2 * rows)
+        if rows:
+            yield emit([np.concatenate(x) for x in zip(*held, strict=True)])
 
     return run
 
@@ -280,8 +285,14 @@ def near_groups(docs: DataFrame, spec: SimHash, id_col: str = "doc_id", text_col
     without words link with one another. Null ids take part in no group: their
     ``component_id`` is null. Repeated ids keep one row each.
     """
+    with scratch(docs.sparkSession):
+        out = store(_near_groups(fingerprints(docs, spec, id_col, text_col), spec), "near-groups").keep()
+    return out.read()
+
+
+def _near_groups(prints: DataFrame, spec: SimHash) -> DataFrame:
     names = [f"f{w}" for w in range(spec.bits // 64)]
-    marks = store(fingerprints(docs, spec, id_col, text_col), "simhash").read()
+    marks = store(prints, "simhash").read()
     nodes = store(marks.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node")), "simhash-nodes").read()
     # One id may carry several texts: link its fingerprints through the id.
     several = marks.where("doc_id is not null").join(nodes, names).groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"))
