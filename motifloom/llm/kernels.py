@@ -6,13 +6,14 @@ so memory follows the chunk and the longest text, not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 # The primes of the public XXH64 specification.
 P1, P2, P3, P4, P5 = (
@@ -42,11 +43,26 @@ def chunks(sizes: Iterable[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices with about ``most`` bytes in a text column, one row at least."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        for a, b in chunks(sizes.tolist(), most):
-            yield batch.slice(a, b - a)
+    """The same rows in slices with about ``most`` bytes in a text column, one row at least.
+
+    Workers outlive their tasks, so memory goes back to the system at the end.
+    """
+    try:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            for a, b in chunks(sizes.tolist(), most):
+                yield batch.slice(a, b - a)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 class Words:
