@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.operators.components import components
-from motifloom.session import store
+from motifloom.session import scratch, store
 
 
 class Rule(NamedTuple):
@@ -117,7 +117,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None
     found = alias_edges(pages)
     if edges is not None:
         found = found.union(edges.select(address(F.col("u")), address(F.col("v"))).where("u is not null and v is not null"))
-    classes = store(components(found), "url-classes").read()
+    with scratch(pages.sparkSession):
+        classes = store(components(found), "url-classes").keep()
+    classes = classes.read()
     named = classes.select("component", F.col("node").alias("address"), host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
     blocked = judge(named, rules, "address").where("rule_verdict = 'block'").select("component").distinct()
     tainted = classes.join(blocked, "component", "left_semi").select(F.col("node").alias("address"), F.lit(True).alias("tainted"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from motifloom.llm.kernels import Anchors, Rolling, Words, as_bytes, chunks, mix, signed, small_batches, spans, unsigned, xxh64
 from motifloom.llm.skew import digest
-from motifloom.session import delete, let_workers_import, release, shared_dir, store
+from motifloom.session import Stored, delete, let_workers_import, scratch, shared_dir, store
 
 #: Words of an anchor. Shorter anchors repeat by chance, longer ones are picked more often.
 GRAM = 15
@@ -203,6 +203,21 @@ def dedup_windows(docs: DataFrame, size: int = 50, batches: int = 3) -> DataFram
     The documents enter the index in ``batches`` ranges of ids.
     """
     spark = docs.sparkSession
+    with scratch(spark):
+        plan = _window_plan(docs, size, batches).keep()
+    plan = plan.read().withColumnsRenamed({"d0": "_d0", "d1": "_d1"})
+    others = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed", "_text", "_first", "_hits", "_d0", "_d1")]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keys = digest(text)
+    rows = docs.select(*others, text.alias("_text"), keys[0].alias("_d0"), keys[1].alias("_d1")).join(plan, ["_d0", "_d1"], "left")
+    rows = rows.select(*[F.col(c).cast("long").alias(c) if c == "doc_id" else c for c in others], "_text", "_first", "_hits")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-3])
+    return rows.mapInArrow(_removed(size, len(others)), f"{kinds}, kept string, n_words long, n_removed long")
+
+
+def _window_plan(docs: DataFrame, size: int, batches: int) -> Stored:
+    """``(d0, d1, _first, _hits)``: each different text with its smallest id and the hit windows' places."""
+    spark = docs.sparkSession
     texts = store(texts_with_anchors(docs, size), "texts")
     windows = store(candidates(docs, texts.read(), size), "windows")
     cuts = windows.read().agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 1000).alias("c")).first()["c"] or []
@@ -217,14 +232,4 @@ def dedup_windows(docs: DataFrame, size: int = 50, batches: int = 3) -> DataFram
     index.close()
     places = found.groupBy("d0", "d1").agg(F.collect_list("pos").alias("_hits"))
     plan = texts.read().select("d0", "d1", F.col("doc_id").alias("_first")).join(places, ["d0", "d1"], "left")
-    plan = store(plan, "window-plan").read().withColumnsRenamed({"d0": "_d0", "d1": "_d1"})
-    windows.drop()
-    texts.drop()
-    release(spark)
-    others = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed", "_text", "_first", "_hits", "_d0", "_d1")]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keys = digest(text)
-    rows = docs.select(*others, text.alias("_text"), keys[0].alias("_d0"), keys[1].alias("_d1")).join(plan, ["_d0", "_d1"], "left")
-    rows = rows.select(*[F.col(c).cast("long").alias(c) if c == "doc_id" else c for c in others], "_text", "_first", "_hits")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-3])
-    return rows.mapInArrow(_removed(size, len(others)), f"{kinds}, kept string, n_words long, n_removed long")
+    return store(plan, "window-plan")
