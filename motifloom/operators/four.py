@@ -69,3 +69,38 @@ def identities(g: Graph, counted: DataFrame) -> DataFrame:
     )
     rows = F.array(*[F.struct(F.lit(i + 1).alias("id"), F.col(f"n{i + 1}").alias("lhs"), F.expr(s).alias("rhs")) for i, s in enumerate(sides)])
     return left.crossJoin(right).select(F.inline(rows))
+
+
+def neighbor_sides(g: Graph) -> DataFrame:
+    """``(u, v, x, side)``: the ends' other neighbours for each edge: -1 only of u, 0 of both, 1 only of v."""
+    e = g.edge
+    of_u = e.join(g.adj.select("u", F.col("v").alias("x")), "u").where("x <> v").select("u", "v", "x", F.lit(1).alias("bit"))
+    of_v = e.join(g.adj.select(F.col("u").alias("v"), F.col("v").alias("x")), "v").where("x <> u").select("u", "v", "x", F.lit(2).alias("bit"))
+    bits = of_u.union(of_v).groupBy("u", "v", "x").agg(F.bit_or("bit").alias("b"))
+    return bits.select("u", "v", "x", F.expr("case b when 1 then -1 when 3 then 0 else 1 end").alias("side"))
+
+
+def edge_stats(g: Graph) -> DataFrame:
+    """``(u, v, t, su, sv, k4, c4)``: triangles, open wedges at u and v, cliques and induced cycles of four on each edge."""
+    sides = neighbor_sides(g)
+    # Pairs of neighbours that are linked; neighbours of both ends make cliques, of one each cycles.
+    linked = sides.withColumnRenamed("x", "a").join(g.adj.select(F.col("u").alias("a"), F.col("v").alias("x")), "a")
+    pairs = linked.join(sides.select("u", "v", "x", F.col("side").alias("other")), ["u", "v", "x"])
+    squares = pairs.groupBy("u", "v").agg(
+        F.count_if((F.col("side") == 0) & (F.col("other") == 0) & (F.col("a") < F.col("x"))).alias("k4"), F.count_if((F.col("side") == -1) & (F.col("other") == 1)).alias("c4")
+    )
+    ends = sides.groupBy("u", "v").agg(*[F.count_if(F.col("side") == s).alias(n) for s, n in ((0, "t"), (-1, "su"), (1, "sv"))])
+    rows = g.edge.join(ends, ["u", "v"], "left").join(squares, ["u", "v"], "left")
+    return rows.select("u", "v", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("t", "su", "sv", "k4", "c4")])
+
+
+def graphlet4_by_edges(g: Graph) -> DataFrame:
+    """``(type, name, cnt)`` by another route: each edge's cliques, cycles and wedges."""
+    sums = edge_stats(g).agg(
+        F.expr("coalesce(sum(k4), 0) div 6").alias("g5"), F.expr("coalesce(sum(c4), 0) div 4").alias("g2"), _sum(_choose("t", 2)).alias("pairs"),
+        _sum(F.expr("su * sv")).alias("ends"), _sum(F.expr("t * (su + sv)")).alias("tails"), _sum(_choose("su", 2) + _choose("sv", 2)).alias("forks"),
+    )
+    r = sums.withColumn("g4", F.expr("pairs - 6 * g5")).withColumn("g0", F.expr("ends - 4 * g2"))
+    r = r.withColumn("g3", F.expr("(tails - 4 * g4) div 2")).withColumn("g1", F.expr("(forks - g3) div 3"))
+    rows = F.array(*[F.struct(F.lit(d["type"]).alias("type"), F.lit(d["name"]).alias("name"), F.col(f"g{d['type']}").alias("cnt")) for d in atlas.graphlets(4)])
+    return r.select(F.inline(rows))

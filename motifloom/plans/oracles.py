@@ -6,6 +6,7 @@ walks from replayed random numbers.
 
 from __future__ import annotations
 
+import re
 from itertools import permutations
 
 from motifloom.functions import atlas
@@ -239,6 +240,47 @@ _TRUTH = "select * from (" + " union all ".join(
     for i, n in enumerate(next(x for x in TRUTH_LINES if x.split("\t")[0].replace("\\", "/").endswith("/" + name)).split()[1:])
 ) + ")"
 
+_SIDES = "sides as materialized (select e.u, e.v, x, case sum(b) when 1 then -1 when 3 then 0 else 1 end as side from (select e.u, e.v, a.v as x, 1 as b from e join adj a on a.u = e.u and a.v <> e.v union all select e.u, e.v, a.v, 2 from e join adj a on a.u = e.v and a.v <> e.u) e group by e.u, e.v, x)"
+
+_EDGE_STATS = """
+select e.u, e.v, count(*) filter (side = 0) as t, count(*) filter (side = -1) as su, count(*) filter (side = 1) as sv,
+  (select count(*) from adj a join adj b on a.u = e.u and b.u = e.u and a.v < b.v join adj c on c.u = a.v and c.v = b.v join adj x on x.u = e.v and x.v = a.v join adj y on y.u = e.v and y.v = b.v) as k4,
+  (select count(*) from adj a join adj c on c.u = a.v join adj b on b.u = e.v and b.v = c.v where a.u = e.u and a.v <> e.v and b.v <> e.u
+    and not exists (from adj z where z.u = e.v and z.v = a.v) and not exists (from adj z where z.u = e.u and z.v = b.v)) as c4
+from e left join sides using (u, v) group by e.u, e.v
+"""
+
+
+def _orbit_matrix() -> str:
+    cols = ", ".join(f"coalesce(sum(cnt) filter (orbit = {o}), 0)::bigint as o{o}" for o in range(15))
+    return f"{_ORBITS4.replace(' select n as node', ', long as (select n as node', 1)}) select node, {cols} from long group by node"
+
+
+def _concentration_metrics(k: int) -> str:
+    states = _states(k).removeprefix(_typed(k))
+    walk = _walk("pairs", STEPS + 1)
+    for name in ("nb", "eligible", "first", "walk"):
+        walk = re.sub(rf"\b{name}\b", f"{name}2", walk)
+    return f"""{_GRAPH}{_estimates(k)}{states}{walk}, move as (
+  select sim, node as u, lead(node) over (partition by sim order by step) as v from walk2
+), tally as (
+  select sim, type, count(*) as n from move join pairs using (u, v) group by sim, type
+), share as (
+  select sim, kind.type, coalesce(n, 0)::double / walk_div as x from range({SIMS}) r(sim) cross join kind left join tally using (sim, type)
+), value as (
+  select 'PSRW' as variant, sim, type, round(x / sum(x) over (partition by sim), 6) as estimate from share
+  union all select 'Basic', sim, type, round(estimate / sum(estimate) over (partition by sim), 6) from est where variant = 'SRWIMPR'
+), exact as (
+  select kind.type, round(count(s)::double / (select count(*) from typed{k}), 9) as cnt from kind left join typed{k} using (type) group by kind.type
+)
+select variant, type, round(avg(estimate), 6) as RV, round(avg(case when cnt > 0 then abs(estimate / cnt - 1) end), 6) as RE,
+  list_sort(list(estimate))[1] as LB, list_sort(list(estimate))[floor(count(*) * 0.95)::int + 1] as UB,
+  round(sqrt(avg(case when cnt > 0 then pow(estimate / cnt - 1, 2) end)), 6) as NRMSE
+from value join exact using (type) group by variant, type"""
+
+
+_ORBITS4 = f"{_GRAPH}{_typed(4)}, {_orbit_dim(4)} {_orbits(4)} union all select u, 0, d from deg union all select * from (with {_typed(3).removeprefix(', ')}, orbit3(type, key, orbit) as ({_values([(r['type'], r['node_key'], r['orbit']) for r in atlas.orbits(3)])}) {_orbits(3).replace('orbit_dim', 'orbit3')})"
+
 ORACLE_SQL: dict[str, str] = {
     "edge_list": f"with recursive{_RAW} select u, v from raw",
     "scan_stats": f"with m as (select distinct l_orderkey as g, l_partkey as p from lineitem where l_quantity >= {QUANTITY}), pair as (select x.p as u, y.p as v from m x join m y on x.g = y.g and x.p < y.p) select 3 * count(*) as n_raw, count(*) as loops, 2 * count(*) as n_kept, count(distinct (u, v)) as n_edges from pair",
@@ -257,7 +299,13 @@ ORACLE_SQL: dict[str, str] = {
     "graphlet4": f"{_GRAPH}{_typed(4)} {_counts(4)}",
     "graphlet4_identities": f"{_GRAPH}{_typed(4)}, {_PER_EDGE} {_identities()}",
     "graphlet5": f"{_GRAPH}{_typed(5)} {_counts(5)}",
-    "orbits4": f"{_GRAPH}{_typed(4)}, {_orbit_dim(4)} {_orbits(4)} union all select u, 0, d from deg union all select * from (with {_typed(3).removeprefix(', ').replace('s2 as', 'z2 as', 0)}, orbit3(type, key, orbit) as ({_values([(r['type'], r['node_key'], r['orbit']) for r in atlas.orbits(3)])}) {_orbits(3).replace('orbit_dim', 'orbit3')})",
+    "orbits4": _ORBITS4,
+    "orbit_matrix4": _orbit_matrix(),
+    "neighbor_sides": f"{_GRAPH}, {_SIDES} select u, v, x, side from sides",
+    "edge_stats": f"{_GRAPH}, {_SIDES} {_EDGE_STATS}",
+    "graphlet4_by_edges": f"{_GRAPH}{_typed(4)} {_counts(4)}",
+    "cliques4": f"{_GRAPH}{_typed(4)} select s[1] as x, s[2] as y, s[3] as z, s[4] as w from typed4 where type = 5",
+    "concentration_metrics": _concentration_metrics(4),
     "orbits5": f"{_GRAPH}{_typed(5)}, {_orbit_dim(5)} {_orbits(5)}",
     "orbit_totals4": f"{_GRAPH}{_typed(4)} select kind.type, count(s) as cnt from kind left join typed4 using (type) group by kind.type",
     "orbit_totals5": f"{_GRAPH}{_typed(5)} select kind.type, count(s) as cnt from kind left join typed5 using (type) group by kind.type",

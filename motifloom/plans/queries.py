@@ -81,6 +81,15 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimate.error_metrics(est, graph.line_triangle(g, g.triangles))
 
 
+def concentration_metrics(spark: SparkSession, sf_dir: str, k: int = 4) -> DataFrame:
+    """The node walk's improved shares and the state walk's, against the exact ones."""
+    g = prepared(spark, sf_dir)
+    ours = estimate.concentration(estimate.estimate(g, trail(spark, sf_dir, k), k), "SRWIMPR").select(F.lit("Basic").alias("variant"), "type", F.col("value").alias("estimate"))
+    base = psrw(spark, sf_dir, k).select(F.lit("PSRW").alias("variant"), "type", F.col("value").alias("estimate"))
+    exact = sets.frequencies(sets.counts(typed(spark, sf_dir, k), k)).select("type", F.col("freq").alias("cnt"))
+    return estimate.error_metrics(ours.union(base), exact, by=("variant",))
+
+
 TRUTH_LINES = ("/data/a.txt\t 7\t 1\t", "C:\\data\\b.txt\t 9\t 2\t", "other/a.txt\t 8\t 3\t", "")
 
 
@@ -115,14 +124,20 @@ QUERIES: dict[str, Query] = {
     "common3": _on_graph(lambda g: g.common3),
     "graphlet4": _on_graph(four.graphlet4),
     "graphlet4_identities": _on_graph(lambda g: four.identities(g, four.graphlet4(g))),
+    "neighbor_sides": _on_graph(four.neighbor_sides),
+    "edge_stats": _on_graph(four.edge_stats),
+    "graphlet4_by_edges": _on_graph(four.graphlet4_by_edges),
+    "cliques4": _on_graph(four.cliques),
     "graphlet5": _on_sets(5, lambda t: sets.counts(t, 5)),
     "orbits4": lambda s, d: sets.node_orbits(prepared(s, d), 4),
+    "orbit_matrix4": lambda s, d: sets.wide_orbits(sets.node_orbits(prepared(s, d), 4), 14),
     "orbits5": _on_sets(5, lambda t: sets.orbits(t, 5)),
     "orbit_totals4": _on_sets(4, lambda t: sets.totals(sets.orbits(t, 4), 4)),
     "orbit_totals5": _on_sets(5, lambda t: sets.totals(sets.orbits(t, 5), 5)),
     "walk_trace": lambda s, d: walks.walk(prepared(s, d).adj, STEPS, SIMS, SEED),
     "edges_hat": lambda s, d: estimate.edges_hat(prepared(s, d), trail(s, d, 3)).select("sim", F.round("e_hat", 6).alias("e_hat")),
     "error_metrics": metrics,
+    "concentration_metrics": concentration_metrics,
     "truth_lookup": truth_lookup,
 }
 for _k in (3, 4, 5):
