@@ -22,12 +22,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motifloom.llm.kernels import Rolling, as_bytes, chunks, mix, signed, small_batches, xxh64
 from motifloom.llm.skew import digest
-from motifloom.session import store
+from motifloom.session import let_workers_import, scratch, store
 
 
 @dataclass(frozen=True)
@@ -39,21 +41,93 @@ class Tree:
     keep: str = "first"
 
 
-def parse(docs: DataFrame, tree: Tree) -> DataFrame:
-    """``(d0, d1, doc_id, line_no, tokens, leaf, m0, m1)`` for each line that is long enough."""
-    lines = docs.select("doc_id", *digest(F.col("doc_id"), F.col("text")), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    masked = F.trim(F.regexp_replace(F.regexp_replace("line", r"\S*[0-9]\S*", "<*>"), r"\s+", " "))
-    rows = lines.withColumn("masked", masked).withColumn("tokens", F.split("masked", " ")).where(F.size("tokens") >= tree.min_tokens)
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, tree.depth))
-    marks = [F.xxhash64(F.lit(seed), "masked").alias(name) for seed, name in ((1, "m0"), (2, "m1"))]
-    return rows.select("d0", "d1", "doc_id", "line_no", "tokens", leaf.alias("leaf"), *marks)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: What stands for any variable field.
+_FIELD = np.uint64(0)
+
+
+class Lines:
+    """The lines of several texts as runs of token hashes.
+
+    Line ``i`` has the tokens ``token[first[i]:first[i + 1]]``; text ``j`` owns
+    the lines ``text_first[j]:text_first[j + 1]``, one at least.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        raw = np.frombuffer(b"\n".join(texts), np.uint8)
+        edge = np.diff(np.concatenate(([False], ~_SPACE[raw], [False])).astype(np.int8))
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        breaks = np.flatnonzero(raw == 10)
+        digits = np.concatenate(([0], np.cumsum((raw >= 48) & (raw <= 57))))
+        token = xxh64(raw, begin, end, 0)
+        token[digits[end] > digits[begin]] = _FIELD
+        self.token = token
+        self.text_first = np.concatenate(([0], np.cumsum([t.count(b"\n") + 1 for t in texts], dtype=np.int64)))
+        n = np.bincount(np.searchsorted(breaks, begin), minlength=len(breaks) + 1)
+        self.first = np.concatenate(([0], np.cumsum(n)))
+
+    def marks(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each line's leaf, and a 128-bit hash of its tokens."""
+        at, n = self.first[:-1], np.diff(self.first)
+        one, two = Rolling(self.token, 0), Rolling(mix(self.token + np.uint64(1)), 1)
+        leaf = mix(one.at(at, np.minimum(n, depth)) ^ mix(n.astype(np.uint64)))
+        return signed(leaf), signed(one.at(at, n)), signed(two.at(at, n))
+
+
+_LINE = "d0 long, d1 long, doc_id long, line_no long, leaf long"
+
+
+def _parse(tree: Tree):
+    """Arrow function (d0, d1, doc_id, text) -> lines that are long enough, with their leaf and hash."""
+    names = [x.split()[0] for x in f"{_LINE}, m0 long, m1 long".split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 3):
+            texts = [as_bytes(t) for t in batch.column(3).to_pylist()]
+            for a, b in chunks(map(len, texts)):
+                found = Lines(texts[a:b])
+                keep = np.flatnonzero(np.diff(found.first) >= tree.min_tokens)
+                owner = np.searchsorted(found.text_first, keep, "right") - 1
+                keys = [batch.column(c).slice(a, b - a).take(pa.array(owner)) for c in range(3)]
+                number = pa.array(keep - found.text_first[owner])
+                yield pa.RecordBatch.from_arrays([*keys, number, *[pa.array(m[keep]) for m in found.marks(tree.depth)]], names)
+
+    return run
+
+
+def _tokens(tree: Tree):
+    """Arrow function (d0, d1, doc_id, text, line numbers) -> those lines with their leaf and tokens."""
+    names = [*[x.split()[0] for x in _LINE.split(", ")], "tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 3):
+            texts, wanted = [as_bytes(t) for t in batch.column(3).to_pylist()], batch.column(4)
+            for a, b in chunks(map(len, texts)):
+                found = Lines(texts[a:b])
+                numbers = [wanted[i].values.to_numpy() for i in range(a, b)]
+                owner = np.repeat(np.arange(b - a), [len(x) for x in numbers])
+                number = np.concatenate(numbers)
+                at = found.text_first[owner] + number
+                keys = [batch.column(c).slice(a, b - a).take(pa.array(owner)) for c in range(3)]
+                tokens = [signed(found.token[found.first[i] : found.first[i + 1]]) for i in at.tolist()]
+                leaf = found.marks(tree.depth)[0][at]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(number), pa.array(leaf), pa.array(tokens, pa.list_(pa.int64()))], names)
+
+    return run
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``(d0, d1, doc_id, text)``: rows that have a text, named by a digest of id and text."""
+    let_workers_import(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return rows.select(*digest(F.col("doc_id"), F.col("text")), "doc_id", "text")
 
 
 def _recurring(lines: DataFrame, key: list[str], tree: Tree) -> DataFrame:
     """Keys found in enough documents, with their first line."""
-    place = F.min(F.struct("doc_id", "d0", "d1", "line_no"))
-    per_doc = lines.groupBy(*key, "d0", "d1").agg(place.alias("place"))
-    return per_doc.groupBy(*key).agg(F.count("*").alias("n_docs"), F.min("place").alias("place")).where(F.col("n_docs") >= tree.min_docs)
+    per_doc = lines.groupBy(*key, "d0", "d1").agg(F.min(F.struct("doc_id", "line_no")).alias("p"))
+    place = F.min(F.struct("p.doc_id", "d0", "d1", "p.line_no")).alias("place")
+    return per_doc.groupBy(*key).agg(F.count("*").alias("n_docs"), place).where(F.col("n_docs") >= tree.min_docs)
 
 
 def _dropped(lines: DataFrame, templates: DataFrame, key: list[str], tree: Tree) -> DataFrame:
@@ -74,24 +148,26 @@ def leaf_templates(lines: DataFrame) -> DataFrame:
 
 def template_lines(docs: DataFrame, tree: Tree) -> DataFrame:
     """``(d0, d1, line_no)`` of the lines to drop from ``docs(doc_id, text)``."""
-    lines = parse(docs, tree)
-    slim = store(lines.drop("tokens"), "lines").read()
-    exact = _recurring(slim, ["m0", "m1"], tree)
-    by_line = _dropped(slim, exact, ["m0", "m1"], tree)
-    # Leaves that different lines of enough documents share may generalise.
-    per_leaf = slim.groupBy("leaf", "d0", "d1").agg(F.min("m0").alias("lo"), F.max("m0").alias("hi"))
-    shared = per_leaf.groupBy("leaf").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    shared = shared.where((F.col("n") >= tree.min_docs) & (F.col("lo") != F.col("hi"))).select("leaf")
-    full = store(lines.join(shared, "leaf", "left_semi"), "leaf-lines").read()
+    lines = store(keyed(docs).mapInArrow(_parse(tree), f"{_LINE}, m0 long, m1 long"), "lines").read()
+    by_line = store(_dropped(lines, _recurring(lines, ["m0", "m1"], tree), ["m0", "m1"], tree), "line-drops").read()
+    # Leaves that different lines share often enough may generalise.
+    # Documents are counted below, when it is known which lines are of the template.
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("m0").alias("lo"), F.max("m0").alias("hi"))
+    leaves = leaves.where((F.col("n") >= tree.min_docs) & (F.col("lo") != F.col("hi"))).select("leaf")
+    numbers = store(lines.join(leaves, "leaf").groupBy("d0", "d1").agg(F.collect_set("line_no").alias("numbers")), "leaf-numbers").read()
+    # Such lists grow with the corpus, so they are joined by a shuffle at every size.
+    full = keyed(docs).join(numbers.hint("merge"), ["d0", "d1"]).select("d0", "d1", "doc_id", "text", "numbers")
+    full = store(full.mapInArrow(_tokens(tree), f"{_LINE}, tokens array<long>"), "leaf-lines").read()
     agreed = F.aggregate(F.zip_with("tokens", "template", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0))), F.lit(0), lambda acc, x: acc + x)
     close = full.join(leaf_templates(full), "leaf").where(agreed >= F.size("tokens") * tree.similarity).drop("tokens", "template")
+    close = store(close, "template-lines").read()
     by_leaf = _dropped(close, _recurring(close, ["leaf"], tree), ["leaf"], tree)
     return by_line.union(by_leaf).distinct()
 
 
 def _without(n_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, n_docs):
             kept, counts, gone = [], [], []
             for text, drop in zip(batch.column(n_docs).to_pylist(), batch.column(n_docs + 1).to_pylist(), strict=True):
                 lines = [] if text is None else text.split("\n")
@@ -113,13 +189,15 @@ def dedup_lines(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
     tree = tree or Tree()
     if tree.keep not in ("first", "none"):
         raise ValueError("keep is first or none")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    drops = template_lines(plain, tree).groupBy("d0", "d1").agg(F.collect_list("line_no").alias("_drop"))
-    drops = store(drops, "line-drops").read().withColumnsRenamed({"d0": "_d0", "d1": "_d1"})
+    let_workers_import(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        drops = template_lines(docs, tree).groupBy("d0", "d1").agg(F.collect_list("line_no").alias("_drop"))
+        drops = store(drops, "all-drops").keep()
+    drops = drops.read().withColumnsRenamed({"d0": "_d0", "d1": "_d1"})
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "_drop", "_text", "_d0", "_d1")]
     keys = digest(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = docs.select(*others, F.col("text").cast("string").alias("_text"), keys[0].alias("_d0"), keys[1].alias("_d1"))
-    rows = rows.join(drops, ["_d0", "_d1"], "left").select(*others, "_text", "_drop")
+    rows = rows.join(drops.hint("merge"), ["_d0", "_d1"], "left").select(*others, "_text", "_drop")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
     out = rows.mapInArrow(_without(len(others)), ", ".join(filter(None, [kinds, "text string, n_lines long, n_dropped long"])))
     return out.select(*[c for c in docs.columns if c in (*others, "text")], "n_lines", "n_dropped")
