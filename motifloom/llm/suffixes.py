@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from motifloom.llm.kernels import Anchors, as_bytes, chunks, mix, signed, small_batches
 from motifloom.llm.skew import digest
-from motifloom.session import let_workers_import, release, store
+from motifloom.session import Stored, let_workers_import, scratch, store
 
 #: Bytes of an anchor, items of one key in one task, and bytes that one suffix array is built over.
 GRAM, GROUP_ITEMS, ARRAY_BYTES = 64, 512, 1 << 19
@@ -189,11 +189,14 @@ def _anchor_rows(length: int):
     return run
 
 
-_CONTEXT = "c0 long, c1 long, anchor long, d0 long, d1 long, doc_id long, at long, strings long, mark long, context binary"
+_CONTEXT = "c0 long, c1 long, anchor long, d0 long, d1 long, doc_id long, at array<long>, strings long, mark long, context binary"
 
 
 def _context_rows(length: int):
-    """Arrow function (d0, d1, doc_id, text, anchors) -> contexts; the bytes only where a batch has them first."""
+    """Arrow function (d0, d1, doc_id, text, anchors) -> contexts of each text, with all places ``at`` there.
+
+    The bytes are sent only where a slice of texts has them first.
+    """
     names = [x.split()[0] for x in _CONTEXT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,19 +212,21 @@ def _context_rows(length: int):
                     mine = slice(cut[i], cut[i + 1])
                     hashes = signed(found.hash[mine])
                     take = np.isin(hashes, wanted[a + i].values.to_numpy())
-                    lows = (found.lo[mine][take] - first[i]).tolist()
-                    highs = (found.hi[mine][take] - first[i]).tolist()
-                    marks = (found.pos[mine][take] - first[i]).tolist()
+                    lows, highs, marks = ((x[mine][take] - first[i]).tolist() for x in (found.lo, found.hi, found.pos))
+                    seen: dict[bytes, list[int]] = {}
                     for lo, hi, mark, anchor in zip(lows, highs, marks, hashes[take].tolist(), strict=True):
                         context = texts[a + i][lo : hi + length]
                         name = xxhash.xxh3_128_digest(context)
+                        if name in seen:
+                            seen[name].append(lo)
+                            continue
+                        seen[name] = [lo]
                         c0, c1 = int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True)
-                        new = name not in sent
+                        row = (c0, c1, anchor, *[k[a + i] for k in keys], seen[name], hi - lo + 1, mark - lo, None if name in sent else context)
                         sent.add(name)
-                        row = (c0, c1, anchor, *[k[a + i] for k in keys], lo, hi - lo + 1, mark - lo, context if new else None)
                         for col, x in zip(out, row, strict=True):
                             col.append(x)
-                kinds = [pa.int64()] * 9 + [pa.binary()]
+                kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] + [pa.int64()] * 2 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
     return run
@@ -358,8 +363,8 @@ def repeated_starts(docs: DataFrame, texts: DataFrame, length: int, keep: str) -
     rows = rows.join(lists, (rows.d0 == lists.e0) & (rows.d1 == lists.e1) & rows.doc_id.eqNullSafe(lists.e2))
     found = store(rows.select("d0", "d1", "doc_id", "text", "anchors").mapInArrow(_context_rows(length), _CONTEXT), "contexts").read()
     places = found.drop("context", "mark").distinct()
-    order = F.struct("doc_id", "d0", "d1", "at")
-    contexts = places.groupBy("c0", "c1").agg(F.count("*").alias("n"), F.min(order).alias("place"), F.first("anchor").alias("key"), F.first("strings").alias("strings"))
+    order = F.struct("doc_id", "d0", "d1", F.col("at")[0].alias("at"))
+    contexts = places.groupBy("c0", "c1").agg(F.sum(F.size("at")).alias("n"), F.min(order).alias("place"), F.first("anchor").alias("key"), F.first("strings").alias("strings"))
     contexts = store(contexts, "context-places").read()
     bodies = found.where("context is not null").groupBy("c0", "c1").agg(F.first("context").alias("body"), F.first("mark").alias("mark"))
     shared_keys = contexts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
@@ -374,9 +379,17 @@ def repeated_starts(docs: DataFrame, texts: DataFrame, length: int, keep: str) -
     each = runs.groupBy("c0", "c1").agg(F.collect_set(F.struct("begin", "end")).alias("runs"))
     both = contexts.select("c0", "c1").join(each, ["c0", "c1"], "left").join(copied, ["c0", "c1"], "left").where("runs is not null or strings is not null")
     hits = places.select("c0", "c1", "d0", "d1", "doc_id", "at").join(both, ["c0", "c1"])
-    copy = F.col("strings").isNotNull() if keep == "none" else F.col("strings").isNotNull() & ~order.eqNullSafe(F.col("place"))
-    mine = F.when(copy, F.array(whole)).otherwise(F.coalesce("runs", F.array().cast("array<struct<begin:bigint,end:bigint>>")))
-    return hits.select("d0", "d1", F.explode(F.transform(mine, lambda r: F.struct((r["begin"] + F.col("at")).alias("begin"), (r["end"] + F.col("at")).alias("end")))).alias("r")).select("d0", "d1", "r.*")
+    none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+
+    def at_place(at):
+        """Runs at one place of a context: those of the search, or all its strings if it is a copy."""
+        copy = F.col("strings").isNotNull()
+        if keep == "first":
+            copy = copy & ~F.struct("doc_id", "d0", "d1", at.alias("at")).eqNullSafe(F.col("place"))
+        mine = F.when(copy, F.array(whole)).otherwise(F.coalesce("runs", none))
+        return F.transform(mine, lambda r: F.struct((r["begin"] + at).alias("begin"), (r["end"] + at).alias("end")))
+
+    return hits.select("d0", "d1", F.explode(F.flatten(F.transform("at", at_place))).alias("r")).select("d0", "d1", "r.*")
 
 
 def _cut(length: int, keep: str, n_docs: int):
@@ -421,15 +434,9 @@ def dedup_substrings(docs: DataFrame, length: int = 400, keep: str = "first") ->
     if keep not in ("first", "none"):
         raise ValueError("keep is first or none")
     spark = docs.sparkSession
-    rows = keyed(docs).mapInArrow(_anchor_rows(length), "d0 long, d1 long, doc_id long, anchors array<long>")
-    texts = rows.groupBy("d0", "d1").agg(F.min(F.struct("doc_id")).alias("least"), F.count("*").alias("copies"), F.first("anchors").alias("anchors"))
-    texts = store(texts.select("d0", "d1", F.col("least.doc_id").alias("doc_id"), "copies", "anchors"), "texts")
-    starts = repeated_starts(docs, texts.read(), length, keep)
-    starts = starts.groupBy("d0", "d1").agg(F.collect_set(F.struct("begin", "end")).alias("_runs"))
-    plan = texts.read().select("d0", "d1", F.col("doc_id").alias("_least"), F.col("copies").alias("_copies")).join(starts, ["d0", "d1"], "left")
-    plan = store(plan, "cut-plan").read().withColumnsRenamed({"d0": "_d0", "d1": "_d1"})
-    texts.drop()
-    release(spark)
+    with scratch(spark):
+        plan = _cut_plan(docs, length, keep).keep()
+    plan = plan.read().withColumnsRenamed({"d0": "_d0", "d1": "_d1"})
     others = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans", "_text", "_least", "_copies", "_runs", "_d0", "_d1")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keys = digest(text)
@@ -437,3 +444,14 @@ def dedup_substrings(docs: DataFrame, length: int = 400, keep: str = "first") ->
     out = out.select(*others, "_text", "_least", "_copies", "_runs")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-4])
     return out.mapInArrow(_cut(length, keep, len(others)), f"{kinds}, kept binary, n_bytes long, n_removed long, n_spans long")
+
+
+def _cut_plan(docs: DataFrame, length: int, keep: str) -> Stored:
+    """``(d0, d1, _least, _copies, _runs)``: each different text with its smallest id, number and runs to cut."""
+    rows = keyed(docs).mapInArrow(_anchor_rows(length), "d0 long, d1 long, doc_id long, anchors array<long>")
+    texts = rows.groupBy("d0", "d1").agg(F.min(F.struct("doc_id")).alias("least"), F.count("*").alias("copies"), F.first("anchors").alias("anchors"))
+    texts = store(texts.select("d0", "d1", F.col("least.doc_id").alias("doc_id"), "copies", "anchors"), "texts")
+    starts = repeated_starts(docs, texts.read(), length, keep)
+    starts = starts.groupBy("d0", "d1").agg(F.collect_set(F.struct("begin", "end")).alias("_runs"))
+    plan = texts.read().select("d0", "d1", F.col("doc_id").alias("_least"), F.col("copies").alias("_copies")).join(starts, ["d0", "d1"], "left")
+    return store(plan, "cut-plan")
