@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motifloom.session import scratch, store
+
 _NORMALIZER, _CHARACTER = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
 
 #: Ids a bucket of neighbours spans, and ids of buckets a window of those spans, in bits.
@@ -44,6 +46,15 @@ def with_hash(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     return df.withColumns({prefix + n: c for n, c in zip(names, cols, strict=True)}).drop("_canon")
 
 
+def _by_bytes(rows: DataFrame) -> DataFrame:
+    """``(h1, h2, tie, first_id, copies, mixed)`` of ``rows(_id, h1, h2, canon)``, buckets split by their bytes."""
+    forms = rows.groupBy("h1", "h2", "canon").agg(F.min("_id").alias("first_id"), F.count("*").alias("copies"))
+    forms = forms.select("h1", "h2", F.unhex(F.sha2("canon", 256)).alias("tie"), "first_id", "copies")
+    part = F.struct("tie", "first_id", "copies")
+    buckets = forms.groupBy("h1", "h2").agg(F.collect_list(part).alias("forms"))  # one form but for collisions
+    return buckets.select("h1", "h2", F.explode("forms").alias("f"), (F.size("forms") > 1).alias("mixed")).select("h1", "h2", "f.*", "mixed")
+
+
 def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(h1, h2, tie, first_id, copies, mixed)`` for each different canonical form.
 
@@ -53,12 +64,7 @@ def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = docs.select(F.col(id_col).alias("_id"), canonical(F.col(text_col).cast("string")).alias("canon"))
     h1, h2 = wide_hash(F.col("canon"))
-    alike = rows.select("_id", h1.alias("h1"), h2.alias("h2"), "canon").groupBy("h1", "h2", "canon")
-    forms = alike.agg(F.min("_id").alias("first_id"), F.count("*").alias("copies"))
-    forms = forms.select("h1", "h2", F.unhex(F.sha2("canon", 256)).alias("tie"), "first_id", "copies")
-    part = F.struct("tie", "first_id", "copies")
-    buckets = forms.groupBy("h1", "h2").agg(F.collect_list(part).alias("forms"))  # one form but for collisions
-    return buckets.select("h1", "h2", F.explode("forms").alias("f"), (F.size("forms") > 1).alias("mixed")).select("h1", "h2", "f.*", "mixed")
+    return _by_bytes(rows.select("_id", h1.alias("h1"), h2.alias("h2"), "canon"))
 
 
 def shown(h1: Column, h2: Column, tie: Column, mixed: Column) -> Column:
@@ -101,6 +107,43 @@ def following(values: DataFrame, levels: int = 2) -> DataFrame:
     return inner.join(ahead, "g", "left").select("x", F.coalesce("own", "head").alias("nx"))
 
 
+def in_buckets(docs: DataFrame) -> DataFrame:
+    """``docs`` that have an id, with the small bucket of neighbouring ids each is in."""
+    return docs.where("doc_id is not null").withColumn("bucket", F.shiftright("doc_id", NEAR_BITS))
+
+
+#: Bits of the sketch that picks texts out; it is sent as rows of 4 KB, 8 MB at most.
+SKETCH_BITS = 1 << 26
+
+
+def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` whose ``doc_id`` is in ``ids``, and a few others: nothing is shuffled but a sketch of fixed size."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(SKETCH_BITS))
+    bucket, position = F.expr("spot div 32768").alias("sketch"), F.expr("spot % 32768")
+    bits = ids.select(spot.alias("spot")).groupBy(bucket).agg(F.bitmap_construct_agg(position).alias("bits"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(spot % 32768 div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    marked = docs.withColumn("spot", spot).withColumn("sketch", F.expr("spot div 32768")).join(F.broadcast(bits), "sketch")
+    return marked.where(F.getbit(byte, F.expr("cast(spot % 8 as int)")) == 1).select(*docs.columns)
+
+
+def groups_with_sketch(docs: DataFrame) -> DataFrame:
+    """``digest_groups`` of ``docs(doc_id, text, h1, h2, tie)``, with few texts moved.
+
+    A hash that one document has is a group as it is. The documents of other
+    hashes are picked out by a sketch of their ids, and only their bytes are
+    shuffled.
+    """
+    marks = store(docs.select("doc_id", "h1", "h2", "tie"), "marks").read()
+    counts = marks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.first("tie").alias("tie"), F.min("doc_id").alias("first_id"))
+    counts = store(counts, "mark-counts").read()
+    once = counts.where("n = 1").select("h1", "h2", "tie", "first_id", F.col("n").alias("copies"), F.lit(False).alias("mixed"))
+    again = counts.where("n > 1").select("h1", "h2")
+    ids = marks.where("doc_id is not null").join(again, ["h1", "h2"], "left_semi").select("doc_id")
+    some = picked(docs.where("doc_id is not null"), ids).union(docs.where("doc_id is null"))
+    rows = some.select(F.col("doc_id").alias("_id"), "h1", "h2", canonical(F.col("text")).alias("canon")).join(again, ["h1", "h2"], "left_semi")
+    return once.union(_by_bytes(rows))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, h1, h2)`` with the next document's ``next_text``, ``next_h1``, ``next_h2``.
 
@@ -111,7 +154,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     cols = ["text", "h1", "h2"]
     bucket = F.shiftright("doc_id", NEAR_BITS)
-    known = docs.where("doc_id is not null").withColumn("bucket", bucket)
+    known = in_buckets(docs)
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
     inside = known.withColumns({f"own_{c}": F.lead(c).over(order) for c in cols})
     heads = known.groupBy("bucket").agg(F.min(F.struct("doc_id", *cols)).alias("head"))
@@ -133,7 +176,8 @@ def edit_study(docs: DataFrame) -> DataFrame:
     equal bytes, else 0: an exact digest knows no nearness.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    pairs = with_next(with_hash(rows, "text"))
+    hashed = with_hash(rows, "text")
+    pairs = with_next(hashed)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
@@ -150,7 +194,9 @@ def edit_study(docs: DataFrame) -> DataFrame:
         same("e_", "e_", "edited").alias("near_edited"),
         F.when(F.col("next_h1").isNotNull(), same("next_", "next_", "next_text")).otherwise(0.0).alias("near_next"),
     )
-    groups = digest_groups(docs)
+    with scratch(docs.sparkSession):
+        groups = store(groups_with_sketch(hashed), "digest-groups").keep()
+    groups = groups.read()
     mixed = groups.where("mixed").select(F.col("h1").alias("e_h1"), F.col("h2").alias("e_h2"), F.lit(True).alias("e_mixed")).distinct()
     out = slim.join(groups, ["h1", "h2", "tie"], "left").join(mixed, ["e_h1", "e_h2"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
