@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = simhash.SimHash(shingle=4, bits=64, radius=4, blocks=6, match=2)
+    spec = simhash.SimHash(shingle=4, bits=64, radius=4, blocks=6, match=2, repeats=True)
     out = simhash.near_groups(table(spark, sf_dir, "documents"), spec)
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 

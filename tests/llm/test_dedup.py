@@ -135,7 +135,7 @@ def brute_fingerprint(text, k):
 
 def test_simhash(make, odd_rows):
     rows = [r for r in corpus() + [(200 + d if d is not None else None, t) for d, t in odd_rows]]
-    spec = simhash.SimHash(shingle=4, bits=64, radius=4, blocks=6, match=2, bucket_rows=4)
+    spec = simhash.SimHash(shingle=4, bits=64, radius=4, blocks=6, match=2, bucket_rows=4, repeats=True)
     got = simhash.near_groups(make(rows, ["f0", "component_id", "node"]), spec).collect()
     fps = [brute_fingerprint(t, 4) for _, t in rows]
     assert sorted((str(r.doc_id), r.f0 % 2**64) for r in got) == sorted((str(d), f) for (d, _), f in zip(rows, fps, strict=True))
