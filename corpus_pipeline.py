@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.llm import bpe, decontaminate, lines, simhash, toxicity
+from motifloom.llm import bpe, copies as near, decontaminate, lines, toxicity
 from motifloom.llm.queries import table, tokenizer
 from motifloom.session import let_workers_import, store
 
@@ -45,7 +45,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of near copies stays: five-word shingles, similarity 0.8."""
     let_workers_import(spark)
-    groups = simhash.near_groups(docs, simhash.SimHash())
+    groups = near.near_copies(docs)
     copies = groups.where("component_id <> doc_id").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 

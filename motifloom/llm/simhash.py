@@ -86,24 +86,35 @@ def votes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint_texts(texts: list[bytes], spec: SimHash) -> list[np.ndarray]:
-    """The fingerprint of each text, as one array of 64-bit words per word position."""
+def shingle_hashes(texts: list[bytes], shingle: int, repeats: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each text's shingles, text ``i``'s at ``first[i]:first[i + 1]``; sorted sets unless ``repeats``."""
     words = Words([t.lower() for t in texts])
     n = np.diff(words.first)
-    per = np.where(n >= spec.shingle, n - spec.shingle + 1, np.minimum(n, 1))
+    per = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
     first = np.concatenate(([0], np.cumsum(per)))
     at = np.repeat(words.first[:-1] - first[:-1], per) + np.arange(first[-1])
-    last = at + np.repeat(np.minimum(n, spec.shingle), per) - 1
+    last = at + np.repeat(np.minimum(n, shingle), per) - 1
     hashes = xxh64(words.buf, words.start[at], words.end[last], 42)
-    if not spec.repeats:
+    if not repeats:
         owner = np.repeat(np.arange(len(per)), per)
         order = np.lexsort((hashes, owner))
         hashes, owner = hashes[order], owner[order]
         new = np.flatnonzero(np.diff(hashes, prepend=0).astype(bool) | (np.diff(owner, prepend=-1) != 0))
         hashes, per = hashes[new], np.bincount(owner[new], minlength=len(per))
         first = np.concatenate(([0], np.cumsum(per)))
+    return hashes, first
+
+
+def fingerprint_texts(texts: list[bytes], spec: SimHash) -> list[np.ndarray]:
+    """The fingerprint of each text, as one array of 64-bit words per word position."""
+    return fingerprint_hashes(*shingle_hashes(texts, spec.shingle, spec.repeats), spec.bits)
+
+
+def fingerprint_hashes(hashes: np.ndarray, first: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The fingerprint of each group of hashes."""
+    per = np.diff(first)
     out = []
-    for w in range(spec.bits // 64):
+    for w in range(bits // 64):
         over = votes(mix(hashes) if w else hashes, first) * 2 > per[:, None]
         out.append(np.packbits(over, axis=1, bitorder="little").view("<u8").ravel())
     return out
@@ -281,7 +292,12 @@ def near_links(nodes: DataFrame, spec: SimHash) -> DataFrame:
         F.xxhash64(F.lit(t), *[F.col(n).bitwiseAND(F.lit(int(signed(np.array([m], np.uint64))[0]))) for n, m in zip(names, masks, strict=True) if m])
         for t, masks in enumerate(spec.masks())
     ]
-    keyed = nodes.select(F.explode(F.array(*tables)).alias("key"), "node", *names)
+    return bucket_links(nodes.select(F.explode(F.array(*tables)).alias("key"), "node", *names), spec)
+
+
+def bucket_links(keyed: DataFrame, spec: SimHash) -> DataFrame:
+    """Spanning links ``(u, v)`` within the radius between rows of ``keyed(key, node, f0[, f1])`` that share a key."""
+    names = [f"f{w}" for w in range(spec.bits // 64)]
     apart = cells(keyed, spec.bucket_rows, "node")
     dealt = apart.select("key", F.col("cell").cast("long").alias("cell"), "node", *names).repartition("key", "cell")
     return dealt.sortWithinPartitions("key", "cell").mapInArrow(_bucket_links(spec), "u long, v long")

@@ -5,11 +5,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from motifloom.llm import lines, queries, simhash, suffixes, windows
+from motifloom.llm import copies, lines, queries, simhash, suffixes, windows
 
 from .conftest import prose
 from .test_kernels import groups
@@ -161,6 +162,45 @@ def test_simhash_finds_near_copies(make):
     assert {r.doc_id: r.component_id for r in got} == {i: i % 10 for i in range(20)}
 
 
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+@pytest.mark.parametrize("group_rows", [4, 512])
+def test_near_copies(make, odd_rows, group_rows):
+    rows = corpus() + [(200 + d if d is not None else None, t) for d, t in odd_rows]
+    got = copies.near_copies(make(rows, ["f0", "component_id", "node", "key"]), copies.Copies(group_rows=group_rows, bucket_rows=4)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
+    known = [(d, shingle_set(t)) for d, t in rows if d is not None]
+    pairs = [(a, b) for a in range(len(known)) for b in range(a) if known[a][0] == known[b][0] or alike(known[a][1], known[b][1])]
+    label = groups(pairs, len(known))
+    least = defaultdict(lambda: 10**9)
+    for i, g in enumerate(label):
+        least[g] = min(least[g], known[i][0])
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == sorted((known[i][0], least[g]) for i, g in enumerate(label))
+    assert all(r.component_id is None for r in got if r.doc_id is None)
+
+
+def halves(seed, n, same):
+    """Two texts with 2 * (n - 4) shingles, of which the first ``same`` are shared."""
+    word = [f"w{seed}x{i}" for i in range(2 * n)]
+    return " ".join(word[:n]), " ".join(word[: same + 4] + word[n : 2 * n - same - 4])
+
+
+@pytest.mark.parametrize("n, same", [(104, 89), (13, 8), (404, 356)])
+def test_near_dedup_keeps_no_copy_at_the_threshold(spark, make, n, same):
+    """Pairs just at a similarity of 0.8 differ in 19 bits on average, many in more than 23."""
+    pairs = [halves(i, n, same) for i in range(300)]
+    assert alike(*map(shingle_set, pairs[0]))
+    docs = make([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == list(range(0, 600, 2))
+
+
 def test_line_dedup(make, odd_rows):
     rows = [(i, f"{prose(i, 12)}\nAll rights reserved by us.\nError 0x{i:04x} at line {i} of file\nshort\n{prose(i + 99, 15)}") for i in range(6)]
     rows += [(10, "All rights reserved by us."), (11, None), (12, ""), (11, "")]
