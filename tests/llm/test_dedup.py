@@ -201,6 +201,17 @@ def test_near_dedup_keeps_no_copy_at_the_threshold(spark, make, n, same):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == list(range(0, 600, 2))
 
 
+def test_near_dedup_keeps_documents_under_the_threshold(spark, make):
+    """Pairs at 0.74, and edited copies of one passage at 0.7 to one another, are different documents."""
+    pairs = [halves(i, 104, 85) for i in range(100)]
+    passage = halves(1000, 104, 0)[0].split()
+    group = [" ".join(passage[:90] + halves(1001 + i, 18, 0)[0].split()) for i in range(60)]
+    sets = [shingle_set(t) for t in group]
+    assert not any(alike(a, b) for i, a in enumerate(sets) for b in sets[:i])
+    docs = make(list(enumerate([*(t for p in pairs for t in p), *group])))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == list(range(260))
+
+
 def test_line_dedup(make, odd_rows):
     rows = [(i, f"{prose(i, 12)}\nAll rights reserved by us.\nError 0x{i:04x} at line {i} of file\nshort\n{prose(i + 99, 15)}") for i in range(6)]
     rows += [(10, "All rights reserved by us."), (11, None), (12, ""), (11, "")]
