@@ -59,8 +59,8 @@ def _rank(verdict: Column, host: Column, path: Column) -> Column:
     return F.struct(F.length(rule).alias("n"), (verdict == "allow").cast("int").alias("allow"), rule.alias("rule"), verdict.alias("verdict"))
 
 
-def judge(urls: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
-    """Add ``rule`` and ``rule_verdict`` (null without a fitting rule) to ``urls(key, host, path, ...)``."""
+def judge(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Add ``rule`` and ``rule_verdict`` (null without a fitting rule) to ``urls(host, path, ...)``."""
     checked = [Rule(*r) for r in rules]
     if bad := [r for r in checked if r.verdict not in ("allow", "block")]:
         raise ValueError(f"verdicts are allow or block: {bad}")
@@ -73,9 +73,9 @@ def judge(urls: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
         return urls.withColumn("best", best).select(*urls.columns, F.col("best.rule").alias("rule"), F.col("best.verdict").alias("rule_verdict"))
     table = urls.sparkSession.createDataFrame(checked, "verdict string, rhost string, rpath string")
     suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))")
-    hits = urls.select(key, "host", "path", F.explode(suffixes).alias("rhost")).join(table, "rhost").where(F.expr("startswith(path, rpath)"))
-    best = hits.groupBy(key).agg(F.max(_rank(F.col("verdict"), F.col("rhost"), F.col("rpath"))).alias("best"))
-    return urls.join(best, key, "left").select(*urls.columns, F.col("best.rule").alias("rule"), F.col("best.verdict").alias("rule_verdict"))
+    hits = urls.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("rhost")).join(table, "rhost").where(F.expr("startswith(path, rpath)"))
+    best = hits.groupBy("host", "path").agg(F.max(_rank(F.col("verdict"), F.col("rhost"), F.col("rpath"))).alias("best"))
+    return urls.join(best, ["host", "path"], "left").select(*urls.columns, F.col("best.rule").alias("rule"), F.col("best.verdict").alias("rule_verdict"))
 
 
 def address(url: Column) -> Column:
@@ -121,9 +121,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None
         classes = store(components(found), "url-classes").keep()
     classes = classes.read()
     named = classes.select("component", F.col("node").alias("address"), host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
-    blocked = judge(named, rules, "address").where("rule_verdict = 'block'").select("component").distinct()
+    blocked = judge(named, rules).where("rule_verdict = 'block'").select("component").distinct()
     tainted = classes.join(blocked, "component", "left_semi").select(F.col("node").alias("address"), F.lit(True).alias("tainted"))
     rows = pages.select(F.col(key), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), address(F.col("url")).alias("address"))
-    judged = judge(rows, rules, key).join(tainted, "address", "left")
+    judged = judge(rows, rules).join(tainted, "address", "left")
     verdict = F.coalesce("rule_verdict", F.when(F.col("tainted"), "block"), F.lit(default))
     return judged.select(key, "host", "path", "rule", verdict.alias("verdict"), "address")

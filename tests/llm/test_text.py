@@ -125,6 +125,15 @@ def test_url_rules(spark):
         urls.filter_urls(df, [urls.Rule("maybe", "com", "/")])
 
 
+def test_many_url_rules_judge_each_row(spark):
+    """More rules than are tried inline give the same verdicts, with null ids and ids that several addresses share."""
+    pages = [(None, "http://example.com/en/a"), (1, "http://example.com/en/b"), (1, "http://www.example.com/en/b"), (1, "http://other.org/"), (2, None), (None, None)]
+    df = spark.createDataFrame([(i, u, None) for i, u in pages], "page_id long, url string, html string")
+    many = [*RULES, *(urls.Rule("block", f"h{i}.info", "/") for i in range(urls.INLINE_RULES))]
+    few, joined = (sorted(map(str, urls.filter_urls(df, r).collect())) for r in (RULES, many))
+    assert joined == few and len(joined) == len(pages) and sum("'block'" in r for r in joined) == 2
+
+
 def test_url_aliases(spark):
     link = '<html><LINK href="{}" rel="canonical"></html>'
     turn = "<meta http-equiv='refresh' content='0; url={}'>"
