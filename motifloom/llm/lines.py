@@ -2,15 +2,19 @@
 
 A line's tokens are its white-space runs; tokens with a digit are variable
 fields, ``<*>``. The tree has a fixed depth: the number of tokens, then the
-first ``depth`` tokens. At a leaf, positions that most lines fill alike are
-constants and the others variable: that is the leaf's template, and lines that
-agree with at least ``similarity`` of their positions are of it. A line whose
+first ``depth`` tokens. At a node, positions that most lines fill alike are
+constants and the others variable: that is the node's template, and lines that
+agree with at least ``similarity`` of their positions are of it. The lines that
+are of no recurring template move on to children of the node, by their token at
+the position where these lines have the fewest different tokens but two at
+least; so several templates of one leaf part from one another and from
+unrelated lines. There are ``splits`` such levels below a leaf. A line whose
 masked tokens recur as they are is a template of its own.
 
 A template of ``min_docs`` documents or more recurs; its lines are dropped. By
 default its first line (smallest document id, then line number) stays, so that
 no content vanishes from the corpus with its copies; ``keep="none"`` drops
-that as well. Lines under ``min_tokens`` tokens are left alone.
+that as well. Lines whose tokens have under ``min_bytes`` bytes are left alone.
 
 Nulls: a null text has no lines and stays null, null ids come first. Repeated
 rows are documents of their own; of rows equal in id and text all are treated
@@ -35,8 +39,9 @@ from motifloom.session import let_workers_import, scratch, store
 @dataclass(frozen=True)
 class Tree:
     depth: int = 3
+    splits: int = 3
     similarity: float = 0.8
-    min_tokens: int = 4
+    min_bytes: int = 16
     min_docs: int = 3
     keep: str = "first"
 
@@ -65,6 +70,8 @@ class Lines:
         self.text_first = np.concatenate(([0], np.cumsum([t.count(b"\n") + 1 for t in texts], dtype=np.int64)))
         n = np.bincount(np.searchsorted(breaks, begin), minlength=len(breaks) + 1)
         self.first = np.concatenate(([0], np.cumsum(n)))
+        sizes = np.concatenate(([0], np.cumsum(end - begin)))
+        self.size = sizes[self.first[1:]] - sizes[self.first[:-1]]
 
     def marks(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each line's leaf, and a 128-bit hash of its tokens."""
@@ -86,7 +93,7 @@ def _parse(tree: Tree):
             texts = [as_bytes(t) for t in batch.column(3).to_pylist()]
             for a, b in chunks(map(len, texts)):
                 found = Lines(texts[a:b])
-                keep = np.flatnonzero(np.diff(found.first) >= tree.min_tokens)
+                keep = np.flatnonzero(found.size >= tree.min_bytes)
                 owner = np.searchsorted(found.text_first, keep, "right") - 1
                 keys = [batch.column(c).slice(a, b - a).take(pa.array(owner)) for c in range(3)]
                 number = pa.array(keep - found.text_first[owner])
@@ -96,8 +103,8 @@ def _parse(tree: Tree):
 
 
 def _tokens(tree: Tree):
-    """Arrow function (d0, d1, doc_id, text, line numbers) -> those lines with their leaf and tokens."""
-    names = [*[x.split()[0] for x in _LINE.split(", ")], "tokens"]
+    """Arrow function (d0, d1, doc_id, text, line numbers) -> the hash and tokens of those lines."""
+    names = ["m0", "m1", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 3):
@@ -108,10 +115,9 @@ def _tokens(tree: Tree):
                 owner = np.repeat(np.arange(b - a), [len(x) for x in numbers])
                 number = np.concatenate(numbers)
                 at = found.text_first[owner] + number
-                keys = [batch.column(c).slice(a, b - a).take(pa.array(owner)) for c in range(3)]
                 tokens = [signed(found.token[found.first[i] : found.first[i + 1]]) for i in at.tolist()]
-                leaf = found.marks(tree.depth)[0][at]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(number), pa.array(leaf), pa.array(tokens, pa.list_(pa.int64()))], names)
+                _, m0, m1 = found.marks(tree.depth)
+                yield pa.RecordBatch.from_arrays([pa.array(m0[at]), pa.array(m1[at]), pa.array(tokens, pa.list_(pa.int64()))], names)
 
     return run
 
@@ -137,32 +143,64 @@ def _dropped(lines: DataFrame, templates: DataFrame, key: list[str], tree: Tree)
     return (joined if tree.keep == "none" else joined.where(~here.eqNullSafe(F.col("place")))).select("d0", "d1", "line_no")
 
 
-def leaf_templates(lines: DataFrame) -> DataFrame:
-    """``(leaf, template)`` of ``lines(leaf, tokens)``: the token most lines have at each place, or null."""
-    votes = lines.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-    most = votes.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
+def node_templates(kinds: DataFrame) -> DataFrame:
+    """``(node, template)`` of ``kinds(node, tokens, n)``: the token most lines have at each place, or null."""
+    votes = kinds.select("node", "n", F.posexplode("tokens").alias("at", "token")).groupBy("node", "at", "token").agg(F.sum("n").alias("n"))
+    most = votes.groupBy("node", "at").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
     constant = F.when(F.col("top.n") * 2 > F.col("all"), F.col("top.token"))
-    places = most.select("leaf", F.struct("at", constant.alias("token")).alias("p")).groupBy("leaf").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    return places.select("leaf", F.transform("ps", lambda p: p["token"]).alias("template"))
+    places = most.select("node", F.struct("at", constant.alias("token")).alias("p")).groupBy("node").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    return places.select("node", F.transform("ps", lambda p: p["token"]).alias("template"))
+
+
+def children(rest: DataFrame) -> DataFrame:
+    """``rest(node, tokens, ...)`` moved to children, by the token where the node's lines differ least."""
+    tokens = rest.select("node", F.posexplode("tokens").alias("at", "token")).distinct()
+    differ = tokens.groupBy("node", "at").agg(F.count("*").alias("tokens")).where("tokens > 1")
+    place = differ.groupBy("node").agg(F.min(F.struct("tokens", "at"))["at"].alias("at"))
+    child = F.xxhash64("node", "at", F.get("tokens", F.col("at")))
+    return rest.join(place, "node").withColumn("node", child).drop("at")
+
+
+def line_kinds(docs: DataFrame, lines: DataFrame, tree: Tree) -> tuple[DataFrame, DataFrame]:
+    """``(node, m0, m1, n, tokens)``, each different line of leaves that may generalise, and their ``lines``."""
+    kinds = lines.groupBy("leaf", "m0", "m1").agg(F.count("*").alias("n"), F.min(F.struct("d0", "d1", "line_no")).alias("one"))
+    kinds = store(kinds, "line-kinds").read()
+    leaves = kinds.groupBy("leaf").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where((F.col("all") >= tree.min_docs) & (F.col("kinds") > 1))
+    kinds = store(kinds.join(leaves.select("leaf"), "leaf").select(F.col("leaf").alias("node"), "m0", "m1", "n", "one"), "leaf-kinds").read()
+    numbers = kinds.groupBy("one.d0", "one.d1").agg(F.collect_set("one.line_no").alias("numbers"))
+    # Such lists grow with the corpus, so they are joined by a shuffle at every size.
+    texts = keyed(docs).join(numbers.hint("merge"), ["d0", "d1"]).select("d0", "d1", "doc_id", "text", "numbers")
+    tokens = texts.mapInArrow(_tokens(tree), "m0 long, m1 long, tokens array<long>").dropDuplicates(["m0", "m1"])
+    kinds = store(kinds.drop("one").join(tokens, ["m0", "m1"]), "token-kinds").read()
+    return kinds, store(lines.drop("leaf").join(kinds.select("m0", "m1"), ["m0", "m1"]), "leaf-lines").read()
+
+
+def node_drops(kinds: DataFrame, lines: DataFrame, tree: Tree) -> list[DataFrame]:
+    """``(d0, d1, line_no)`` of the lines to drop, level by level below the leaves."""
+    agreed = F.aggregate(F.zip_with("tokens", "template", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0))), F.lit(0), lambda acc, x: acc + x)
+    out = []
+    for level in range(tree.splits + 1):
+        nodes = kinds.groupBy("node").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where((F.col("all") >= tree.min_docs) & (F.col("kinds") > 1))
+        kinds = store(kinds.join(nodes.select("node"), "node"), "node-kinds").read()
+        if kinds.isEmpty():
+            break
+        close = kinds.join(node_templates(kinds), "node").where(agreed >= F.size("tokens") * tree.similarity).select("node", "m0", "m1")
+        met = store(close.join(lines, ["m0", "m1"]), "template-lines").read()
+        found = store(_recurring(met, ["node"], tree), "node-templates").read()
+        out.append(store(_dropped(met, found, ["node"], tree), "node-drops").read())
+        if level < tree.splits:
+            settled = met.join(found.select("node"), "node", "left_semi").select("m0", "m1").distinct()
+            kinds = store(children(kinds.join(settled, ["m0", "m1"], "left_anti")), "node-children").read()
+    return out
 
 
 def template_lines(docs: DataFrame, tree: Tree) -> DataFrame:
     """``(d0, d1, line_no)`` of the lines to drop from ``docs(doc_id, text)``."""
     lines = store(keyed(docs).mapInArrow(_parse(tree), f"{_LINE}, m0 long, m1 long"), "lines").read()
-    by_line = store(_dropped(lines, _recurring(lines, ["m0", "m1"], tree), ["m0", "m1"], tree), "line-drops").read()
-    # Leaves that different lines share often enough may generalise.
-    # Documents are counted below, when it is known which lines are of the template.
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("m0").alias("lo"), F.max("m0").alias("hi"))
-    leaves = leaves.where((F.col("n") >= tree.min_docs) & (F.col("lo") != F.col("hi"))).select("leaf")
-    numbers = store(lines.join(leaves, "leaf").groupBy("d0", "d1").agg(F.collect_set("line_no").alias("numbers")), "leaf-numbers").read()
-    # Such lists grow with the corpus, so they are joined by a shuffle at every size.
-    full = keyed(docs).join(numbers.hint("merge"), ["d0", "d1"]).select("d0", "d1", "doc_id", "text", "numbers")
-    full = store(full.mapInArrow(_tokens(tree), f"{_LINE}, tokens array<long>"), "leaf-lines").read()
-    agreed = F.aggregate(F.zip_with("tokens", "template", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0))), F.lit(0), lambda acc, x: acc + x)
-    close = full.join(leaf_templates(full), "leaf").where(agreed >= F.size("tokens") * tree.similarity).drop("tokens", "template")
-    close = store(close, "template-lines").read()
-    by_leaf = _dropped(close, _recurring(close, ["leaf"], tree), ["leaf"], tree)
-    return by_line.union(by_leaf).distinct()
+    drops = store(_dropped(lines, _recurring(lines, ["m0", "m1"], tree), ["m0", "m1"], tree), "line-drops").read()
+    for some in node_drops(*line_kinds(docs, lines, tree), tree):
+        drops = drops.union(some)
+    return drops.distinct()
 
 
 def _without(n_docs: int):

@@ -187,44 +187,57 @@ with parts as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from named left join best using (page_id)
 """
 
-_OP1 = """
-with line as (
+def _op1(tree: lines.Tree) -> str:
+    """Lines, their templates level by level, and what stays."""
+    sql = f"""
+with line as materialized (
   select doc_id, i as line_no, ls[i] as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null))
 ), token as (
-  select doc_id, line_no, list_transform(regexp_extract_all(line, '[^ \\x09-\\x0D]+'), lambda t: case when regexp_matches(t, '[0-9]') then chr(1) else t end) as k from line
-), parsed as (
-  select *, len(k) as n, {'n': len(k), 'lead': k[1:3]} as leaf from token where len(k) >= 4
+  select doc_id, line_no, regexp_extract_all(line, '[^ \\x09-\\x0D]+') as words from line
+), parsed as materialized (
+  select *, len(k) as n from (
+    select doc_id, line_no, list_transform(words, lambda t: case when regexp_matches(t, '[0-9]') then chr(1) else t end) as k
+    from token where strlen(array_to_string(words, '')) >= {tree.min_bytes})
 ), exact as (
-  select k, min((doc_id, line_no)) as place from parsed group by k having count(distinct doc_id) >= 3
-), by_line as (
-  select doc_id, line_no from parsed join exact using (k) where (doc_id, line_no) <> place
-), shared as (
-  select leaf from parsed group by leaf having count(*) >= 3 and count(distinct k) > 1
-), member as (
-  select doc_id, line_no, leaf, n, k from parsed where leaf in (select leaf from shared)
-), place as (
-  select doc_id, line_no, leaf, n, unnest(range(1, n + 1)) as i, unnest(k) as t from member
-), vote as (
-  select leaf, i, t, count(*) as c from place group by leaf, i, t
-), constant as (
-  select leaf, i, arg_max(t, c) as t from vote group by leaf, i having max(c) * 2 > sum(c)
-), close as (
-  select p.doc_id, p.line_no, p.leaf from place p join constant c on p.leaf = c.leaf and p.i = c.i and p.t = c.t
-  group by p.doc_id, p.line_no, p.leaf, p.n having count(*) >= p.n * 0.8::double
-), template as (
-  select leaf, min((doc_id, line_no)) as place from close group by leaf having count(distinct doc_id) >= 3
-), by_leaf as (
-  select doc_id, line_no from close join template using (leaf) where (doc_id, line_no) <> place
-), dropped as (
-  select doc_id, line_no from by_line union select doc_id, line_no from by_leaf
+  select k, min((doc_id, line_no)) as place from parsed group by k having count(distinct doc_id) >= {tree.min_docs}
+), rest0 as (
+  select doc_id, line_no, n, k, to_json({{'n': n, 'lead': k[1:{tree.depth}]}})::varchar as node from parsed
+)"""
+    for level in range(tree.splits + 1):
+        sql += f""", member{level} as materialized (
+  select * from rest{level} where node in (select node from rest{level} group by node having count(*) >= {tree.min_docs} and count(distinct k) > 1)
+), place{level} as materialized (
+  select doc_id, line_no, node, n, unnest(range(1, n + 1)) as i, unnest(k) as t from member{level}
+), constant{level} as (
+  select node, i, arg_max(t, c) as t from (select node, i, t, count(*) as c from place{level} group by node, i, t) group by node, i having max(c) * 2 > sum(c)
+), close{level} as materialized (
+  select p.doc_id, p.line_no, p.node from place{level} p join constant{level} c using (node, i, t)
+  group by p.doc_id, p.line_no, p.node, p.n having count(*) >= p.n * {tree.similarity}::double
+), template{level} as materialized (
+  select node, min((doc_id, line_no)) as place from close{level} group by node having count(distinct doc_id) >= {tree.min_docs}
+), left{level} as materialized (
+  select doc_id, line_no, n, k, node from member{level} anti join (select doc_id, line_no from close{level} semi join template{level} using (node)) using (doc_id, line_no)
+), pick{level} as (
+  select node, min((d, i)) as p from (select node, i, count(distinct t) as d from place{level} semi join left{level} using (doc_id, line_no) group by node, i) where d > 1 group by node
+), rest{level + 1} as materialized (
+  select doc_id, line_no, n, k, node || to_json({{'at': p[2], 'token': k[p[2]]}})::varchar as node from left{level} join pick{level} using (node)
+)"""
+    dropped = " union ".join(f"select doc_id, line_no from close{i} join template{i} using (node) where (doc_id, line_no) <> place" for i in range(tree.splits + 1))
+    return f"""{sql}, dropped as (
+  select doc_id, line_no from parsed join exact using (k) where (doc_id, line_no) <> place union {dropped}
 ), kept as (
   select doc_id, string_agg(line, chr(10) order by line_no) as text from line anti join dropped using (doc_id, line_no) group by doc_id
+), gone as (
+  select doc_id, count(*) as n from dropped group by doc_id
 )
-select d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines, (select count(*) from dropped x where x.doc_id = d.doc_id) as n_dropped,
+select d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines, coalesce(gone.n, 0) as n_dropped,
   case when d.text is not null then sha256(coalesce(kept.text, '')) end as kept_sha256
-from documents d left join kept using (doc_id)
+from documents d left join kept using (doc_id) left join gone using (doc_id)
 """
 
+
+_OP1 = _op1(lines.Tree())
+
 _OP3 = """
 with raw as (
   select doc_id, encode(coalesce(text, '')) as b from documents

@@ -230,6 +230,58 @@ def test_line_dedup(make, odd_rows):
         lines.dedup_lines(make(rows), lines.Tree(keep="last"))
 
 
+def brute_lines(rows, tree):
+    """Rows to (id, kept text), by the definition in the operator's docstring; ids differ and are not null."""
+    parsed = []
+    for d, t in rows:
+        for i, line in enumerate((t or "").split("\n") if t is not None else []):
+            words = re.findall(r"[^ \x09-\x0D]+", line)
+            if sum(len(w.encode()) for w in words) >= tree.min_bytes:
+                parsed.append((d, i, tuple("*" if re.search("[0-9]", w) else w for w in words)))
+    gone = set()
+
+    def recurs(some):
+        if len({d for d, _, _ in some}) >= tree.min_docs:
+            gone.update(sorted((d, i) for d, i, _ in some)[1:])
+            return True
+        return False
+
+    by_line, nodes = defaultdict(list), defaultdict(list)
+    for x in parsed:
+        by_line[x[2]].append(x)
+        nodes[len(x[2]), x[2][: tree.depth]].append(x)
+    for some in by_line.values():
+        recurs(some)
+    for _ in range(tree.splits + 1):
+        below = defaultdict(list)
+        for node, some in nodes.items():
+            if len(some) < tree.min_docs or len({k for _, _, k in some}) < 2:
+                continue
+            votes = [Counter(c).most_common(1)[0] for c in zip(*(k for _, _, k in some), strict=True)]
+            fixed = [t if 2 * n > len(some) else None for t, n in votes]
+            close = [x for x in some if sum(a == b for a, b in zip(x[2], fixed, strict=True)) >= len(fixed) * tree.similarity]
+            rest = [x for x in some if x not in close] if recurs(close) else some
+            differ = [(len(set(c)), i) for i, c in enumerate(zip(*(k for _, _, k in rest), strict=True)) if len(set(c)) > 1]
+            for x in rest if differ else []:
+                below[node, min(differ)[1], x[2][min(differ)[1]]].append(x)
+        nodes = below
+    return sorted((d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone)) for d, t in rows)
+
+
+def test_line_dedup_parts_the_templates_of_a_leaf(make):
+    """Templates that share a leaf with one another, and with unrelated lines, are found as they are alone."""
+    frames = ["Posted by user {} in travel forum today", "Posted by user {} on sport page yesterday", "Posted by user {} under music tag tonight"]
+    lone = [(i, frames[0].format(f"name{chr(97 + i)}")) for i in range(6)]
+    both = lone + [(10 + i, frames[1].format(f"nick{chr(97 + i)}")) for i in range(6)]
+    third = both + [(20 + i, frames[2].format(f"call{chr(97 + i)}")) for i in range(6)] + [(30 + i, f"Posted by user {prose(i, 5)}") for i in range(9)]
+    for rows, dropped in ((lone, 5), (both, 10), (third, 15)):
+        got = [(r.doc_id, r.text) for r in lines.dedup_lines(make(rows)).collect()]
+        assert sorted(got) == brute_lines(rows, lines.Tree()) and sum(t == "" for _, t in got) == dropped
+    mixed = [(i, f"{prose(i % 9, 6)}\n{frames[i % 3].format(prose(i, 1))}\nVersion {i} of the text {prose(i % 4, 1)} is here\n{prose(i % 5, 12)}") for i in range(40)] + [(41, None), (42, "")]
+    for tree in (lines.Tree(), lines.Tree(splits=0), lines.Tree(depth=1, min_docs=2, min_bytes=1)):
+        assert sorted((r.doc_id, r.text) for r in lines.dedup_lines(make(mixed), tree).collect()) == brute_lines(mixed, tree)
+
+
 def test_empty_tables(make):
     none = make([])
     assert suffixes.dedup_substrings(none).count() == 0
