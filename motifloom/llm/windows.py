@@ -1,21 +1,25 @@
 """Incremental substring deduplication over a log-structured fingerprint index.
 
-The index is a set of immutable runs: tables of window hashes, each with the
-smallest document id it was seen in, bucketed and sorted by hash. A new batch
-of documents, all with larger ids, is merge-joined with the runs and with
-itself; windows first seen in a smaller document are hits, the batch's new
-windows become a run, and too many runs are compacted into one.
-
-A window is ``size`` consecutive words. Its 128-bit hash is two independent
-polynomials over independent word hashes: the first finds a partner, the
-second verifies it.
-
-Keeping every window of every document would cost several times the text, so
-``candidates`` leaves out windows that can't repeat: each window picks one
-anchor in it by content alone (see ``kernels.Anchors``), equal windows pick
-equal anchors, and an anchor that occurs in one text only settles all windows
-that picked it. Nothing else is left out. Equal texts are handled as one: a
-copy repeats the text of its smallest id as a whole.
+A window is ``size`` consecutive words. Its fingerprint is the least hash of
+the ``GRAM``-word strings in it (its anchor, see ``kernels.Anchors``): equal
+windows have equal fingerprints at equal offsets, and neighbouring windows
+share theirs, so a text has about one for each 18 words. The index holds the
+fingerprints of *every* window of every text it was given; what enters it does
+not depend on what else is in the batch.
+
+The index is a set of immutable runs, tables bucketed and sorted by
+fingerprint, named by a manifest in a folder, so that a later session can open
+it and go on. A new batch becomes a run; it is merge-joined with each older run
+where they lie, without moving either, and matches are the texts of both sides
+that share a fingerprint. Too many runs are compacted into one.
+
+Matches are verified: the windows behind a shared fingerprint are read from
+the texts and grouped by a hash of their words, the smallest document of each
+group is the window's first place, and at last the words of each passage are
+compared with those at its first place.
+
+Equal texts (by a 128-bit digest) of a batch are handled as one; of rows with
+equal texts all but those of the smallest id repeat it as a whole.
 
 Nulls: a null text has no words. Rows without an id neither remove nor lose
 words. Repeated rows of one id are one document: equal ids never remove from
@@ -24,15 +28,16 @@ one another.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motifloom.llm.kernels import Anchors, Rolling, Words, as_bytes, chunks, mix, signed, small_batches, spans, unsigned, xxh64
+from motifloom.llm.kernels import Anchors, Rolling, Words, as_bytes, chunks, mix, signed, small_batches, spans, xxh64
 from motifloom.llm.skew import digest
 from motifloom.session import Stored, delete, let_workers_import, scratch, shared_dir, store
 
@@ -89,59 +94,110 @@ def _window_rows(size: int):
 
 
 class WindowIndex:
-    """Runs of ``(w0, w1, first)``; ``ingest`` batches in ascending order of document id."""
+    """Runs of ``(anchor, d0, d1, doc_id)`` in a folder that driver and executors share.
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
-        self.runs: list[tuple[str, str]] = []
+    ``buckets`` holds for the life of the index. ``ingest`` batches in any
+    order. Opening a folder with a manifest goes on where it was left. A run is
+    complete before the manifest names it, and the manifest is replaced in one
+    step, so a broken-off batch leaves the index as it was before.
+    """
 
-    def _write(self, rows: DataFrame) -> None:
-        """A run: one file for each bucket of ``w0``, sorted, in the shared folder."""
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4, buckets: int | None = None):
+        self.spark, self.fanout = spark, fanout
+        self.path = (path or f"{shared_dir(spark)}/motifloom-index-{uuid.uuid4().hex}").rstrip("/")
+        self.runs: list[str] = []
+        self.compactions = 0
+        known = self._manifest()
+        self.buckets = known["buckets"] if known else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        for name in known["runs"] if known else []:
+            self._attach(name)
+            self.runs.append(name)
+
+    def _file(self, name: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _manifest(self) -> dict | None:
+        for name in ("manifest.json", "manifest.new"):  # the second only after a stop between delete and rename
+            where, fs = self._file(name)
+            if fs.exists(where):
+                stream = fs.open(where)
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                stream.close()
+                return json.loads(text)
+        return None
+
+    def _commit(self, runs: list[str]) -> None:
+        (new, fs), (old, _) = self._file("manifest.new"), self._file("manifest.json")
+        stream = fs.create(new, True)
+        stream.write(bytearray(json.dumps({"buckets": self.buckets, "runs": runs}), "utf-8"))
+        stream.close()
+        fs.delete(old, False)
+        fs.rename(new, old)
+        self.runs = runs
+
+    def _attach(self, name: str) -> None:
+        """Tell the session's catalog how a run lies on disk."""
+        columns = "anchor bigint, d0 bigint, d1 bigint, doc_id bigint"
+        how = f"clustered by (anchor) sorted by (anchor) into {self.buckets} buckets"
+        self.spark.sql(f"create table if not exists {name} ({columns}) using parquet {how} location '{self.path}/{name}'")
+
+    def _write(self, rows: DataFrame) -> str:
+        """A run of ``rows``, which lie as its buckets will."""
         name = f"motifloom_run_{uuid.uuid4().hex}"
-        path = f"{shared_dir(self.spark)}/{name}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.repartition(n, "w0").write.option("path", path).bucketBy(n, "w0").sortBy("w0", "w1").saveAsTable(name)
-        self.runs.append((name, path))
-
-    def known(self) -> DataFrame | None:
-        """The windows of all runs; one that is in several runs has its smallest id first."""
-        out = None
-        for name, _ in self.runs:
-            run = self.spark.table(name)
-            out = run if out is None else out.union(run)
-        return out if out is None or len(self.runs) == 1 else out.groupBy("w0", "w1").agg(F.min("first").alias("first"))
-
-    def ingest(self, windows: DataFrame) -> DataFrame:
-        """Hits ``(d0, d1, pos)`` among ``windows(w0, w1, d0, d1, doc_id, pos)``; the batch enters the index."""
-        mine = store(windows.groupBy("w0", "w1").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("last")), "batch")
-        known = self.known()
-        if known is None:
-            met = mine.read().withColumn("first", F.lit(None).cast("long"))
-        else:
-            met = mine.read().join(known, ["w0", "w1"], "left")
-        repeated = met.select("w0", "w1", F.coalesce("first", "own").alias("first"), "last").where("last > first")
-        hits = store(windows.join(repeated, ["w0", "w1"]).where("doc_id > first").select("d0", "d1", "pos"), "hits")
-        self._write(met.where("first is null").select("w0", "w1", F.col("own").alias("first")))
-        mine.drop()
+        rows.write.option("path", f"{self.path}/{name}").bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
+        return name
+
+    def matches(self, new: str, old: str) -> list[DataFrame]:
+        """Rows of two runs whose anchor is in both; both sides are joined where they lie."""
+        a, b = self.spark.table(new), self.spark.table(old)
+        return [a.join(b.select("anchor"), "anchor", "left_semi"), b.join(a.select("anchor"), "anchor", "left_semi")]
+
+    def ingest(self, texts: DataFrame) -> Stored:
+        """``(anchor, d0, d1, doc_id)``: what different texts share with those of ``texts(d0, d1, doc_id, anchors)``; the batch enters the index.
+
+        Rows may repeat.
+        """
+        new = self._write(texts.select(F.explode("anchors").alias("anchor"), "d0", "d1", "doc_id").repartition(self.buckets, "anchor"))
+        mine = self.spark.table(new)
+        several = mine.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+        found = mine.join(several, "anchor", "left_semi")
+        for old in self.runs:
+            for some in self.matches(new, old):
+                found = found.union(some)
+        found = store(found, "matches")
+        self._commit([*self.runs, new])
         if len(self.runs) > self.fanout:
             self.compact()
-        return hits.read()
+        return found
+
+    def rows(self) -> DataFrame:
+        """All that the index holds, read as plain files: a union of bucketed tables can pass for bucketed where it isn't read so."""
+        return self.spark.read.schema("anchor long, d0 long, d1 long, doc_id long").parquet(*[f"{self.path}/{name}" for name in self.runs])
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        old = list(self.runs)
-        self._write(self.known())
-        self.runs = self.runs[-1:]
+        """Merge all runs into one; a text met in several has its smallest id."""
+        old = self.runs
+        merged = self.rows().repartition(self.buckets, "anchor").groupBy("anchor", "d0", "d1").agg(F.min("doc_id").alias("doc_id"))
+        self._commit([self._write(merged)])
         self._drop(old)
+        self.compactions += 1
 
     def close(self) -> None:
-        self._drop(self.runs)
+        """Forget the tables in this session; the folder stays."""
+        for name in self.runs:
+            self.spark.sql(f"drop table if exists {name}")  # of external tables, the files stay
+
+    def destroy(self) -> None:
+        """Delete the index."""
+        self.close()
         self.runs = []
+        delete(self.spark, self.path)
 
-    def _drop(self, runs: list[tuple[str, str]]) -> None:
-        for name, path in runs:
+    def _drop(self, runs: list[str]) -> None:
+        for name in runs:
             self.spark.sql(f"drop table if exists {name}")
-            delete(self.spark, path)
+            delete(self.spark, f"{self.path}/{name}")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -157,16 +213,77 @@ def texts_with_anchors(docs: DataFrame, size: int) -> DataFrame:
     return rows.groupBy("d0", "d1").agg(F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors"))
 
 
-def candidates(docs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """``(w0, w1, d0, d1, doc_id, pos)``: windows of ``texts`` whose anchor is in two texts at least."""
-    anchors = texts.select("d0", "d1", "doc_id", F.explode("anchors").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    lists = anchors.join(shared, "anchor").groupBy("d0", "d1", "doc_id").agg(F.collect_list("anchor").alias("anchors"))
+def shared_windows(docs: DataFrame, matches: DataFrame, size: int) -> DataFrame:
+    """``(w0, w1, d0, d1, doc_id, pos)``: windows of ``docs`` behind the anchors of ``matches(anchor, d0, d1, doc_id)``."""
+    lists = matches.groupBy("d0", "d1").agg(F.min("doc_id").alias("doc_id"), F.collect_set("anchor").alias("anchors"))
     lists = store(lists, "anchor-lists").read()
-    rows = keyed(docs).join(lists, ["d0", "d1", "doc_id"]).select("d0", "d1", "doc_id", "text", "anchors")
+    rows = keyed(docs).join(lists, ["d0", "d1", "doc_id"]).select("d0", "d1", "doc_id", "text", "anchors").dropDuplicates(["d0", "d1"])
     return rows.mapInArrow(_window_rows(size), "w0 long, w1 long, d0 long, d1 long, doc_id long, pos long")
 
 
+def repeated_windows(windows: DataFrame) -> DataFrame:
+    """``(d0, d1, pos, f0, f1, at)``: windows that also start in a smaller document, and the first such place."""
+    first = windows.groupBy("w0", "w1").agg(F.min(F.struct("doc_id", "pos", "d0", "d1")).alias("f"), F.max("doc_id").alias("last")).where("last > f.doc_id")
+    hits = windows.join(first, ["w0", "w1"]).where("doc_id > f.doc_id")
+    return hits.select("d0", "d1", "pos", F.col("f.d0").alias("f0"), F.col("f.d1").alias("f1"), F.col("f.pos").alias("at"))
+
+
+def passages(hits: DataFrame) -> DataFrame:
+    """``(d0, d1, f0, f1, pos, at, n)``: runs of ``n`` hits in a row whose first places are in a row as well."""
+    along = Window.partitionBy("d0", "d1", "f0", "f1", F.col("at") - F.col("pos")).orderBy("pos")
+    rows = hits.withColumn("run", F.col("pos") - F.row_number().over(along))
+    return rows.groupBy("d0", "d1", "f0", "f1", (F.col("at") - F.col("pos")).alias("shift"), "run").agg(F.min("pos").alias("pos"), F.min("at").alias("at"), F.count("*").alias("n"))
+
+
+def _passage_rows(size: int):
+    """Arrow function (d0, d1, text, places of (pos, n)) -> (d0, d1, pos, n, words): the passages' words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 2):
+            for d0, d1, text, places in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
+                words = as_bytes(text).split()
+                pos, n = [p["pos"] for p in places], [p["n"] for p in places]
+                said = [b" ".join(words[p : p + k + size - 1]) for p, k in zip(pos, n, strict=True)]
+                same = [pa.array([x] * len(places), pa.int64()) for x in (d0, d1)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(pos, pa.int64()), pa.array(n, pa.int64()), pa.array(said, pa.binary())], ["d0", "d1", "pos", "n", "words"])
+
+    return run
+
+
+def _agreeing(size: int):
+    """Arrow function (d0, d1, pos, n, words, first) -> (d0, d1, pos): hits whose words agree with the first place's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 4):
+            out: list[list[int]] = [[], [], []]
+            for d0, d1, pos, n, mine, first in zip(*[batch.column(c).to_pylist() for c in range(6)], strict=True):
+                if mine == first:
+                    fine = range(n)
+                else:  # equal hashes of different words
+                    a, b = mine.split(b" "), first.split(b" ")
+                    fine = [i for i in range(n) if a[i : i + size] == b[i : i + size]]
+                out[0] += [d0] * len(fine)
+                out[1] += [d1] * len(fine)
+                out[2] += [pos + i for i in fine]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["d0", "d1", "pos"])
+
+    return run
+
+
+def verified(docs: DataFrame, hits: DataFrame, size: int) -> DataFrame:
+    """``(d0, d1, pos)`` of the hits whose words are those at the first place."""
+    spans = store(passages(hits), "passages").read()
+    sides = spans.select("d0", "d1", "pos", "n").union(spans.select("f0", "f1", "at", "n")).distinct()
+    places = sides.groupBy("d0", "d1").agg(F.collect_list(F.struct("pos", "n")).alias("places"))
+    texts = keyed(docs).where("doc_id is not null").drop("doc_id").join(places.hint("merge"), ["d0", "d1"]).dropDuplicates(["d0", "d1"])
+    said = texts.select("d0", "d1", "text", "places").mapInArrow(_passage_rows(size), "d0 long, d1 long, pos long, n long, words binary")
+    said = store(said, "passage-words").read()
+    mine = spans.join(said, ["d0", "d1", "pos", "n"])
+    first = said.toDF("f0", "f1", "at", "n", "first")
+    both = mine.join(first, ["f0", "f1", "at", "n"]).select("d0", "d1", "pos", "n", "words", "first")
+    return both.mapInArrow(_agreeing(size), "d0 long, d1 long, pos long")
+
+
 def _removed(size: int, n_docs: int):
     """Arrow function: cut the words of hit windows, or all of them if the text repeats a smaller id's."""
 
@@ -196,40 +313,56 @@ def _removed(size: int, n_docs: int):
     return run
 
 
-def dedup_windows(docs: DataFrame, size: int = 50, batches: int = 3) -> DataFrame:
+def dedup_windows(docs: DataFrame, size: int = 50, batches: int = 6, fanout: int = 4) -> DataFrame:
     """``docs(doc_id, text, ...)`` with ``kept`` (words joined by spaces), ``n_words`` and ``n_removed``.
 
     A word goes if a window over it also starts in a document of smaller id.
-    The documents enter the index in ``batches`` ranges of ids.
+    The texts enter an index of their own in ``batches`` ranges of ids.
     """
     spark = docs.sparkSession
     with scratch(spark):
-        plan = _window_plan(docs, size, batches).keep()
-    plan = plan.read().withColumnsRenamed({"d0": "_d0", "d1": "_d1"})
+        plan = _window_plan(docs, size, batches, fanout).keep()
+    return cut_windows(docs, plan.read(), size)
+
+
+def cut_windows(docs: DataFrame, plan: DataFrame, size: int) -> DataFrame:
+    """What ``dedup_windows`` returns, from ``plan(d0, d1, _first, _hits)``."""
+    plan = plan.withColumnsRenamed({"d0": "_d0", "d1": "_d1"})
     others = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed", "_text", "_first", "_hits", "_d0", "_d1")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keys = digest(text)
-    rows = docs.select(*others, text.alias("_text"), keys[0].alias("_d0"), keys[1].alias("_d1")).join(plan, ["_d0", "_d1"], "left")
+    rows = docs.select(*others, text.alias("_text"), keys[0].alias("_d0"), keys[1].alias("_d1")).join(plan.hint("merge"), ["_d0", "_d1"], "left")
     rows = rows.select(*[F.col(c).cast("long").alias(c) if c == "doc_id" else c for c in others], "_text", "_first", "_hits")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-3])
     return rows.mapInArrow(_removed(size, len(others)), f"{kinds}, kept string, n_words long, n_removed long")
 
 
-def _window_plan(docs: DataFrame, size: int, batches: int) -> Stored:
-    """``(d0, d1, _first, _hits)``: each different text with its smallest id and the hit windows' places."""
+def window_plan(docs: DataFrame, texts: DataFrame, matches: DataFrame, size: int) -> DataFrame:
+    """``(d0, d1, _first, _hits)``: each of ``texts`` with its smallest id and the verified hits' places.
+
+    ``docs`` holds the rows of all texts in ``matches``, old and new.
+    """
+    windows = store(shared_windows(docs, matches, size), "windows").read()
+    found = verified(docs, repeated_windows(windows), size)
+    places = found.groupBy("d0", "d1").agg(F.collect_list("pos").alias("_hits"))
+    # A text of an earlier batch is known by its smallest id there.
+    known = matches.groupBy("d0", "d1").agg(F.min("doc_id").alias("known"))
+    plan = texts.select("d0", "d1", "doc_id").join(known, ["d0", "d1"], "left").select("d0", "d1", F.least("doc_id", "known").alias("_first"))
+    return plan.join(places, ["d0", "d1"], "left")
+
+
+def _window_plan(docs: DataFrame, size: int, batches: int, fanout: int) -> Stored:
     spark = docs.sparkSession
-    texts = store(texts_with_anchors(docs, size), "texts")
-    windows = store(candidates(docs, texts.read(), size), "windows")
-    cuts = windows.read().agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 1000).alias("c")).first()["c"] or []
+    texts = store(texts_with_anchors(docs, size), "texts").read()
+    cuts = texts.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 1000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts)) if batches > 1 else []
-    index, found = WindowIndex(spark), None
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        batch = windows.read()
-        batch = batch if low is None else batch.where(F.col("doc_id") > low)
-        batch = batch if high is None else batch.where(F.col("doc_id") <= high)
-        hits = index.ingest(batch)
-        found = hits if found is None else found.union(hits)
-    index.close()
-    places = found.groupBy("d0", "d1").agg(F.collect_list("pos").alias("_hits"))
-    plan = texts.read().select("d0", "d1", F.col("doc_id").alias("_first")).join(places, ["d0", "d1"], "left")
-    return store(plan, "window-plan")
+    index, found = WindowIndex(spark, fanout=fanout), None
+    try:
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            batch = texts if low is None else texts.where(F.col("doc_id") > low)
+            batch = batch if high is None else batch.where(F.col("doc_id") <= high)
+            some = index.ingest(batch).read()
+            found = some if found is None else found.union(some)
+    finally:
+        index.destroy()
+    return store(window_plan(docs, texts, found, size), "window-plan")

@@ -115,16 +115,49 @@ def test_window_dedup(make, odd_rows, batches):
     assert by_key(got) == by_key(brute_windows(rows, 50))
 
 
-def test_window_index_is_incremental(spark, make):
+def test_window_index_goes_on_in_a_later_session(spark, make, tmp_path):
+    """Batches ingested by different sessions, one a unique document that a later batch repeats: as if all came at once."""
+    rows = [(d, t) for d, t in corpus() if d < 40] + [(50, prose(77, 90)), (60, "new " + prose(77, 90)), (61, prose(104, 80)), (62, prose(50, 70) + " end"), (63, prose(77, 90))]
+    expected = {r[0]: r for r in brute_windows(rows, 50)}
+    path = f"file://{tmp_path}/index"
+    for low, high in ((0, 15), (15, 30), (30, 51), (51, 62), (62, 99)):
+        session = spark.newSession()
+        index = windows.WindowIndex(session, path, fanout=2, buckets=3)
+        docs = make([r for r in rows if r[0] < high])
+        batch = docs.where(f"doc_id >= {low}")
+        texts = windows.texts_with_anchors(batch, 50)
+        plan = windows.window_plan(docs, texts, index.ingest(texts).read(), 50)
+        got = {r.doc_id: (r.doc_id, r.n_words, r.n_removed, r.kept) for r in windows.cut_windows(batch, plan, 50).collect()}
+        assert got == {d: expected[d] for d in got} and len(got) == sum(low <= r[0] < high for r in rows)
+        assert len(index.runs) <= 2 and index.buckets == 3
+        index.close()
+    again = windows.WindowIndex(spark, path)
+    assert len(again.runs) <= 2 and again.rows().count() == windows.texts_with_anchors(make(rows), 50).select("d0", "d1", F.explode("anchors")).count()
+    again.destroy()
+    assert not (tmp_path / "index").exists()
+
+
+def test_window_runs_are_joined_where_they_lie(spark, make):
+    """No exchange between a new run and an older one; the index compacts as batches come."""
     index = windows.WindowIndex(spark, fanout=2)
-    schema = "w0 long, w1 long, d0 long, d1 long, doc_id long, pos long"
-    hits = []
-    for b in range(5):
-        rows = [(7, 7, b, b, 10 * b, 0), (b % 2, 1, b, b, 10 * b, 1), (100 + b, 1, b, b, 10 * b + 1, 2), (100 + b, 1, b, b, 10 * b + 2, 3)]
-        hits += [(r.d0, r.pos) for r in index.ingest(spark.createDataFrame(rows, schema)).collect()]
-    assert sorted(hits) == sorted([(b, 0) for b in range(1, 5)] + [(b, 1) for b in range(2, 5)] + [(b, 3) for b in range(5)])
-    assert len(index.runs) <= 3 and index.known().count() == 1 + 2 + 5
-    index.close()
+    for i in range(4):
+        index.ingest(windows.texts_with_anchors(make([(i, prose(i, 90)), (10 + i, prose(0, 60))]), 50))
+        if len(index.runs) > 1:
+            for side in index.matches(index.runs[-1], index.runs[0]):
+                assert "Exchange hash" not in side.hint("merge")._jdf.queryExecution().executedPlan().toString()
+    assert index.compactions == 1 and len(index.runs) == 2
+    index.destroy()
+
+
+def test_window_words_decide(spark, make):
+    """Hits by equal hashes of different words are not hits."""
+    docs = make([(1, prose(1, 70)), (2, prose(2, 30) + " " + prose(1, 40))])
+    keys = {r.doc_id: (r.d0, r.d1) for r in windows.keyed(docs).collect()}
+    fake = [(*keys[2], i, *keys[1], i - 30) for i in range(25, 36)]
+    hits = spark.createDataFrame(fake, "d0 long, d1 long, pos long, f0 long, f1 long, at long").where("at >= 0")
+    assert sorted(r.pos for r in windows.verified(docs, hits, 20).collect()) == [30, 31, 32, 33, 34, 35]
+    wrong = hits.withColumn("at", F.col("at") + 1)
+    assert windows.verified(docs, wrong, 20).count() == 0
 
 
 def brute_fingerprint(text, k):
