@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motifloom.llm.kernels import Anchors, Rolling, Words, as_bytes, chunks, mix, signed, small_batches, spans, xxh64
+from motifloom.llm.kernels import Anchors, Rolling, Words, as_bytes, chunks, signed, small_batches, spans, xxh64
 from motifloom.llm.skew import digest
 from motifloom.session import Stored, delete, let_workers_import, scratch, shared_dir, store
 
@@ -66,14 +66,18 @@ def _anchor_rows(size: int):
     return run
 
 
+#: A window: its hash, its text (an id may have several), and the number of its first word.
+_WINDOW = {"w": pa.int64(), "doc_id": pa.int64(), "d0": pa.int64(), "pos": pa.int32()}
+
+
 def _window_rows(size: int):
-    """Arrow function (d0, d1, doc_id, text, anchors) -> windows that picked one of the anchors."""
+    """Arrow function (doc_id, d0, text, anchors) -> windows that picked one of the anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 3):
-            keys = [batch.column(c).to_numpy() for c in range(3)]
-            texts = [as_bytes(t) for t in batch.column(3).to_pylist()]
-            wanted = batch.column(4)
+        for batch in small_batches(batches, 2):
+            keys = [batch.column(c).to_numpy() for c in range(2)]
+            texts = [as_bytes(t) for t in batch.column(2).to_pylist()]
+            wanted = batch.column(3)
             for a, b in chunks(map(len, texts)):
                 words = Words(texts[a:b])
                 values = _word_values(words)
@@ -86,9 +90,8 @@ def _window_rows(size: int):
                 lo, n = found.lo[take], found.hi[take] - found.lo[take] + 1
                 at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 owner = np.repeat(found.owner[take], n)
-                w0, w1 = Rolling(values, 0).at(at, size), Rolling(mix(values), 1).at(at, size)
-                cols = [signed(w0), signed(w1), *[k[a:b][owner] for k in keys], at - words.first[owner]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["w0", "w1", "d0", "d1", "doc_id", "pos"])
+                cols = [signed(Rolling(values).at(at, size)), *[k[a:b][owner] for k in keys], at - words.first[owner]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _WINDOW.values(), strict=True)], list(_WINDOW))
 
     return run
 
@@ -214,74 +217,71 @@ def texts_with_anchors(docs: DataFrame, size: int) -> DataFrame:
 
 
 def shared_windows(docs: DataFrame, matches: DataFrame, size: int) -> DataFrame:
-    """``(w0, w1, d0, d1, doc_id, pos)``: windows of ``docs`` behind the anchors of ``matches(anchor, d0, d1, doc_id)``."""
+    """``(w, doc_id, d0, pos)``: windows of ``docs`` behind the anchors of ``matches(anchor, d0, d1, doc_id)``."""
     lists = matches.groupBy("d0", "d1").agg(F.min("doc_id").alias("doc_id"), F.collect_set("anchor").alias("anchors"))
     lists = store(lists, "anchor-lists").read()
-    rows = keyed(docs).join(lists, ["d0", "d1", "doc_id"]).select("d0", "d1", "doc_id", "text", "anchors").dropDuplicates(["d0", "d1"])
-    return rows.mapInArrow(_window_rows(size), "w0 long, w1 long, d0 long, d1 long, doc_id long, pos long")
+    rows = keyed(docs).join(lists.hint("merge"), ["d0", "d1", "doc_id"]).select("doc_id", "d0", "text", "anchors")
+    return rows.mapInArrow(_window_rows(size), "w long, doc_id long, d0 long, pos int")
 
 
 def repeated_windows(windows: DataFrame) -> DataFrame:
-    """``(d0, d1, pos, f0, f1, at)``: windows that also start in a smaller document, and the first such place."""
-    first = windows.groupBy("w0", "w1").agg(F.min(F.struct("doc_id", "pos", "d0", "d1")).alias("f"), F.max("doc_id").alias("last")).where("last > f.doc_id")
-    hits = windows.join(first, ["w0", "w1"]).where("doc_id > f.doc_id")
-    return hits.select("d0", "d1", "pos", F.col("f.d0").alias("f0"), F.col("f.d1").alias("f1"), F.col("f.pos").alias("at"))
+    """``(doc_id, d0, pos, f_id, f0, at)``: windows that also start in a smaller document, and the first such place."""
+    first = windows.groupBy("w").agg(F.min(F.struct("doc_id", "pos", "d0")).alias("f"), F.max("doc_id").alias("last")).where("last > f.doc_id")
+    first = store(first.select("w", F.col("f.doc_id").alias("f_id"), F.col("f.d0").alias("f0"), F.col("f.pos").alias("at")), "first-windows").read()
+    return windows.join(first.hint("merge"), "w").where("doc_id > f_id").drop("w")
 
 
 def passages(hits: DataFrame) -> DataFrame:
-    """``(d0, d1, f0, f1, pos, at, n)``: runs of ``n`` hits in a row whose first places are in a row as well."""
-    along = Window.partitionBy("d0", "d1", "f0", "f1", F.col("at") - F.col("pos")).orderBy("pos")
-    rows = hits.withColumn("run", F.col("pos") - F.row_number().over(along))
-    return rows.groupBy("d0", "d1", "f0", "f1", (F.col("at") - F.col("pos")).alias("shift"), "run").agg(F.min("pos").alias("pos"), F.min("at").alias("at"), F.count("*").alias("n"))
+    """``(doc_id, d0, pos, f_id, f0, at, n)``: runs of ``n`` hits in a row whose first places are in a row as well."""
+    key = ["doc_id", "d0", "f_id", "f0"]
+    shift = F.col("at") - F.col("pos")
+    rows = hits.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(*key, shift).orderBy("pos")))
+    return rows.groupBy(*key, shift.alias("shift"), "run").agg(F.min("pos").alias("pos"), F.min("at").alias("at"), F.count("*").cast("int").alias("n")).drop("shift", "run")
+
+
+_SAID = {"doc_id": pa.int64(), "d0": pa.int64(), "pos": pa.int32(), "n": pa.int32(), "words": pa.binary()}
 
 
 def _passage_rows(size: int):
-    """Arrow function (d0, d1, text, places of (pos, n)) -> (d0, d1, pos, n, words): the passages' words."""
+    """Arrow function (doc_id, d0, text, places of (pos, n)) -> (doc_id, d0, pos, n, words): the passages' words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2):
-            for d0, d1, text, places in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
+            for doc_id, d0, text, places in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
                 words = as_bytes(text).split()
-                pos, n = [p["pos"] for p in places], [p["n"] for p in places]
-                said = [b" ".join(words[p : p + k + size - 1]) for p, k in zip(pos, n, strict=True)]
-                same = [pa.array([x] * len(places), pa.int64()) for x in (d0, d1)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(pos, pa.int64()), pa.array(n, pa.int64()), pa.array(said, pa.binary())], ["d0", "d1", "pos", "n", "words"])
+                rows = [(doc_id, d0, p["pos"], p["n"], b" ".join(words[p["pos"] : p["pos"] + p["n"] + size - 1])) for p in places]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SAID.values(), strict=True)], list(_SAID))
 
     return run
 
 
 def _agreeing(size: int):
-    """Arrow function (d0, d1, pos, n, words, first) -> (d0, d1, pos): hits whose words agree with the first place's."""
+    """Arrow function (doc_id, d0, pos, n, words, first) -> (doc_id, d0, hits): places whose words agree with the first place's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 4):
-            out: list[list[int]] = [[], [], []]
-            for d0, d1, pos, n, mine, first in zip(*[batch.column(c).to_pylist() for c in range(6)], strict=True):
+            fine = []
+            for pos, n, mine, first in zip(*[batch.column(c).to_pylist() for c in range(2, 6)], strict=True):
                 if mine == first:
-                    fine = range(n)
+                    fine.append(np.arange(pos, pos + n))
                 else:  # equal hashes of different words
                     a, b = mine.split(b" "), first.split(b" ")
-                    fine = [i for i in range(n) if a[i : i + size] == b[i : i + size]]
-                out[0] += [d0] * len(fine)
-                out[1] += [d1] * len(fine)
-                out[2] += [pos + i for i in fine]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["d0", "d1", "pos"])
+                    fine.append(np.array([pos + i for i in range(n) if a[i : i + size] == b[i : i + size]], np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fine, pa.list_(pa.int32()))], ["doc_id", "d0", "hits"])
 
     return run
 
 
 def verified(docs: DataFrame, hits: DataFrame, size: int) -> DataFrame:
-    """``(d0, d1, pos)`` of the hits whose words are those at the first place."""
+    """``(doc_id, d0, hits)``: places of the hits whose words are those at the first place, a row for each passage."""
     spans = store(passages(hits), "passages").read()
-    sides = spans.select("d0", "d1", "pos", "n").union(spans.select("f0", "f1", "at", "n")).distinct()
-    places = sides.groupBy("d0", "d1").agg(F.collect_list(F.struct("pos", "n")).alias("places"))
-    texts = keyed(docs).where("doc_id is not null").drop("doc_id").join(places.hint("merge"), ["d0", "d1"]).dropDuplicates(["d0", "d1"])
-    said = texts.select("d0", "d1", "text", "places").mapInArrow(_passage_rows(size), "d0 long, d1 long, pos long, n long, words binary")
+    sides = spans.select("doc_id", "d0", "pos", "n").union(spans.select("f_id", "f0", "at", "n")).distinct()
+    places = store(sides.groupBy("doc_id", "d0").agg(F.collect_list(F.struct("pos", "n")).alias("places")), "passage-places").read()
+    texts = keyed(docs).join(places.hint("merge"), ["doc_id", "d0"]).dropDuplicates(["doc_id", "d0"])
+    said = texts.select("doc_id", "d0", "text", "places").mapInArrow(_passage_rows(size), "doc_id long, d0 long, pos int, n int, words binary")
     said = store(said, "passage-words").read()
-    mine = spans.join(said, ["d0", "d1", "pos", "n"])
-    first = said.toDF("f0", "f1", "at", "n", "first")
-    both = mine.join(first, ["f0", "f1", "at", "n"]).select("d0", "d1", "pos", "n", "words", "first")
-    return both.mapInArrow(_agreeing(size), "d0 long, d1 long, pos long")
+    both = spans.join(said, ["doc_id", "d0", "pos", "n"]).join(said.toDF("f_id", "f0", "at", "n", "first"), ["f_id", "f0", "at", "n"])
+    return both.select("doc_id", "d0", "pos", "n", "words", "first").mapInArrow(_agreeing(size), "doc_id long, d0 long, hits array<int>")
 
 
 def _removed(size: int, n_docs: int):
@@ -299,7 +299,7 @@ def _removed(size: int, n_docs: int):
                     words = []
                 elif doc_id is not None and doc_id == first and hits[i].is_valid:
                     stay, at = [], 0
-                    for begin, end in zip(*(x.tolist() for x in spans(np.unique(hits[i].values.to_numpy()), size)), strict=True):
+                    for begin, end in zip(*(x.tolist() for x in spans(hits[i].values.to_numpy(), size)), strict=True):
                         stay += words[at:begin]
                         at = end
                     words = stay + words[at:]
@@ -343,12 +343,12 @@ def window_plan(docs: DataFrame, texts: DataFrame, matches: DataFrame, size: int
     ``docs`` holds the rows of all texts in ``matches``, old and new.
     """
     windows = store(shared_windows(docs, matches, size), "windows").read()
-    found = verified(docs, repeated_windows(windows), size)
-    places = found.groupBy("d0", "d1").agg(F.collect_list("pos").alias("_hits"))
+    hits = store(repeated_windows(windows), "hits").read()
+    found = verified(docs, hits, size).groupBy("doc_id", "d0").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("_hits"))
     # A text of an earlier batch is known by its smallest id there.
     known = matches.groupBy("d0", "d1").agg(F.min("doc_id").alias("known"))
-    plan = texts.select("d0", "d1", "doc_id").join(known, ["d0", "d1"], "left").select("d0", "d1", F.least("doc_id", "known").alias("_first"))
-    return plan.join(places, ["d0", "d1"], "left")
+    plan = texts.select("d0", "d1", "doc_id").join(known, ["d0", "d1"], "left").select("d0", "d1", F.least("doc_id", "known").alias("doc_id"))
+    return plan.join(found, ["doc_id", "d0"], "left").select("d0", "d1", F.col("doc_id").alias("_first"), "_hits")
 
 
 def _window_plan(docs: DataFrame, size: int, batches: int, fanout: int) -> Stored:

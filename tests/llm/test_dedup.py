@@ -152,12 +152,12 @@ def test_window_runs_are_joined_where_they_lie(spark, make):
 def test_window_words_decide(spark, make):
     """Hits by equal hashes of different words are not hits."""
     docs = make([(1, prose(1, 70)), (2, prose(2, 30) + " " + prose(1, 40))])
-    keys = {r.doc_id: (r.d0, r.d1) for r in windows.keyed(docs).collect()}
-    fake = [(*keys[2], i, *keys[1], i - 30) for i in range(25, 36)]
-    hits = spark.createDataFrame(fake, "d0 long, d1 long, pos long, f0 long, f1 long, at long").where("at >= 0")
-    assert sorted(r.pos for r in windows.verified(docs, hits, 20).collect()) == [30, 31, 32, 33, 34, 35]
+    keys = {r.doc_id: r.d0 for r in windows.keyed(docs).collect()}
+    fake = [(2, keys[2], i, 1, keys[1], i - 30) for i in range(25, 36)]
+    hits = spark.createDataFrame(fake, "doc_id long, d0 long, pos int, f_id long, f0 long, at int").where("at >= 0")
+    assert sorted(p for r in windows.verified(docs, hits, 20).collect() for p in r.hits) == [30, 31, 32, 33, 34, 35]
     wrong = hits.withColumn("at", F.col("at") + 1)
-    assert windows.verified(docs, wrong, 20).count() == 0
+    assert not any(r.hits for r in windows.verified(docs, wrong, 20).collect())
 
 
 def brute_fingerprint(text, k):
