@@ -82,9 +82,10 @@ def brute_leaks(rows, items, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
-def test_decontamination(spark, make, odd_rows, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("states", [1 << 20, 900])
+def test_decontamination(spark, make, odd_rows, monkeypatch, states):
+    monkeypatch.setattr(decontaminate, "STATES", states)
+    monkeypatch.setattr(decontaminate, "PIECE", 16)
     items = [(i, prose(500 + i, 25)) for i in range(8)] + [(20, "Tiny item"), (21, None), (22, ""), (None, prose(600, 12)), (3, prose(503, 25)), (23, "…!?")]
     rows = odd_rows + [
         (30, f"Start; {prose(500, 25).upper()} — end"), (31, prose(501, 9) + " TINY,item " + prose(600, 12)), (32, "tiny items"), (33, "atiny item tiny item"),
@@ -99,6 +100,24 @@ def test_decontamination(spark, make, odd_rows, monkeypatch, block):
     assert {r.n_hit for r in decontaminate.decontaminate(make(rows), bench.where("false")).collect()} == {0}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=12), max_size=6), st.lists(st.lists(st.sampled_from("abcd"), max_size=60), max_size=4), st.integers(1, 5))
+def test_automaton(items, texts, window):
+    """Few words make phrases overlap and fail into one another."""
+    items = [(i, " ".join(x)) for i, x in enumerate(items)]
+    flags, found = decontaminate.Machine(items, window).scan([[w.encode() for w in t] for t in texts])
+    expected = brute_leaks([(i, " ".join(t)) for i, t in enumerate(texts)], items, window)
+    first = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=int)))
+    assert [(i, len(t), int(flags[first[i] : first[i + 1]].sum()), sorted(found[i])) for i, t in enumerate(texts)] == expected
+
+
+def test_automaton_size():
+    """A million bytes of different items stay under 26 bytes for each word of each phrase."""
+    items = [(i, " ".join(f"w{(i * 7919 + j * j) % 50021}" for j in range(40))) for i in range(4000)]
+    machine = decontaminate.Machine(items, 10)
+    assert machine.nbytes < 26 * 10 * 40 * 4000 + 200 * 50021
+
+
 RULES = queries.URL_RULES
 
 
