@@ -21,11 +21,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 
+#: Kinds of parts that become placeholders.
+PLACED = ("image", "audio", "document")
+
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 
 #: Control strings of this and of other common templates.
@@ -75,18 +78,28 @@ def _expanded(part: Column, t: Template) -> Column:
 
 
 def visit(messages: DataFrame, t: Template) -> DataFrame:
-    """Add ``body`` and ``files`` (attachments in order) to ``messages(conv_id, turn, role, parts)``."""
+    """Add ``body`` and ``files`` (attachments in order) to ``messages(conv_id, turn, role, parts)``.
+
+    Placeholders are written without a number first; the pieces between them
+    then tell the numbers, so that the work grows with the message.
+    """
     known = F.filter("parts", lambda p: p.isNotNull())
     other = F.filter(known, lambda p: p["kind"] != "text")
 
-    def placed(p: Column, i: Column) -> Column:
-        before = F.size(F.filter(F.slice(known, 1, i), lambda q: q["kind"] != "text"))
-        mark = F.concat(F.lit("<|"), p["kind"], F.lit(":"), before.cast("string"), F.lit("|>"))
-        fine = p["kind"].isin("image", "audio", "document")
+    def placed(p: Column) -> Column:
+        fine = p["kind"].isin(*PLACED)
         wrong = F.raise_error(F.concat(F.lit("unknown kind of part: "), F.coalesce(p["kind"], F.lit("null"))))
-        return F.when(p["kind"] == "text", t.escape(F.coalesce(p["text"], F.lit("")))).when(fine, mark).otherwise(wrong)
+        return F.when(p["kind"] == "text", t.escape(F.coalesce(p["text"], F.lit("")))).when(fine, F.concat(F.lit("<|"), p["kind"], F.lit(":|>"))).otherwise(wrong)
 
-    body = F.coalesce(F.array_join(F.transform(known, placed), ""), F.lit(""))
+    def numbered(piece: Column, i: Column) -> Column:
+        kind = F.substring_index(piece, ":", 1)
+        rest = F.substring(piece, F.length(kind) + 2, F.length(piece))
+        return F.when(i == 0, F.substring(piece, F.lit(2), F.length(piece))).otherwise(F.concat(kind, F.lit(":"), (i - 1).cast("string"), rest))
+
+    # The space in front keeps the first piece free of a placeholder.
+    joined = F.concat(F.lit(" "), F.coalesce(F.array_join(F.transform(known, placed), ""), F.lit("")))
+    pieces = F.split(joined, "(?=" + "|".join(re.escape(f"<|{k}:|>") for k in PLACED) + ")")
+    body = F.array_join(F.transform(pieces, numbered), "")
     files = F.transform(other, lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), _expanded(p, t).alias("tokens")))
     return messages.withColumns({"body": body, "files": F.coalesce(files, F.array().cast("array<struct<kind:string,ref:string,tokens:bigint>>"))})
 
@@ -96,7 +109,8 @@ def format_chat(messages: DataFrame, template: Template | None = None) -> DataFr
 
     ``formatted`` is the whole conversation, ``loss`` the spans ``(begin, end)``
     of it, in code points, that a model learns from: the bodies of the roles in
-    ``template.learn``. ``files`` lists attachments ``(turn_no, place, kind, ref,
+    ``template.learn``; ``spans`` has the body of each turn and whether it is one of
+    them. ``files`` lists attachments ``(turn_no, place, kind, ref,
     tokens)`` in order, and ``placeholder_tokens`` the tokens they stand for. A
     conversation is one row of the result, so its turns meet in one group.
     """
@@ -106,33 +120,29 @@ def format_chat(messages: DataFrame, template: Template | None = None) -> DataFr
         "conv_id", "turn", "role",
         F.concat(F.lit(TURN), t.escape(F.col("role")), F.lit(BODY)).alias("head"), "body", "files",
     )
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "body", "files", "head")))
-    whole = seen.groupBy("conv_id").agg(turns.alias("turns"))
-    size = lambda x: F.length(x["head"]) + F.length(x["body"]) + len(END)
-    sums = F.aggregate(
-        "turns",
-        F.expr("cast(array() as array<int>)"),
-        lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, size(x)).otherwise(F.element_at(acc, -1) + size(x)))),
-    )
-    whole = whole.withColumn("ends", sums)
-    spans = F.transform(
-        F.arrays_zip("turns", "ends"),
-        lambda z: F.struct(
-            (z["ends"] - len(END) - F.length(z["turns"]["body"])).alias("begin"), (z["ends"] - len(END)).alias("end"), z["turns"]["role"].isin(*t.learn).alias("learn")
-        ),
-    )
+    # Where each turn ends: a running sum, over the same exchange as the collection.
+    order = ["turn", "role", "body", "files"]
+    along = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    size = F.length("head") + F.length("body") + len(END)
+    ended = seen.withColumn("end", F.sum(size.cast("long")).over(along) - len(END))
+    turns = F.sort_array(F.collect_list(F.struct(*order, "end", "head")))
+    whole = ended.groupBy("conv_id").agg(turns.alias("turns"))
     files = F.flatten(
         F.transform(
             "turns",
             lambda x, i: F.transform(x["files"], lambda f, k: F.struct(i.alias("turn_no"), k.alias("place"), f["kind"].alias("kind"), f["ref"].alias("ref"), f["tokens"].alias("tokens"))),
         )
     )
-    return whole.select(
+    spans = F.transform("turns", lambda x: F.struct((x["end"] - F.length(x["body"])).alias("begin"), x["end"].alias("end"), x["role"].isin(*t.learn).alias("learn")))
+    out = whole.select(
         "conv_id",
         F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "").alias("formatted"),
-        F.transform(F.filter(spans, lambda s: s["learn"]), lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"))).alias("loss"),
+        spans.alias("spans"),
         files.alias("files"),
-    ).withColumn("placeholder_tokens", F.aggregate("files", F.lit(0).cast("long"), lambda acc, f: acc + f["tokens"]))
+    )
+    loss = F.transform(F.filter("spans", lambda s: s["learn"]), lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end")))
+    tokens = F.aggregate("files", F.lit(0).cast("long"), lambda acc, f: acc + f["tokens"])
+    return out.select("conv_id", "formatted", loss.alias("loss"), "spans", "files", tokens.alias("placeholder_tokens"))
 
 
 def read_turns(formatted: Column, template: Template | None = None) -> Column:
@@ -147,7 +157,17 @@ def read_turns(formatted: Column, template: Template | None = None) -> Column:
     return F.transform(pieces, turn)
 
 
-def read_loss(formatted: Column, loss: Column, template: Template | None = None) -> Column:
-    """All text under the loss mask, unescaped."""
+def read_loss(formatted: Column, spans: Column, template: Template | None = None) -> Column:
+    """All text under the loss mask, unescaped.
+
+    Turn marks part the text into turns, in the order of ``spans``; a span's
+    length is then read in front of its turn's end.
+    """
     t = template or Template()
-    return F.array_join(F.transform(loss, lambda s: t.unescape(F.substring(formatted, s["begin"] + 1, s["end"] - s["begin"]))), "")
+
+    def learned(piece: Column, s: Column) -> Column:
+        size = (s["end"] - s["begin"]).cast("int")
+        return F.when(s["learn"], t.unescape(F.substring(piece, F.length(piece) - len(END) - size + 1, size))).otherwise("")
+
+    pieces = F.split(formatted, f"(?<=.)(?={re.escape(TURN)})")
+    return F.array_join(F.zip_with(pieces, spans, learned), "")

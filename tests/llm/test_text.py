@@ -28,7 +28,7 @@ def test_chat_round_trip(spark):
     rows += [(99, 1, "user", "tie b"), (99, 1, "user", "tie a"), (99, None, "user", "first"), (None, 0, "assistant", "no id"), (98, 0, "as<|body|>sistant", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = chat.format_chat(df.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))
-    got = {r.conv_id: r for r in out.select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("learned")).collect()}
+    got = {r.conv_id: r for r in out.select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("spans")).alias("learned")).collect()}
     for i, x in enumerate(evil):
         assert [tuple(t) for t in got[i].turns] == [("user", x or ""), ("assistant", x or ""), ("", x or "")]
         assert got[i].learned == (x or "")
@@ -61,6 +61,23 @@ def test_chat_parts(spark):
         chat.Template(control=("x",))
 
 
+def test_chat_odd_tables(spark):
+    """Columns whose names clash with those added, many parts, very long texts and conversations."""
+    part = lambda kind, text=None: (kind, text, "r", 28, 28, 1.0, 1)
+    many = [part("text", "a") if i % 2 else part("image") for i in range(801)]
+    df = spark.createDataFrame([(1, 0, "user", many)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    r = chat.format_chat(df.withColumns({c: F.lit("mine") for c in ("body", "files", "end", "head", "turns", "spans", "loss")})).first()
+    assert r.formatted == "<|turn|>user<|body|>" + "".join("a" if i % 2 else f"<|image:{i // 2}|>" for i in range(801)) + "<|end|>"
+    assert [f.place for f in r.files] == list(range(401))
+    long = "x</s>\\" * 300_000
+    said = spark.range(4000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    said = said.union(spark.createDataFrame([(2, 0, "assistant", long)], said.schema))
+    out = chat.format_chat(said.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))
+    got = {r.conv_id: r for r in out.select("*", chat.read_loss(F.col("formatted"), F.col("spans")).alias("learned")).collect()}
+    assert got[1].learned == "".join(f"t{i}" for i in range(1, 4000, 2)) and got[2].learned == long
+    assert all(got[1].formatted[s.begin : s.end] == f"t{2 * i + 1}" for i, s in enumerate(got[1].loss))
+
+
 def brute_leaks(rows, items, k):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = {c: c + 32 for c in range(65, 91)}
