@@ -15,7 +15,8 @@ positions likewise give the longest one that starts later. An anchor with very
 many different contexts, like a line found everywhere, is split by more of the
 text around it, see ``search``.
 
-Equal texts are handled as one. Nulls: a null text is empty, null ids come
+Equal texts are handled as one, and so are equal contexts; both are told by
+128-bit hashes alone. Nulls: a null text is empty, null ids come
 first in the order of documents. Repeated rows are places of their own.
 """
 
@@ -74,85 +75,75 @@ def suffix_order(rank: np.ndarray) -> np.ndarray:
     return np.argsort(rank.astype(np.int64) << 32 | np.arange(len(rank)))
 
 
-def nearest_smaller(order: np.ndarray, groups: np.ndarray | None = None) -> np.ndarray:
-    """For each index of ``order``, the nearest earlier one with a smaller value, or -1.
+def common_prefix(order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """For each place in suffix order, the length it shares with the place before it, as far as ranks go.
+
+    From the longest length down, twice the shortest: each length fits once at most after those above it.
+    """
+    n = len(order)
+    a, b, out = order.copy(), np.concatenate(([n], order[:-1])), np.zeros(n, np.int32)
+    open_ = np.arange(1, n)
+    for k, rank in [*reversed(levels), levels[0]]:
+        same = rank[np.minimum(a[open_], n - 1)] == rank[np.minimum(b[open_], n - 1)]
+        more = open_[same]
+        out[more] += k
+        a[more] += k
+        b[more] += k
+        if k == levels[-1][0]:  # agree as far as it counts
+            open_ = open_[~same]
+    return out
+
+
+#: After so many rounds the few searches that are left are ended one by one.
+ROUNDS = 48
+
+
+def nearest_smaller(order: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each index of ``order``, the nearest earlier one with a smaller value (or -1), and the least of ``shared`` from behind it on.
 
     By pointer jumping: what a pointer jumps over is larger than what it
-    serves. With ``groups``, labels of runs of indices, a search ends at its run.
+    serves. A search ends where nothing is shared any more.
     """
-    near = np.arange(-1, len(order) - 1)
-    open_ = np.flatnonzero(near >= 0)
-    while len(open_):
-        if groups is not None:
-            outside = groups[near[open_]] != groups[open_]
-            near[open_[outside]] = -1
-            open_ = open_[~outside]
+    near, least = np.arange(-1, len(order) - 1), shared.copy()
+    open_ = np.flatnonzero((near >= 0) & (least > 0))
+    for _ in range(ROUNDS):
         open_ = open_[order[near[open_]] > order[open_]]
-        near[open_] = near[near[open_]]
-        open_ = open_[near[open_] >= 0]
-    return near
-
-
-def _both_sides(order: np.ndarray, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Previous and next index of a smaller value, -1 where there is none."""
-    back = nearest_smaller(order[::-1], None if groups is None else groups[::-1])[::-1]
-    return nearest_smaller(order, groups), np.where(back >= 0, len(order) - 1 - back, -1)
-
-
-def common_prefix(a: np.ndarray, b: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Length of the common prefix of the strings at ``a`` and ``b``, as far as ranks go."""
-    n = len(levels[0][1])
-    a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
-    codes = levels[0]
-    for k, rank in [*reversed(levels), codes]:
-        same = (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)]) & (a != b)
-        out[same] += k
-        a[same] += k
-        b[same] += k
-    return out
+        if not len(open_):
+            break
+        over = near[open_]
+        least[open_], near[open_] = np.minimum(least[open_], least[over]), near[over]
+        open_ = open_[(near[open_] >= 0) & (least[open_] > 0)]
+    for i in open_.tolist():
+        j, low = int(near[i]), int(least[i])
+        while j >= 0 and low and order[j] > order[i]:
+            j, low = int(near[j]), min(low, int(least[j]))
+        near[i], least[i] = j, low
+    least[near < 0] = 0
+    return near, least
 
 
 def longest_factors(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """At each place, the longest string that also starts earlier, and later (up to about ``depth``).
+    """At each place, the longest string that also starts earlier, and later (up to ``depth``).
 
     The first is the longest-previous-factor array; the second mirrors it.
     """
     n = len(codes)
     levels = [(1, _ranks(codes.astype(np.int64)))] + [x for x in prefix_ranks(codes, depth) if x[0] > 1]
     order = suffix_order(levels[-1][1])
+    shared = common_prefix(order, levels)
+    after = np.concatenate(([0], shared[:0:-1])) if n else shared  # the same, read from the other end
     out = []
     for seen in (order, n - 1 - order):  # mirrored places turn "larger" into "smaller"
-        best = np.zeros(n, np.int64)
-        for near in _both_sides(seen):
-            some = np.flatnonzero(near >= 0)
-            best[order[some]] = np.maximum(best[order[some]], common_prefix(order[some], order[near[some]], levels))
+        _, before = nearest_smaller(seen, shared)
+        _, behind = nearest_smaller(seen[::-1], after)
+        best = np.zeros(n, np.int32)
+        best[order] = np.maximum(before, behind[::-1])
         out.append(best)
     return out[0], out[1]
 
 
-def factors_reach(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where ``longest_factors`` is at least ``depth``.
-
-    Strings that agree that far have one rank and lie in one run of the suffix
-    order, so smaller places are looked for in the run only.
-    """
-    rank = None
-    for _, rank in prefix_ranks(codes, depth):
-        pass
-    order = suffix_order(rank)
-    runs = rank[order]
-    out = []
-    for turn in (False, True):
-        seen = len(codes) - 1 - order if turn else order
-        before, after = _both_sides(seen, runs)
-        flags = np.zeros(len(codes), bool)
-        flags[order] = (before >= 0) | (after >= 0)
-        out.append(flags)
-    return out[0], out[1]
-
-
 def repeats(contexts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start of each context in one joined text, and whether ``depth`` symbols repeat from earlier / later places."""
+    """Start of each context in one joined text, and whether the longest factor from earlier / later places has ``depth`` symbols."""
     size = np.array([len(c) for c in contexts], np.int64)
     first = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
     codes = np.empty(int(size.sum()) + len(contexts), np.int64)
@@ -160,7 +151,8 @@ def repeats(contexts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray,
     own[first + size] = False
     codes[own] = np.frombuffer(b"".join(contexts), np.uint8)
     codes[first + size] = 256 + np.arange(len(contexts))  # a different end for each
-    return first, *factors_reach(codes, depth)
+    earlier, later = longest_factors(codes, depth)
+    return first, earlier >= depth, later >= depth
 
 
 def _anchors(values: bytes, length: int, first: np.ndarray) -> Anchors:

@@ -85,6 +85,17 @@ def test_longest_factors():
         before, after = naive_factors(codes.tolist())
         got = suffixes.longest_factors(codes, 64)
         assert (got[0].tolist(), got[1].tolist()) == (before, after)
-        for depth in (1, 2, 3, 5, 8):
-            reach = suffixes.factors_reach(codes, depth)
-            assert reach[0].tolist() == [x >= depth for x in before] and reach[1].tolist() == [x >= depth for x in after]
+        for depth in (1, 2, 3, 5, 8, 13):
+            capped = suffixes.longest_factors(codes, depth)
+            assert capped[0].tolist() == [min(x, depth) for x in before] and capped[1].tolist() == [min(x, depth) for x in after]
+
+
+def test_longest_factors_of_awkward_text(monkeypatch):
+    """Long runs, and searches that are ended one by one."""
+    for rounds in (0, 1, 48):
+        monkeypatch.setattr(suffixes, "ROUNDS", rounds)
+        for text in (b"a" * 90, b"ab" * 40, b"abcabcabd" * 9, bytes(range(60, 120)) + bytes(range(60, 120)), b"b" + b"a" * 50 + b"b" + b"a" * 50):
+            codes = np.append(np.frombuffer(text, np.uint8).astype(np.int64), 256)
+            before, after = naive_factors(codes.tolist())
+            got = suffixes.longest_factors(codes, 70)
+            assert (got[0].tolist(), got[1].tolist()) == ([min(x, 70) for x in before], [min(x, 70) for x in after])
