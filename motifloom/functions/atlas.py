@@ -58,6 +58,11 @@ def _edges(text: str) -> Edges:
     return frozenset((int(e[0]), int(e[1])) for e in text.split())
 
 
+def example(k: int, kind: int) -> Edges:
+    """The edges of a type's example, on nodes 0 to k-1."""
+    return _edges(TYPES[k][kind][1])
+
+
 def _degrees(nodes: Iterable[int], edges: Edges) -> dict[int, int]:
     return {v: sum(v in e for e in edges) for v in nodes}
 

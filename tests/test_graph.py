@@ -8,8 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from motifloom.functions import atlas
-from motifloom.operators import estimate, four, graph, sets, walks
+from motifloom.functions import atlas, equations
+from motifloom.operators import estimate, four, graph, orbits, sets, walks
 from motifloom.operators.components import components
 from motifloom.operators.graph import Graph
 from motifloom.sources import edges, truth
@@ -121,6 +121,49 @@ def test_random_graphs(spark, pairs):
     assert vector(four.graphlet4(g), 6) == brute_types(8, full, 4)
 
 
+def brute_orbits(n, pairs):
+    """Counts by (node, orbit), over all sets of three to five nodes."""
+    es = frozenset((min(p), max(p)) for p in pairs)
+    number = {(k, r["type"], r["node_key"]): r["orbit"] for k in (3, 4, 5) for r in atlas.orbits(k)}
+    out = {(v, 0): sum(v in e for e in es) for v in range(n)}
+    for k in (3, 4, 5):
+        for s in combinations(range(n), k):
+            inner = atlas.induced(s, es)
+            if atlas.connected(s, inner):
+                place = {v: i for i, v in enumerate(s)}
+                kind = atlas.type_of(range(k), frozenset((place[a], place[b]) for a, b in inner))
+                for v, key in atlas.node_keys(s, inner).items():
+                    o = number[k, kind, key[0] * 100 + key[1]]
+                    out[v, o] = out.get((v, o), 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("n, m, seed", [(9, 14, 1), (9, 26, 2), (7, 21, 3), (12, 22, 4)])
+def test_orbits_by_equations(spark, n, m, seed):
+    """Sparse, dense and complete graphs."""
+    pairs = sorted(combinations(range(n), 2))
+    np.random.default_rng(seed).shuffle(pairs)
+    pairs = {tuple(map(int, p)) for p in pairs[:m]} | {(i, i + 1) for i in range(n - 1)}
+    g = Graph.from_raw(frame(spark, pairs))
+    expected = brute_orbits(n, pairs)
+    assert {(r.node, r.orbit): r.cnt for r in orbits.node_orbits(g, 5).collect()} == expected
+    assert {(r.node, r.orbit): r.cnt for r in orbits.node_orbits(g, 4).collect()} == {x: c for x, c in expected.items() if x[1] < 15}
+
+
+def test_atlas_of_five():
+    """Fixed values of the five-node types: half the walks that see them, pairs of connected parts, central nodes."""
+    five = atlas.graphlets(5)
+    assert [g["beta"] for g in five] == [2, 2, 0, 5, 4, 4, 5, 6, 10, 8, 10, 12, 10, 18, 18, 17, 18, 28, 28, 42, 60]
+    assert [g["walk_div"] for g in five] == [c * (c - 1) // 2 for c in (2, 3, 4, 3, 3, 4, 5, 4, 4, 4, 4, 5, 5, 5, 4, 5, 5, 5, 5, 5, 5)]
+    assert [g["phi"] for g in five] == [0, 0, 1, 0, 0, 1, 0, 0, 1, 1, 0, 0, 0, 2, 1, 1, 0, 2, 1, 3, 5]
+    keys = {r["orbit"]: (r["type"], r["node_key"]) for r in atlas.orbits(5)}
+    assert [keys[o] for o in (15, 17, 23, 30, 44, 48, 55, 64, 69, 72)] == [(0, 102), (0, 204), (2, 404), (4, 306), (9, 408), (10, 308), (13, 410), (16, 309), (18, 412), (20, 416)]
+    edges = [len(atlas.example(5, g["type"])) for g in five]
+    for row in equations.solution(5):  # an orbit's count follows from sums of at least as many edges
+        kind = {r["orbit"]: r["type"] for r in atlas.orbits(5)}
+        assert row["sum"] == row["orbit"] or edges[kind[row["sum"]]] > edges[kind[row["orbit"]]]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (300, 300), (101, 100)]
     got = dict(map(tuple, components(frame(spark, chain).toDF("u", "v")).collect()))
