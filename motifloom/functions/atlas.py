@@ -103,13 +103,26 @@ def type_of(nodes: Iterable[int], edges: Edges) -> int:
     return type_numbers(len(nodes))[shape_key(nodes, edges)]
 
 
+def _part_types(k: int, edges: Edges) -> str:
+    if k == 3:
+        return ""
+    found = [0] * len(TYPES[k - 1])
+    for s in combinations(range(k), k - 1):
+        inner = induced(s, edges)
+        if connected(s, inner):
+            place = {v: i for i, v in enumerate(s)}
+            found[type_of(range(k - 1), frozenset((place[a], place[b]) for a, b in inner))] += 1
+    return ",".join(map(str, found))
+
+
 @cache
 def graphlets(k: int) -> list[dict]:
     """A row for each type.
 
     ``beta``: half the walks over k-1 different nodes inside it, k at least 3
     (how often a frame of a walk sees it). ``walk_div``: pairs of connected
-    (k-1)-subsets. ``phi``: nodes adjacent to all others, for k = 5.
+    (k-1)-subsets. ``phi``: nodes adjacent to all others, for k = 5. ``parts``:
+    connected (k-1)-subsets by type, comma-joined.
     """
     rows = []
     for i, (name, text) in enumerate(TYPES[k]):
@@ -122,11 +135,33 @@ def graphlets(k: int) -> list[dict]:
             {
                 "k": k, "type": i, "name": name, "signature": ",".join(map(str, degrees)), "shape": shape_key(range(k), edges),
                 "beta": frames // 2, "walk_div": parts * (parts - 1) // 2, "phi": sum(d == k - 1 for d in degrees),
+                "parts": _part_types(k, edges),
             }
         )
     return rows
 
 
+@cache
+def edge_triples(kind: int) -> int:
+    """For a four-node type, the ways to go from edge to adjacent edge twice and touch all nodes, but for direction."""
+    edges = sorted(example(4, kind))
+    met = lambda a, b: bool({*a} & {*b})
+    return sum(met(a, b) and met(b, c) and len({*a, *b, *c}) == 4 for a, b, c in permutations(edges, 3)) // 2
+
+
+@cache
+def constants() -> list[dict]:
+    """A row for each type of four and five nodes; ``reweight`` sums the edge triples of its four-node parts."""
+    rows = []
+    for g in [*graphlets(4), *graphlets(5)]:
+        if g["k"] == 4:
+            reweight = edge_triples(g["type"])
+        else:
+            reweight = sum(int(n) * edge_triples(i) for i, n in enumerate(g["parts"].split(",")))
+        rows.append({c: g[c] for c in ("k", "type", "signature", "beta", "walk_div", "phi", "parts")} | {"reweight": reweight})
+    return rows
+
+
 @cache
 def orbits(k: int) -> list[dict]:
     """A row for each orbit; ``total`` marks the one a type is counted from, ``fold`` its nodes in the type."""

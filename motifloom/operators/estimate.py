@@ -21,7 +21,8 @@ from motifloom.session import store
 NAMES = "uvwz"
 #: Names of the estimator variants, in order.
 VARIANTS = ("SRW", "SRWIMPR", "SRWNOE", "SRWIMPRNOE")
-DIGITS = 6
+#: Results are rounded; short walks often end halfway between two of them, where the last bit of a sum would decide.
+DIGITS, OFF_TIES = 6, 1e-9
 
 
 def frames(walk: DataFrame, k: int) -> DataFrame:
@@ -192,7 +193,7 @@ def estimate(g: Graph, walk: DataFrame, k: int) -> DataFrame:
     e = seen_nodes.select("sim", F.array(F.lit(float(m)), F.lit(float(n)) * F.col("m") / F.col("r") / 2).alias("es"))
     out = rows.join(e, "sim").select("sim", "w", "type", "value", F.posexplode("es").alias("known", "e"))
     labels = F.array(*map(F.lit, VARIANTS))
-    return out.select("sim", F.element_at(labels, (F.col("w") + 2 * F.col("known") + 1).cast("int")).alias("variant"), "type", F.round(F.col("value") * F.col("e"), DIGITS).alias("estimate"))
+    return out.select("sim", F.element_at(labels, (F.col("w") + 2 * F.col("known") + 1).cast("int")).alias("variant"), "type", F.round(F.col("value") * F.col("e") + OFF_TIES, DIGITS).alias("estimate"))
 
 
 def concentration(estimates: DataFrame, variant: str) -> DataFrame:
@@ -202,17 +203,15 @@ def concentration(estimates: DataFrame, variant: str) -> DataFrame:
     return one.join(total, "sim").select("sim", "type", F.round(F.try_divide("estimate", "total"), DIGITS).alias("value"))
 
 
-def state_walk_shares(trail: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def state_walk_shares(trail: DataFrame, k: int) -> DataFrame:
     """``(sim, type, value)``: shares from a walk over states.
 
-    ``trail(sim, step, node)`` visits states by id and ``pairs(u, v, type)``
-    gives the type of each transition; a type's tally is divided by the number
-    of its pairs of states.
+    ``trail(sim, step, nodes, type)`` is that of ``walks.state_walk``; a type's
+    tally is divided by the number of its pairs of states.
     """
-    spark = trail.sparkSession
-    moves = frames(trail, 3).select("sim", "u", "v").join(pairs, ["u", "v"]).groupBy("sim", "type").agg(F.count("*").alias("n"))
-    kinds = F.broadcast(atlas.table(spark, atlas.graphlets(k), ["type", "walk_div"]))
-    grid = trail.select("sim").distinct().crossJoin(kinds).join(moves, ["sim", "type"], "left")
+    moves = trail.groupBy("sim", "type").agg(F.count("*").alias("n"))
+    kinds = F.broadcast(atlas.table(trail.sparkSession, atlas.graphlets(k), ["type", "walk_div"]))
+    grid = moves.select("sim").distinct().crossJoin(kinds).join(moves, ["sim", "type"], "left")
     rows = grid.select("sim", "type", (F.coalesce("n", F.lit(0)) / F.col("walk_div")).alias("x"))
     total = rows.groupBy("sim").agg(F.sum("x").alias("total"))
     return rows.join(total, "sim").select("sim", "type", F.round(F.try_divide("x", "total"), DIGITS).alias("value"))
@@ -223,7 +222,8 @@ def error_metrics(estimates: DataFrame, truth: DataFrame, by: tuple[str, ...] =
 
     RV is the mean estimate, RE the mean relative error, LB and UB the sorted
     estimates at places ``int(0.05 n)`` and ``int(0.95 n)``. A true count of
-    zero gives null errors.
+    zero gives null errors. Shares measured in units of their truth, as by
+    ``relative``, go against a truth of one.
     """
     off = F.try_divide(F.col("estimate"), F.col("cnt").cast("double")) - 1
     at = lambda q: F.get(F.sort_array(F.collect_list("estimate")), (F.count("*") * F.lit(q)).cast("int"))
@@ -231,3 +231,26 @@ def error_metrics(estimates: DataFrame, truth: DataFrame, by: tuple[str, ...] =
     return estimates.join(truth.select("type", "cnt"), "type").groupBy(*by, "type").agg(
         r(F.avg("estimate")).alias("RV"), r(F.avg(F.abs(off))).alias("RE"), at(0.05).alias("LB"), at(0.95).alias("UB"), r(F.sqrt(F.avg(F.pow(off, F.lit(2))))).alias("NRMSE")
     )
+
+
+def relative(estimates: DataFrame, truth: DataFrame) -> DataFrame:
+    """``estimates(..., type, estimate)`` in units of the true count (null if that is zero)."""
+    return estimates.join(truth.select("type", "cnt"), "type").withColumn("estimate", F.try_divide(F.col("estimate"), F.col("cnt").cast("double"))).drop("cnt")
+
+
+def nrmse(estimates: DataFrame, by: tuple[str, ...] = ("variant", "type")) -> DataFrame:
+    """``(by..., NRMSE)`` of estimates in units of their truth."""
+    return estimates.groupBy(*by).agg(F.round(F.sqrt(F.avg(F.pow(F.col("estimate") - 1, F.lit(2)))), DIGITS).alias("NRMSE"))
+
+
+def reweighted(g: Graph, typed: DataFrame) -> DataFrame:
+    """``(nodes, type, weight)`` of four-node sets ``typed(nodes, keys, type)``: the improved weight in closed form.
+
+    One over the sum, over all walks of three nodes inside the set but for their
+    direction, of one over the middle node's degree. A node is the middle of as
+    many as it has pairs of neighbours in the set.
+    """
+    places = typed.select("nodes", "type", F.inline(F.arrays_zip(F.col("nodes").alias("u"), F.col("keys").alias("key"))))
+    inner = F.expr("key div 100")
+    parts = places.join(g.degree, "u").groupBy("nodes", "type").agg(F.sum(inner * (inner - 1) / 2 / F.col("d")).alias("s"))
+    return parts.select("nodes", "type", F.round(F.lit(1.0) / F.col("s"), 9).alias("weight"))

@@ -158,6 +158,19 @@ class Graph:
         other = self.adj.select("u", F.col("v").alias("b"))
         return self.adj.withColumnRenamed("v", "a").join(other, "u").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
+    @cached_property
+    def two_paths(self) -> DataFrame:
+        """``(a, b, n)``, a < b: number of two-step paths between each pair that is not linked but has any."""
+        linked = self.edge.select(F.col("u").alias("a"), F.col("v").alias("b"))
+        return self.common2.join(linked, ["a", "b"], "left_anti")
+
+    @cached_property
+    def edge_order(self) -> DataFrame:
+        """``(place, u, v, bound)``: edges by descending sum of their ends' degrees, of equal ones the last first."""
+        rows = self.with_degrees.select("u", "v", (F.col("du") + F.col("dv")).alias("bound"))
+        placed = ranked(rows.withColumn("key", F.struct(-F.col("bound"), -F.col("u"), -F.col("v"))), "key")
+        return placed.select(F.col("id").alias("place"), "u", "v", "bound")
+
     @cached_property
     def common3(self) -> DataFrame:
         """``(a, b, c, n)``, a < b < c: common neighbours of triples with two edges or more among them."""

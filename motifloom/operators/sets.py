@@ -19,14 +19,28 @@ def grow(sets: DataFrame, adj: DataFrame) -> DataFrame:
     """All connected sets with one node more, each once."""
     near = sets.select("nodes", "bits", F.posexplode("nodes").alias("i", "u")).join(adj, "u").where(~F.array_contains("nodes", F.col("v")))
     near = near.groupBy("nodes", "bits", "v").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("m"))
+    return inserted(near).select("nodes", "bits").dropDuplicates(["nodes"])
+
+
+def inserted(rows: DataFrame) -> DataFrame:
+    """``rows(nodes, bits, v, m, ...)`` with node ``v`` put in its place; ``m`` masks the places adjacent to it."""
     p = F.size(F.filter("nodes", lambda n: n < F.col("v")))
-    rows = near.withColumn("p", p).withColumn("low", F.expr("shiftleft(1, p) - 1"))
+    low = rows.withColumn("_p", p).withColumn("_low", F.expr("shiftleft(1, _p) - 1"))
     # Places from p on move up by one; the new node's mask moves likewise.
-    wide = F.expr("transform(bits, (b, i) -> (b & low) | shiftleft(b & ~low, 1) | (case when (m & shiftleft(1, i)) <> 0 then shiftleft(1, p) else 0 end))")
-    new = F.expr("(m & low) | shiftleft(m & ~low, 1)")
-    nodes = F.expr("concat(slice(nodes, 1, p), array(v), slice(nodes, p + 1, size(nodes)))")
-    rows = rows.select(nodes.alias("nodes"), wide.alias("w"), new.alias("n"), "p")
-    return rows.select("nodes", F.expr("concat(slice(w, 1, p), array(n), slice(w, p + 1, size(w)))").alias("bits")).dropDuplicates(["nodes"])
+    wide = F.expr("transform(bits, (b, i) -> (b & _low) | shiftleft(b & ~_low, 1) | (case when (m & shiftleft(1, i)) <> 0 then shiftleft(1, _p) else 0 end))")
+    new = F.expr("(m & _low) | shiftleft(m & ~_low, 1)")
+    grown = low.withColumns({"_w": wide, "_n": new})
+    nodes = F.expr("concat(slice(nodes, 1, _p), array(v), slice(nodes, _p + 1, size(nodes)))")
+    bits = F.expr("concat(slice(_w, 1, _p), array(_n), slice(_w, _p + 1, size(_w)))")
+    return grown.withColumns({"nodes": nodes, "bits": bits}).drop("_p", "_low", "_w", "_n")
+
+
+def without(rows: DataFrame, x: str) -> DataFrame:
+    """``rows(nodes, bits, m, ...)`` without the node at place ``x``."""
+    drop = f"(b & (shiftleft(1, {x}) - 1)) | shiftleft(shiftright(b, {x} + 1), {x})"
+    left = F.expr(f"transform(filter(bits, (b, i) -> i <> {x}), b -> {drop})")
+    nodes = F.expr(f"filter(nodes, (n, i) -> i <> {x})")
+    return rows.withColumns({"nodes": nodes, "bits": left, "m": F.expr(f"(m & (shiftleft(1, {x}) - 1)) | shiftleft(shiftright(m, {x} + 1), {x})")})
 
 
 def connected_sets(g: Graph, k: int) -> DataFrame:
@@ -42,11 +56,11 @@ def connected_sets(g: Graph, k: int) -> DataFrame:
 NODE_KEYS = "transform(bits, b -> 100 * bit_count(b) + aggregate(transform(bits, (c, j) -> case when (b & shiftleft(1, j)) <> 0 then bit_count(c) else 0 end), 0, (x, y) -> x + y))"
 
 
-def with_type(sets: DataFrame, k: int) -> DataFrame:
-    """``(nodes, keys, type)``: a key for each node, and the set's type."""
+def with_type(sets: DataFrame, k: int, *others: str) -> DataFrame:
+    """``(nodes, keys, type)``: a key for each node, and the set's type; other columns are handed through."""
     dim = F.broadcast(atlas.table(sets.sparkSession, atlas.graphlets(k), ["shape", "type"]))
-    keyed = sets.select("nodes", F.expr(NODE_KEYS).alias("keys")).withColumn("shape", F.array_join(F.array_sort("keys"), ","))
-    return keyed.join(dim, "shape").select("nodes", "keys", "type")
+    keyed = sets.select(*others, "nodes", F.expr(NODE_KEYS).alias("keys")).withColumn("shape", F.array_join(F.array_sort("keys"), ","))
+    return keyed.join(dim, "shape").select(*others, "nodes", "keys", "type")
 
 
 def counts(typed: DataFrame, k: int) -> DataFrame:
@@ -69,14 +83,6 @@ def orbits(typed: DataFrame, k: int) -> DataFrame:
     return places.join(dim, ["type", "node_key"]).groupBy("node", "orbit").agg(F.count("*").alias("cnt"))
 
 
-def node_orbits(g: Graph, k: int) -> DataFrame:
-    """``(node, orbit, cnt)`` of all orbits up to size ``k``; orbit 0 is the degree."""
-    out = g.degree.select(F.col("u").alias("node"), F.lit(0).alias("orbit"), F.col("d").alias("cnt"))
-    for size in range(3, k + 1):
-        out = out.union(orbits(with_type(connected_sets(g, size), size), size))
-    return out
-
-
 def totals(orbit: DataFrame, k: int) -> DataFrame:
     """``(type, cnt)`` from per-node counts: one orbit of each type, over its nodes in the type."""
     rows = [r for r in atlas.orbits(k) if r["total"]]

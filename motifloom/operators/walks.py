@@ -6,20 +6,27 @@ order. The same numbers come out of any engine, so walks can be replayed.
 
 Walks are sequential, so simulations are what runs in parallel: each task moves
 its simulations together, as arrays. Adjacency goes to the executors as two
-arrays if it has at most ``BROADCAST_EDGES`` entries; ``walk_by_joins`` moves
-all walks of a larger graph by a join for each step.
+arrays if it has at most ``BROADCAST_EDGES`` entries; on a larger graph all
+walks move by a join for each step, whose rows are appended to one table.
+
+A walk on states visits connected sets of k-1 nodes, of which two are neighbours
+if they differ in one node. Only the neighbours of states that are visited are
+ever looked for.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.session import let_workers_import, store
+from motifloom.functions import atlas
+from motifloom.operators.graph import dense_ids
+from motifloom.session import Stored, let_workers_import, shared_dir, store
 
 #: The Park-Miller generator.
 MULTIPLIER, MODULUS = 48271, 2147483647
@@ -86,26 +93,174 @@ def walk(adj: DataFrame, nodes: int, sims: int, seed: int = 42, least_degree: in
     return spark.range(0, sims, 1, tasks).mapInPandas(run, "sim long, step long, node long")
 
 
-def walk_by_joins(adj: DataFrame, nodes: int, sims: int, seed: int = 42, least_degree: int = 1) -> DataFrame:
-    """The same walks, each step a join of all walks with the sorted neighbour arrays."""
-    spark = adj.sparkSession
-    nbr = store(adj.groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("nbrs"), F.count("*").alias("d")), "nbr").read()
-    starts = nbr.where(F.col("d") >= least_degree).select(F.col("u").alias("node"))
-    from motifloom.operators.graph import dense_ids
+class Trail:
+    """The steps of walks, appended to one table in the shared folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.table = Stored(spark, f"{shared_dir(spark)}/motifloom-trail-{uuid.uuid4().hex}")
 
+    def add(self, rows: DataFrame, step: int) -> None:
+        rows.withColumn("step", F.lit(step).cast("long")).select("sim", "step", *rows.columns[1:]).write.mode("append").parquet(self.table.path)
+
+
+def _eligible(adj: DataFrame, least_degree: int) -> tuple[DataFrame, int]:
+    """``(node, place)`` of the nodes that a walk may start from, and their number."""
+    starts = adj.groupBy("u").agg(F.count("*").alias("d")).where(F.col("d") >= least_degree).select(F.col("u").alias("node"))
     ranked = dense_ids(starts).select("node", F.col("id").alias("place"))
     n = ranked.count()
-    if sims and not n:
+    if not n:
         raise ValueError(f"no node of degree {least_degree} or more to start from")
+    return ranked, n
+
+
+def _starts(adj: DataFrame, sims: int, seed: int, least_degree: int) -> DataFrame:
+    """``(sim, state, node)``."""
+    ranked, n = _eligible(adj, least_degree)
     state = F.lit(1) + (F.col("sim") * 7919 + seed) % (MODULUS - 1)
     for _ in range(SKIPPED + 1):
         state = state * MULTIPLIER % MODULUS
-    now = spark.range(sims).select(F.col("id").alias("sim")).select("sim", state.alias("state")).withColumn("place", F.col("state") % F.lit(max(n, 1)))
-    now = store(now.join(ranked, "place").select("sim", "state", "node"), "walk").read()
-    out = now.select("sim", F.lit(0).cast("long").alias("step"), "node")
-    for step in range(1, nodes):
-        moved = now.join(nbr, now.node == nbr.u).withColumn("state", F.col("state") * MULTIPLIER % MODULUS)
-        picked = F.element_at("nbrs", (F.col("state") % F.col("d") + 1).cast("int"))
-        now = store(moved.select("sim", "state", picked.alias("node")), "walk").read()
-        out = out.union(now.select("sim", F.lit(step).cast("long").alias("step"), "node"))
-    return out
+    now = adj.sparkSession.range(sims).select(F.col("id").alias("sim")).select("sim", state.alias("state")).withColumn("place", F.col("state") % n)
+    return now.join(ranked, "place").select("sim", "state", "node")
+
+
+def walk_by_joins(adj: DataFrame, nodes: int, sims: int, seed: int = 42, least_degree: int = 1) -> DataFrame:
+    """The same walks, each step a join of all walks with the sorted neighbour arrays."""
+    spark = adj.sparkSession
+    nbr = store(adj.groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("nbrs"), F.count("*").alias("d")), "nbr").read()
+    now = store(_starts(adj, sims, seed, least_degree), "walk")
+    trail = Trail(spark)
+    for step in range(nodes):
+        rows = now.read()
+        trail.add(rows.select("sim", "node"), step)
+        if step + 1 < nodes:
+            moved = rows.join(nbr, rows.node == nbr.u).withColumn("state", F.col("state") * MULTIPLIER % MODULUS)
+            picked = F.element_at("nbrs", (F.col("state") % F.col("d") + 1).cast("int"))
+            after = store(moved.select("sim", "state", picked.alias("node")), "walk")
+            now.drop()
+            now = after
+    return trail.table.read()
+
+
+def connected_without(near: dict[int, set[int]], rest: list[int], y: int) -> bool:
+    """Whether ``y`` and the nodes ``rest`` are connected."""
+    left, todo = set(rest), [y]
+    while todo and left:
+        mine = near[todo.pop()] & left
+        left -= mine
+        todo += mine
+    return not left
+
+
+class _Near(dict):
+    """Neighbours of nodes, as sets, made when asked for."""
+
+    def __init__(self, offsets: np.ndarray, flat: np.ndarray):
+        self.offsets, self.flat = offsets, flat
+
+    def __missing__(self, u: int) -> set[int]:
+        self[u] = out = set(self.flat[self.offsets[u] : self.offsets[u + 1]].tolist())
+        return out
+
+
+def state_neighbours(near: dict[int, set[int]], state: tuple[int, ...]) -> list[tuple[tuple[int, ...], int]]:
+    """The states that differ from ``state`` in one node, ascending, with the node that is new."""
+    out = []
+    for x in state:
+        rest = [v for v in state if v != x]
+        beside = set().union(*(near[v] for v in rest)).difference(state)
+        out += [(tuple(sorted((*rest, y))), y) for y in beside if connected_without(near, rest, y)]
+    return sorted(out)
+
+
+def state_walk(adj: DataFrame, k: int, steps: int, sims: int, seed: int = 42) -> DataFrame:
+    """``(sim, step, nodes, type)``: walks on the connected sets of k-1 nodes.
+
+    A walk starts at a node and grows by one neighbour at a time; ``type`` is
+    that of the k nodes of the step's state and the one before (null at first).
+    """
+    spark = adj.sparkSession
+    let_workers_import(spark)
+    if adj.count() > BROADCAST_EDGES:
+        return state_walk_by_joins(adj, k, steps, sims, seed)
+    offsets, flat = csr(adj)
+    eligible = np.flatnonzero(np.diff(offsets) >= 1)
+    if sims and len(eligible) < k:
+        raise ValueError(f"a walk on states needs {k} nodes")
+    shared = spark.sparkContext.broadcast((offsets, flat, eligible))
+
+    def type_of(near: dict[int, set[int]], nodes: list[int]) -> int:
+        nodes = sorted(nodes)
+        edges = frozenset((i, j) for i, u in enumerate(nodes) for j, v in enumerate(nodes) if i < j and v in near[u])
+        return atlas.type_of(range(k), edges)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        offsets, flat, eligible = shared.value
+        near = _Near(offsets, flat)
+        for batch in batches:
+            for sim in batch["id"].tolist():
+                st = int(stream_start(np.array([sim]), seed)[0]) * MULTIPLIER % MODULUS
+                state = (int(eligible[st % len(eligible)]),)
+                while len(state) < k - 1:
+                    beside = sorted(set().union(*(near[v] for v in state)).difference(state))
+                    st = st * MULTIPLIER % MODULUS
+                    state = tuple(sorted((*state, beside[st % len(beside)])))
+                rows = [(sim, 0, list(state), None)]
+                for step in range(1, steps + 1):
+                    options = state_neighbours(near, state)
+                    st = st * MULTIPLIER % MODULUS
+                    after, y = options[st % len(options)]
+                    rows.append((sim, step, list(after), type_of(near, [*state, y])))
+                    state = after
+                    if len(rows) >= STEPS_AT_ONCE:
+                        yield pd.DataFrame(rows, columns=["sim", "step", "nodes", "type"]).astype({"type": "Int32"})
+                        rows = []
+                yield pd.DataFrame(rows, columns=["sim", "step", "nodes", "type"]).astype({"type": "Int32"})
+
+    tasks = max(1, min(sims, spark.sparkContext.defaultParallelism))
+    return spark.range(0, sims, 1, tasks).mapInPandas(run, "sim long, step long, nodes array<long>, type int")
+
+
+def _beside(now: DataFrame, adj: DataFrame) -> DataFrame:
+    """``now(sim, state, nodes, bits)`` with each node ``v`` next to the set, and the mask ``m`` of places it is adjacent to."""
+    near = now.select("*", F.posexplode("nodes").alias("i", "u")).join(adj, "u").where(~F.array_contains("nodes", F.col("v")))
+    return near.groupBy("sim", "state", "nodes", "bits", "v").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("m"))
+
+
+def _picked(options: DataFrame, columns: list[str]) -> DataFrame:
+    """One of the options of each walk, which are in the order of ``columns``; the stream moves on."""
+    state = F.col("state") * MULTIPLIER % MODULUS
+    every = options.groupBy("sim", "state").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("all")).withColumn("state", state)
+    return every.select("sim", "state", F.get("all", (F.col("state") % F.size("all")).cast("int")).alias("o")).select("sim", "state", "o.*")
+
+
+def state_walk_by_joins(adj: DataFrame, k: int, steps: int, sims: int, seed: int = 42) -> DataFrame:
+    """The same walks by joins: a step looks for the neighbours of the walks' present states only."""
+    from motifloom.operators.sets import inserted, with_type, without
+
+    first = _starts(adj, sims, seed, 1).select("sim", "state", F.array("node").alias("nodes"), F.array(F.lit(0)).alias("bits"))
+    now = store(first, "state-walk")
+    trail = Trail(adj.sparkSession)
+    for step in range(2 - k, steps + 1):
+        if step > 0:
+            each = _beside(now.read(), adj).withColumns({"whole": F.struct("nodes", "bits", F.col("m").alias("m")), "x": F.explode(F.sequence(F.lit(0), F.lit(k - 2)))})
+            rest = without(each, "x")
+            reach = F.col("m")
+            for _ in range(k - 2):
+                reach = F.expr("aggregate(transform(bits, (b, i) -> case when (r & shiftleft(1, i)) <> 0 then b else 0 end), r, (x, y) -> x | y)")
+                rest = rest.withColumn("r", F.col("m") if "r" not in rest.columns else F.col("r")).withColumn("r", reach)
+            fits = rest.where(F.col("r") == (1 << (k - 2)) - 1)
+            moved = _picked(inserted(fits), ["nodes", "v", "bits", "whole"])
+            union = inserted(moved.select("sim", F.col("whole.nodes").alias("nodes"), F.col("whole.bits").alias("bits"), "v", F.col("whole.m").alias("m")))
+            kinds = with_type(union, k, "sim").select("sim", "type")
+            after = store(moved.select("sim", "state", "nodes", "bits").join(kinds, "sim"), "state-walk")
+        elif step > 2 - k:
+            grown = inserted(_picked(_beside(now.read(), adj), ["v", "m", "nodes", "bits"]))
+            after = store(grown.select("sim", "state", "nodes", "bits"), "state-walk")
+        else:
+            continue
+        now.drop()
+        now = after
+        if step >= 0:
+            rows = now.read()
+            trail.add(rows.select("sim", "nodes", F.col("type") if step else F.lit(None).cast("int").alias("type")), step)
+    return trail.table.read()

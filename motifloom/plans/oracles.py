@@ -11,20 +11,26 @@ from itertools import permutations
 
 from motifloom.functions import atlas
 from motifloom.operators.walks import MODULUS, MULTIPLIER, SKIPPED
-from motifloom.plans.queries import QUANTITY, SEED, SIMS, STEPS, TRUTH_LINES
+from motifloom.plans.queries import DAYS, SEED, SIMS, STEPS, SWEEP, TRUTH_LINES
 
-_RAW = f"""
-raw as (
-  select distinct x.l_partkey as u, y.l_partkey as v from lineitem x join lineitem y
+_PAIR = f"""
+  select distinct x.l_orderkey as g, x.l_partkey as u, y.l_partkey as v from lineitem x join lineitem y
     on x.l_orderkey = y.l_orderkey and x.l_partkey < y.l_partkey
-  where x.l_quantity >= {QUANTITY} and y.l_quantity >= {QUANTITY}
-), both_ways as (
+  where abs(date_diff('day', x.l_shipdate, y.l_shipdate)) <= {DAYS}
+"""
+
+_ALL_PAIRS = "select distinct x.l_partkey as u, y.l_partkey as v from lineitem x join lineitem y on x.l_orderkey = y.l_orderkey and x.l_partkey < y.l_partkey"
+
+_RAW = f"""
+raw as materialized (
+  select distinct u, v from ({_PAIR})
+), both_ways as materialized (
   select u, v from raw union all select v, u from raw
 ), low as (
   select u from both_ways group by u having min(v) > u
 ), reach(root, node) as (
   select u, u from low union select r.root, b.v from reach r join both_ways b on r.node = b.u
-), comp as (
+), comp as materialized (
   select node, min(root) as c from reach group by node
 )"""
 
@@ -44,6 +50,8 @@ _GRAPH = (
 )"""
 )
 
+_DENSE = _GRAPH.replace(f"select distinct u, v from ({_PAIR})", _ALL_PAIRS)
+
 _TRI = """, tri as (
   select x.u as x, x.v as y, y.v as z from e x join e y on x.v = y.u join e w on w.u = x.u and w.v = y.v
 )"""
@@ -90,9 +98,9 @@ def _typed(k: int) -> str:
     )
 
 
-def _walk(adjacency: str, nodes: int, least: int = 1) -> str:
+def _walk(adjacency: str, nodes: int, least: int = 1, seed: int = SEED, starts: str = "select sim, st, u from first join eligible on place = st % n") -> str:
     """Table walk(sim, step, st, node) on ``adjacency(u, v)``."""
-    start = f"(1 + (sim * 7919 + {SEED}) % {MODULUS - 1})"
+    start = f"(1 + (sim * 7919 + {seed}) % {MODULUS - 1})"
     for _ in range(SKIPPED + 1):
         start = f"({start} * {MULTIPLIER} % {MODULUS})"
     return f""", nb as materialized (
@@ -102,7 +110,7 @@ def _walk(adjacency: str, nodes: int, least: int = 1) -> str:
 ), first as (
   select sim, {start} as st from range({SIMS}) r(sim)
 ), walk(sim, step, st, node) as (
-  select sim, 0::bigint, st, u from first join eligible on place = st % n
+  select sim, 0::bigint, st, u from ({starts})
   union all
   select sim, step + 1, st * {MULTIPLIER} % {MODULUS}, vs[st * {MULTIPLIER} % {MODULUS} % d + 1]
   from walk join nb on node = u where step + 1 < {nodes}
@@ -145,7 +153,7 @@ def _seen(k: int) -> str:
     return out + f", weights as materialized (select {cols}, ({basic})::double as w0, ({'+'.join(number)}) / ({'+'.join(total)}) as w1 from weighed)"
 
 
-def _estimates(k: int) -> str:
+def _estimates(k: int, steps: int = STEPS, seed: int = SEED) -> str:
     """Table est(sim, variant, type, estimate)."""
     names = _NAMES[: k - 1]
     same = " and ".join(f"f.{c} = x.{c}" for c in names)
@@ -154,13 +162,13 @@ def _estimates(k: int) -> str:
     star = "type <> 2" if k == 5 else "true"
     out = (
         _typed(k)
-        + _walk("adj", STEPS + k - 2, 2 if k == 5 else 1)
+        + _walk("adj", steps + k - 2, 2 if k == 5 else 1, seed)
         + _frames(k)
         + _seen(k)
         + f""", sums as (
   select sim, type, sum(n * w0) as a0, sum(n * w1) as a1 from frame f join seen x on {same} join weights w on {same_w} group by sim, type
 ), grid as (
-  select sim, kind.type, phi, case when beta = 0 then 0 else coalesce(a0, 0) / {STEPS} / beta end as v0, case when beta = 0 then 0 else coalesce(a1, 0) / {STEPS} / beta end as v1
+  select sim, kind.type, phi, case when beta = 0 then 0 else coalesce(a0, 0) / {steps} / beta end as v0, case when beta = 0 then 0 else coalesce(a1, 0) / {steps} / beta end as v1
   from range({SIMS}) r(sim) cross join kind left join sums using (sim, type)
 ), visit as (
   select sim, count(*) as m, sum(1.0::double / d) as r, sum((d - 1) * (d - 2) * (d - 3) / 12.0::double) as s from walk join deg on node = deg.u group by sim
@@ -173,7 +181,7 @@ def _estimates(k: int) -> str:
     return (
         out
         + """, est as (
-  select sim, variant, type, round((case when w = 0 then v0 else v1 end) * (case when known = 0 then (select count(*) from e)::double else (select count(*) from deg)::double * m / r / 2 end), 6) as estimate
+  select sim, variant, type, round((case when w = 0 then v0 else v1 end) * (case when known = 0 then (select count(*) from e)::double else (select count(*) from deg)::double * m / r / 2 end) + 1e-9, 6) as estimate
   from fixed join visit using (sim) cross join how
 )"""
     )
@@ -194,6 +202,22 @@ def _states(k: int) -> str:
     )
 
 
+def _state_walk(k: int) -> str:
+    """Tables pairs, state and walk: the latter over ids of states, each start grown from a node of its own draw."""
+    out = _states(k) + _walk("adj", 1).replace("nb as", "nb0 as").replace("from nb ", "from nb0 ").replace("join nb ", "join nb0 ").replace("walk(", "walk0(").replace("from walk ", "from walk0 ")
+    out += ", grow1 as materialized (select sim, st, [node] as s from walk0)"
+    for i in range(2, k):
+        out += f""", grow{i} as materialized (
+  select sim, st * {MULTIPLIER} % {MODULUS} as st, list_sort(list_append(s, vs[st * {MULTIPLIER} % {MODULUS} % len(vs) + 1])) as s from (
+    select g.sim, any_value(g.st) as st, any_value(g.s) as s, list(distinct a.v order by a.v) as vs
+    from grow{i - 1} g join adj a on list_contains(g.s, a.u) and not list_contains(g.s, a.v) group by g.sim)
+)"""
+    walk = _walk("pairs", STEPS + 1, starts=f"select sim, st, id as u from grow{k - 1} join state using (s)")
+    for name in ("eligible", "first"):
+        walk = re.sub(rf"\b{name} as", f"{name}2 as", walk)
+    return out + walk
+
+
 def _orbit_dim(k: int) -> str:
     return f"orbit_dim(type, key, orbit) as ({_values([(r['type'], r['node_key'], r['orbit']) for r in atlas.orbits(k)])})"
 
@@ -227,8 +251,8 @@ def _counts(k: int) -> str:
     return f"select kind.type, name, count(s) as cnt from kind left join typed{k} using (type) group by kind.type, name"
 
 
-_METRICS = f"""
-select variant, {STEPS}::bigint as steps, type, round(avg(estimate), 6) as RV, round(avg(abs(estimate / cnt - 1)), 6) as RE,
+_METRICS = """
+select variant, STEPS::bigint as steps, type, round(avg(estimate), 6) as RV, round(avg(abs(estimate / cnt - 1)), 6) as RE,
   list_sort(list(estimate))[(count(*) * 0.05)::double::int + 1] as LB, list_sort(list(estimate))[floor(count(*) * 0.95)::int + 1] as UB,
   round(sqrt(avg(pow(estimate / cnt - 1, 2))), 6) as NRMSE
 from est join (select type, count(*)::double as cnt from typed3 group by type) using (type) group by variant, type
@@ -251,18 +275,81 @@ from e left join sides using (u, v) group by e.u, e.v
 """
 
 
-def _orbit_matrix() -> str:
-    cols = ", ".join(f"coalesce(sum(cnt) filter (orbit = {o}), 0)::bigint as o{o}" for o in range(15))
-    return f"{_ORBITS4.replace(' select n as node', ', long as (select n as node', 1)}) select node, {cols} from long group by node"
+def _all_orbits(k: int) -> str:
+    """A query for (node, orbit, cnt), orbit 0 included."""
+    parts = ["select u as node, 0 as orbit, d as cnt from deg"]
+    for size in range(3, k + 1):
+        if size < k:
+            dims = _orbit_dim(size).replace("orbit_dim(", f"orbit_dim{size}(")
+            parts.append(f"select * from (with {_typed(size).removeprefix(', ')}, {dims} {_orbits(size).replace('orbit_dim', f'orbit_dim{size}')})")
+        else:
+            parts.append(_orbits(size))
+    return f"{_GRAPH}{_typed(k)}, {_orbit_dim(k)}, long as ({' union all '.join(parts)})"
+
+
+def _orbit_matrix(k: int, last: int) -> str:
+    cols = ", ".join(f"coalesce(sum(cnt) filter (orbit = {o}), 0)::bigint as o{o}" for o in range(last + 1))
+    return f"{_all_orbits(k)} select node, {cols} from long group by node"
+
+
+def _metrics(steps: int = STEPS, seed: int = SEED) -> str:
+    return f"{_GRAPH}{_estimates(3, steps, seed)} {_METRICS.replace('STEPS', str(steps))}"
+
+
+def _metric_log() -> str:
+    lists = ", ".join(f"{m}" for m in ("RV", "RE", "LB", "UB", "NRMSE"))
+    return f"select 'shipped' as graph, 3 as k, metric, variant, steps, type, value from (unpivot (select * from ({_metrics()})) on {lists} into name metric value value)"
+
+
+#: Signature, walks that see it, pairs of its parts, central nodes, parts by type, and weight of each type.
+CONSTANTS = (
+    (4, 0, "1,1,2,2", 2, 1, 0, "2,0", 1), (4, 1, "1,1,1,3", 3, 3, 1, "3,0", 3), (4, 2, "2,2,2,2", 4, 6, 0, "4,0", 4),
+    (4, 3, "1,2,2,3", 5, 3, 1, "2,1", 5), (4, 4, "2,2,3,3", 8, 6, 2, "2,2", 12), (4, 5, "3,3,3,3", 12, 6, 4, "0,4", 24),
+    (5, 0, "1,1,2,2,2", 2, 1, 0, "2,0,0,0,0,0", 2), (5, 1, "1,1,1,2,3", 2, 3, 0, "2,1,0,0,0,0", 5), (5, 2, "1,1,1,1,4", 0, 6, 1, "0,4,0,0,0,0", 12),
+    (5, 3, "1,1,2,3,3", 5, 3, 0, "1,0,0,2,0,0", 11), (5, 4, "1,2,2,2,3", 4, 3, 0, "2,0,0,1,0,0", 7), (5, 5, "1,1,2,2,4", 4, 6, 1, "0,2,0,2,0,0", 16),
+    (5, 6, "2,2,2,2,2", 5, 10, 0, "5,0,0,0,0,0", 5), (5, 7, "1,2,2,2,3", 6, 6, 0, "2,1,1,0,0,0", 9), (5, 8, "1,2,2,3,4", 10, 6, 1, "0,1,0,2,1,0", 25),
+    (5, 9, "2,2,2,2,4", 8, 6, 1, "0,0,0,4,0,0", 20), (5, 10, "1,2,3,3,3", 10, 6, 0, "2,0,0,1,1,0", 19), (5, 11, "2,2,2,3,3", 12, 10, 0, "0,2,3,0,0,0", 18),
+    (5, 12, "2,2,2,3,3", 10, 10, 0, "2,0,1,2,0,0", 16), (5, 13, "2,2,2,4,4", 18, 10, 2, "0,2,0,0,3,0", 42), (5, 14, "1,3,3,3,4", 18, 6, 1, "0,0,0,3,0,1", 39),
+    (5, 15, "2,2,3,3,4", 17, 10, 1, "1,0,0,2,2,0", 35), (5, 16, "2,3,3,3,3", 18, 10, 0, "0,0,2,2,1,0", 30), (5, 17, "2,3,3,4,4", 28, 10, 2, "0,0,0,2,2,1", 58),
+    (5, 18, "3,3,3,3,4", 28, 10, 1, "0,0,1,0,4,0", 52), (5, 19, "3,3,4,4,4", 42, 10, 3, "0,0,0,0,3,2", 84), (5, 20, "4,4,4,4,4", 60, 10, 5, "0,0,0,0,0,5", 120),
+)
+
+_REWEIGHT = """
+select array_to_string(s, ',') as nodes, type, round(1.0::double / sum(i * (i - 1) / 2 / d), 9) as weight
+from (select s, type, n, key // 100 as i from place4 join typed4 using (s)) join deg on n = deg.u group by s, type
+"""
+
+_DENSE4 = f"""{_DENSE}, tri as materialized (
+  select x.u as x, x.v as y, y.v as z from e x join e y on x.v = y.u join e w on w.u = x.u and w.v = y.v
+), side as (
+  select x as u, y as v from tri union all select x, z from tri union all select y, z from tri
+), support as materialized (
+  select u, v, coalesce(t, 0) as t from e left join (select u, v, count(*) as t from side group by u, v) using (u, v)
+), k4 as (
+  select count(*) as n from tri a join tri b on a.x = b.x and a.y = b.y and a.z < b.z join e on e.u = a.z and e.v = b.z
+), co as (
+  select sum(n * (n - 1) // 2) // 2 as quads from (select count(*) as n from adj x join adj y on x.u = y.u and x.v < y.v group by x.v, y.v)
+), part as (
+  select sum(t * (t - 1) // 2) as pairs, sum(t * (a.d + b.d - 2 - 2 * t)) as tails, sum((a.d - t - 1) * (b.d - t - 1)) as ends,
+    sum((a.d - t - 1) * (a.d - t - 2) // 2 + (b.d - t - 1) * (b.d - t - 2) // 2) as forks
+  from support s join deg a on a.u = s.u join deg b on b.u = s.v
+), dia as (
+  select pairs - 6 * k4.n as dia, k4.n as k4, tails, ends, forks, quads from part, k4, co
+), rest as (
+  select *, quads - dia - 3 * k4 as c4, (tails - 4 * dia) // 2 as paw from dia
+)
+select 0 as type, 'path' as name, (ends - 4 * c4)::bigint as cnt from rest union all select 1, 'star', ((forks - paw) // 3)::bigint from rest
+union all select 2, 'cycle', c4::bigint from rest union all select 3, 'tailed triangle', paw::bigint from rest
+union all select 4, 'chordal cycle', dia::bigint from rest union all select 5, 'clique', k4::bigint from rest
+"""
 
 
 def _concentration_metrics(k: int) -> str:
-    states = _states(k).removeprefix(_typed(k))
-    walk = _walk("pairs", STEPS + 1)
-    for name in ("nb", "eligible", "first", "walk"):
-        walk = re.sub(rf"\b{name}\b", f"{name}2", walk)
-    return f"""{_GRAPH}{_estimates(k)}{states}{walk}, move as (
-  select sim, node as u, lead(node) over (partition by sim order by step) as v from walk2
+    states = _state_walk(k).removeprefix(_typed(k))
+    for name in ("nb0", "nb", "eligible2", "eligible", "first2", "first", "walk0", "walk"):
+        states = re.sub(rf"\b{name}\b", f"{name}x", states)
+    return f"""{_GRAPH}{_estimates(k)}{states}, move as (
+  select sim, node as u, lead(node) over (partition by sim order by step) as v from walkx
 ), tally as (
   select sim, type, count(*) as n from move join pairs using (u, v) group by sim, type
 ), share as (
@@ -274,16 +361,16 @@ def _concentration_metrics(k: int) -> str:
   select kind.type, round(count(s)::double / (select count(*) from typed{k}), 9) as cnt from kind left join typed{k} using (type) group by kind.type
 )
 select variant, type, round(avg(estimate), 6) as RV, round(avg(case when cnt > 0 then abs(estimate / cnt - 1) end), 6) as RE,
-  list_sort(list(estimate))[1] as LB, list_sort(list(estimate))[floor(count(*) * 0.95)::int + 1] as UB,
+  list_sort(list(estimate))[(count(*) * 0.05)::double::int + 1] as LB, list_sort(list(estimate))[floor(count(*) * 0.95)::int + 1] as UB,
   round(sqrt(avg(case when cnt > 0 then pow(estimate / cnt - 1, 2) end)), 6) as NRMSE
 from value join exact using (type) group by variant, type"""
 
 
-_ORBITS4 = f"{_GRAPH}{_typed(4)}, {_orbit_dim(4)} {_orbits(4)} union all select u, 0, d from deg union all select * from (with {_typed(3).removeprefix(', ')}, orbit3(type, key, orbit) as ({_values([(r['type'], r['node_key'], r['orbit']) for r in atlas.orbits(3)])}) {_orbits(3).replace('orbit_dim', 'orbit3')})"
+_SCAN = f"select 3 * count(*) as n_raw, count(*) as loops, 2 * count(*) as n_kept, count(distinct (u, v)) as n_edges from ({_PAIR})"
 
 ORACLE_SQL: dict[str, str] = {
     "edge_list": f"with recursive{_RAW} select u, v from raw",
-    "scan_stats": f"with m as (select distinct l_orderkey as g, l_partkey as p from lineitem where l_quantity >= {QUANTITY}), pair as (select x.p as u, y.p as v from m x join m y on x.g = y.g and x.p < y.p) select 3 * count(*) as n_raw, count(*) as loops, 2 * count(*) as n_kept, count(distinct (u, v)) as n_edges from pair",
+    "scan_stats": _SCAN,
     "components": f"with recursive{_RAW} select comp.c as comp_id, count(distinct node) as n_nodes, (select count(*) from raw join comp x on raw.u = x.node where x.c = comp.c) as n_edges from comp group by comp.c",
     "lcc_edges": f"{_GRAPH} select u, v from e",
     "neighbors": f"{_GRAPH} select u, string_agg(v::varchar, ',' order by v) as nbrs, count(*) as d from adj group by u",
@@ -299,8 +386,27 @@ ORACLE_SQL: dict[str, str] = {
     "graphlet4": f"{_GRAPH}{_typed(4)} {_counts(4)}",
     "graphlet4_identities": f"{_GRAPH}{_typed(4)}, {_PER_EDGE} {_identities()}",
     "graphlet5": f"{_GRAPH}{_typed(5)} {_counts(5)}",
-    "orbits4": _ORBITS4,
-    "orbit_matrix4": _orbit_matrix(),
+    "orbits4": f"{_all_orbits(4)} select node, orbit, cnt from long",
+    "orbit_matrix4": _orbit_matrix(4, 14),
+    "orbit_matrix5": _orbit_matrix(5, 72),
+    "sets_orbits5": f"{_GRAPH}{_typed(5)}, {_orbit_dim(5)} {_orbits(5)}",
+    "two_paths": f"{_GRAPH} select x.v as a, y.v as b, count(*) as n from adj x join adj y on x.u = y.u and x.v < y.v where (x.v, y.v) not in (select (u, v) from e) group by x.v, y.v",
+    "edge_order": f"{_GRAPH} select row_number() over (order by a.d + b.d desc, e.u desc, e.v desc) - 1 as place, e.u, e.v, a.d + b.d as bound from e join deg a on a.u = e.u join deg b on b.u = e.v",
+    "reweight4": f"{_GRAPH}{_typed(4)} {_REWEIGHT}",
+    "report4": f"{_GRAPH}{_typed(4)} select type, rpad(name, 20, ' ') || lpad(cnt::varchar, 20, ' ') || lpad(printf('%.6f', cnt::double / (select count(*) from typed4)), 12, ' ') as line from ({_counts(4)})",
+    "constants": f"select * from ({_values(list(CONSTANTS))}) c(k, type, signature, beta, walk_div, phi, parts, reweight)",
+    "text_scan": _SCAN,
+    "truth_table": " union all ".join(f"select 'shipped' as graph, {k} as k, type, cnt from ({_GRAPH}{_typed(k)} {_counts(k)})" for k in (3, 4, 5)),
+    "metric_log": _metric_log(),
+    "count_sweep": " union all ".join(f"select * from ({_metrics(n, SEED + i)})" for i, n in enumerate(SWEEP)),
+    "unit_errors": f"{_GRAPH}{_estimates(3)} select variant, type, round(sqrt(avg(pow(estimate / cnt - 1, 2))), 6) as NRMSE from est join (select type, count(*)::double as cnt from typed3 group by type) using (type) group by variant, type",
+    "state_trace": f"{_GRAPH}{_state_walk(5)}, visit as (select sim, step, node, lag(node) over (partition by sim order by step) as before from walk) select sim, step, array_to_string(s, ',') as nodes, type from visit join state on id = node left join pairs on pairs.u = before and pairs.v = node",
+    "copurchase_edges": f"{_DENSE} select u, v from e",
+    "copurchase_degrees": f"{_DENSE} select u as node, d from deg",
+    "copurchase_triangle_line": f"{_DENSE}{_TRI} {_LINES}",
+    "copurchase_edge_support": f"{_DENSE}, {_SUPPORT} select u, v, t from support",
+    "copurchase_clustering": f"{_DENSE}, closed as (select x.u, count(*) // 2 as t from adj x join adj y on x.u = y.u join adj z on z.u = x.v and z.v = y.v group by x.u) select round(avg(case when d > 1 then 2.0::double * coalesce(t, 0) / (d * (d - 1)) else 0 end), 9) as avg_clustering, round(sum(t) / sum(d * (d - 1) // 2), 9) as global_clustering from deg left join closed using (u)",
+    "copurchase_graphlet4": _DENSE4,
     "neighbor_sides": f"{_GRAPH}, {_SIDES} select u, v, x, side from sides",
     "edge_stats": f"{_GRAPH}, {_SIDES} {_EDGE_STATS}",
     "graphlet4_by_edges": f"{_GRAPH}{_typed(4)} {_counts(4)}",
@@ -311,7 +417,7 @@ ORACLE_SQL: dict[str, str] = {
     "orbit_totals5": f"{_GRAPH}{_typed(5)} select kind.type, count(s) as cnt from kind left join typed5 using (type) group by kind.type",
     "walk_trace": f"{_GRAPH}{_walk('adj', STEPS)} select sim, step, node from walk",
     "edges_hat": f"{_GRAPH}{_walk('adj', STEPS + 1)} select sim, round((select count(*) from deg)::double * count(*) / sum(1.0::double / d) / 2, 6) as e_hat from walk join deg on node = deg.u group by sim",
-    "error_metrics": f"{_GRAPH}{_estimates(3)} {_METRICS}",
+    "error_metrics": _metrics(),
     "truth_lookup": _TRUTH,
 }
 for _k in (3, 4, 5):
@@ -324,5 +430,5 @@ for _k in (3, 4, 5):
         f"est{_k}_count": f"{_GRAPH}{_estimates(_k)} select sim, variant, type, estimate from est",
         f"est{_k}_conc": f"{_GRAPH}{_estimates(_k)} select sim, type, round(estimate / sum(estimate) over (partition by sim), 6) as value from est where variant = '{_conc}'",
         f"state_adj{_k - 1}": f"{_GRAPH}{_states(_k)} select u, v, type from pairs",
-        f"psrw{_k}": f"{_GRAPH}{_states(_k)}{_walk('pairs', STEPS + 1)}, move as (select sim, node as u, lead(node) over (partition by sim order by step) as v from walk), tally as (select sim, type, count(*) as n from move join pairs using (u, v) group by sim, type), share as (select sim, kind.type, coalesce(n, 0)::double / walk_div as x from range({SIMS}) r(sim) cross join kind left join tally using (sim, type)) select sim, type, round(x / sum(x) over (partition by sim), 6) as value from share",
+        f"psrw{_k}": f"{_GRAPH}{_state_walk(_k)}, move as (select sim, node as u, lead(node) over (partition by sim order by step) as v from walk), tally as (select sim, type, count(*) as n from move join pairs using (u, v) group by sim, type), share as (select sim, kind.type, coalesce(n, 0)::double / walk_div as x from range({SIMS}) r(sim) cross join kind left join tally using (sim, type)) select sim, type, round(x / sum(x) over (partition by sim), 6) as value from share",
     }

@@ -1,22 +1,31 @@
-"""The registered graph queries: one for each operator, on the co-purchase graph."""
+"""The registered graph queries: one for each operator.
+
+The graph: parts of one order that ship within ``DAYS`` days of one another,
+from all lines of all orders. Queries named ``copurchase_`` take the whole
+co-purchase graph, which is too dense to enumerate sets of four nodes.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.operators import estimate, four, graph, sets, walks
+from motifloom.functions import atlas
+from motifloom.operators import estimate, experiments, four, graph, orbits, sets, walks
 from motifloom.operators.graph import Graph
-from motifloom.session import let_workers_import, store
+from motifloom.session import Stored, let_workers_import, shared_dir, store
 from motifloom.sources import edges, truth
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUANTITY = 45
+DAYS = 30
 #: Simulations and frames of the estimation queries, and the walks' seed.
-SIMS, STEPS, SEED = 6, 60, 42
+SIMS, STEPS, SEED = 100, 200, 42
+#: Steps of the two runs of the sweep.
+SWEEP = (100, 250)
 
 _kept: dict[tuple, object] = {}
 
@@ -31,13 +40,23 @@ def _once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[], object
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     let_workers_import(spark)
-    return edges.co_purchase(spark, sf_dir, QUANTITY)
+    return edges.shipped_together(spark, sf_dir, DAYS)
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> Graph:
     return _once(spark, sf_dir, "graph", lambda: Graph.from_raw(raw(spark, sf_dir)))
 
 
+def dense(spark: SparkSession, sf_dir: str) -> Graph:
+    """The whole co-purchase graph."""
+    return _once(spark, sf_dir, "dense", lambda: Graph.from_raw(edges.co_purchase(spark, sf_dir)))
+
+
+def orbit_counts(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    g = prepared(spark, sf_dir)
+    return _once(spark, sf_dir, f"orbits{k}", lambda: store(orbits.node_orbits(g, k), f"orbits{k}")).read()
+
+
 def typed(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     g = prepared(spark, sf_dir)
     return _once(spark, sf_dir, f"sets{k}", lambda: store(sets.with_type(sets.connected_sets(g, k), k), f"sets{k}")).read()
@@ -70,9 +89,61 @@ def typed_or_edges(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 
 def psrw(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    _, pairs = states(spark, sf_dir, k)
-    path = walks.walk(pairs.select("u", "v"), STEPS + 1, SIMS, SEED)
-    return estimate.state_walk_shares(store(path, "psrw").read(), pairs, k)
+    path = store(walks.state_walk(prepared(spark, sf_dir).adj, k, STEPS, SIMS, SEED), "psrw").read()
+    return estimate.state_walk_shares(path, k)
+
+
+def state_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states that four-node walks visit, as text, with the type of each move."""
+    path = walks.state_walk(prepared(spark, sf_dir).adj, 5, STEPS, SIMS, SEED)
+    return path.select("sim", "step", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ",").alias("nodes"), "type")
+
+
+def text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan of the graph as edge-list text finds; the text holds both directions, loops and lines that are no edges."""
+    raw_ = raw(spark, sf_dir)
+    n = raw_.agg(F.max("dst")).first()[0] or 0
+    lines = raw_.union(raw_.select("dst", "src")).union(raw_.select("src", F.col("src").alias("dst"))).union(raw_.select(F.lit(-1).alias("src"), "dst"))
+    held = Stored(spark, f"{shared_dir(spark)}/motifloom-text-{uuid.uuid4().hex}")
+    edges.write_edge_list(lines, n + 1, held.path)
+    return graph.scan_stats(edges.read_edge_list(spark, f"{held.path}/edges", f"{held.path}/header"))
+
+
+def exact_counts(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    g = prepared(spark, sf_dir)
+    if k == 3:
+        return graph.line_triangle(g, g.triangles)
+    return four.graphlet4(g) if k == 4 else sets.totals(orbit_counts(spark, sf_dir, 5), 5)
+
+
+def truth_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts of all sizes, written and read back; a size that is written again is replaced."""
+    held = Stored(spark, f"{shared_dir(spark)}/motifloom-truth-{uuid.uuid4().hex}")
+    for k in (3, 3, 4, 5):
+        truth.write_truth(exact_counts(spark, sf_dir, k), "shipped", k, held.path)
+    return held.read().select("graph", "k", "type", "cnt")
+
+
+def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error metrics, written and read back."""
+    held = Stored(spark, f"{shared_dir(spark)}/motifloom-log-{uuid.uuid4().hex}")
+    truth.append_metrics(metrics(spark, sf_dir), "shipped", 3, held.path)
+    return held.read().select("graph", "k", "metric", "variant", "steps", "type", "value")
+
+
+def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.count_errors(prepared(spark, sf_dir), 3, exact_counts(spark, sf_dir, 3), SWEEP, SIMS, SEED)
+
+
+def unit_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NRMSE of estimates in units of their truth."""
+    est = estimate.estimate(prepared(spark, sf_dir), trail(spark, sf_dir, 3), 3)
+    return estimate.nrmse(estimate.relative(est, exact_counts(spark, sf_dir, 3)))
+
+
+def constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = atlas.constants()
+    return atlas.table(spark, rows, list(rows[0]))
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,11 +200,30 @@ QUERIES: dict[str, Query] = {
     "graphlet4_by_edges": _on_graph(four.graphlet4_by_edges),
     "cliques4": _on_graph(four.cliques),
     "graphlet5": _on_sets(5, lambda t: sets.counts(t, 5)),
-    "orbits4": lambda s, d: sets.node_orbits(prepared(s, d), 4),
-    "orbit_matrix4": lambda s, d: sets.wide_orbits(sets.node_orbits(prepared(s, d), 4), 14),
-    "orbits5": _on_sets(5, lambda t: sets.orbits(t, 5)),
-    "orbit_totals4": _on_sets(4, lambda t: sets.totals(sets.orbits(t, 4), 4)),
-    "orbit_totals5": _on_sets(5, lambda t: sets.totals(sets.orbits(t, 5), 5)),
+    "orbits4": lambda s, d: orbit_counts(s, d, 4),
+    "orbit_matrix4": lambda s, d: sets.wide_orbits(orbit_counts(s, d, 4), 14),
+    "orbits5": lambda s, d: orbit_counts(s, d, 5).where("orbit >= 15"),
+    "orbit_matrix5": lambda s, d: sets.wide_orbits(orbit_counts(s, d, 5), 72),
+    "orbit_totals4": lambda s, d: sets.totals(orbit_counts(s, d, 4), 4),
+    "orbit_totals5": lambda s, d: sets.totals(orbit_counts(s, d, 5), 5),
+    "sets_orbits5": _on_sets(5, lambda t: sets.orbits(t, 5)),
+    "two_paths": _on_graph(lambda g: g.two_paths),
+    "edge_order": _on_graph(lambda g: g.edge_order),
+    "reweight4": lambda s, d: estimate.reweighted(prepared(s, d), typed(s, d, 4)).select(F.array_join(F.transform("nodes", lambda n: n.cast("string")), ",").alias("nodes"), "type", "weight"),
+    "report4": lambda s, d: experiments.report(four.graphlet4(prepared(s, d))),
+    "constants": constants,
+    "text_scan": text_scan,
+    "truth_table": truth_table,
+    "metric_log": metric_log,
+    "count_sweep": sweep,
+    "unit_errors": unit_errors,
+    "state_trace": state_trace,
+    "copurchase_edges": lambda s, d: dense(s, d).edge,
+    "copurchase_degrees": lambda s, d: dense(s, d).degree.select(F.col("u").alias("node"), "d"),
+    "copurchase_triangle_line": lambda s, d: graph.line_triangle(dense(s, d), dense(s, d).triangles),
+    "copurchase_edge_support": lambda s, d: dense(s, d).support,
+    "copurchase_clustering": lambda s, d: graph.global_clustering(dense(s, d)),
+    "copurchase_graphlet4": lambda s, d: four.graphlet4(dense(s, d)),
     "walk_trace": lambda s, d: walks.walk(prepared(s, d).adj, STEPS, SIMS, SEED),
     "edges_hat": lambda s, d: estimate.edges_hat(prepared(s, d), trail(s, d, 3)).select("sim", F.round("e_hat", 6).alias("e_hat")),
     "error_metrics": metrics,

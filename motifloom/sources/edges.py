@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
+def read_edge_list(spark: SparkSession, path: str, header: str | None = None) -> DataFrame:
     """``raw(src, dst)`` from text: a header ``n m``, then a line ``u v [weight]`` for each edge.
 
-    Lines that don't begin with two integers below ``n`` are left out (the
-    header is one of them, as it begins with ``n``); a third column is ignored.
-    Loops and repeats stay. An empty file has no rows.
+    The header is the first line of the file, or of another file named by
+    ``header``. Lines that don't begin with two integers below ``n`` are left out
+    (the header is one of them, as it begins with ``n``; ids have at most 18
+    digits, so ``n`` may have as many); a third column is ignored. Loops and
+    repeats stay. An empty file has no rows.
     """
-    top = spark.read.text(path).limit(1).collect()
+    top = spark.read.text(header or path).limit(1).collect()
     head = top[0].value.split() if top else ["0", "0"]
-    if len(head) < 2 or not all(h.isdigit() for h in head[:2]):
+    if len(head) < 2 or not all(h.isdigit() for h in head[:2]) or len(head[0]) > 18:
         raise ValueError(f"the first line should be 'n m': {top[0].value[:80]}")
     lines = spark.read.text(path)
     ends = [F.regexp_extract("value", r"^\s*(\d{1,18})\s+(\d{1,18})(?:\s|$)", i) for i in (1, 2)]
@@ -24,6 +26,14 @@ def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.where((F.col("src") < n) & (F.col("dst") < n))
 
 
+def write_edge_list(raw: DataFrame, nodes: int, path: str) -> None:
+    """Write ``raw(src, dst)`` as text: ``path/edges``, and the line ``n m`` in ``path/header``."""
+    raw.select(F.concat_ws(" ", "src", "dst")).write.text(f"{path}/edges")
+    spark = raw.sparkSession
+    written = spark.read.text(f"{path}/edges").count()
+    spark.createDataFrame([(f"{nodes} {written}",)], "line string").coalesce(1).write.text(f"{path}/header")
+
+
 def from_pairs(rows: DataFrame, group: str, member: str) -> DataFrame:
     """``raw(src, dst)``: members that share a group, each pair of a group once, smaller first."""
     slim = rows.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g is not null and m is not null").distinct()
@@ -31,7 +41,16 @@ def from_pairs(rows: DataFrame, group: str, member: str) -> DataFrame:
     return slim.withColumnRenamed("m", "src").join(other, "g").where("src < dst").select("src", "dst")
 
 
-def co_purchase(spark: SparkSession, sf_dir: str, quantity: float = 45) -> DataFrame:
+def co_purchase(spark: SparkSession, sf_dir: str, quantity: float = 0) -> DataFrame:
     """``raw(src, dst)``: parts bought in one order, both in lines of at least ``quantity``."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_quantity") >= quantity)
     return from_pairs(lines, "l_orderkey", "l_partkey")
+
+
+def shipped_together(spark: SparkSession, sf_dir: str, days: int = 30) -> DataFrame:
+    """``raw(src, dst)``: parts of one order that ship at most ``days`` days apart, each pair of an order once, smaller first."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    slim = lines.select(F.col("l_orderkey").alias("g"), F.col("l_partkey").alias("src"), F.col("l_shipdate").alias("day")).where("g is not null and src is not null").distinct()
+    other = slim.select("g", F.col("src").alias("dst"), F.col("day").alias("then"))
+    near = slim.join(other, "g").where((F.col("src") < F.col("dst")) & (F.abs(F.datediff("day", "then")) <= days))
+    return near.select("g", "src", "dst").distinct().select("src", "dst")

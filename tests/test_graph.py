@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from motifloom.functions import atlas, equations
-from motifloom.operators import estimate, four, graph, orbits, sets, walks
+from motifloom.operators import estimate, experiments, four, graph, orbits, sets, walks
 from motifloom.operators.components import components
 from motifloom.operators.graph import Graph
 from motifloom.sources import edges, truth
@@ -193,6 +193,57 @@ def test_walks_agree(spark):
         walks.walk(g.adj, 6, 5, least_degree=99)
 
 
+@pytest.mark.parametrize("k", [3, 4, 5])
+def test_state_walks_agree(spark, k):
+    """By arrays and by joins; each move is one between neighbours, of the type that the union of both has."""
+    g = Graph.from_raw(frame(spark, TINY_GRAPHS["grid"][0] + [(0, 4), (1, 3), (4, 8)]))
+    by_arrays = {(r.sim, r.step): (tuple(r.nodes), r.type) for r in walks.state_walk(g.adj, k, 6, 5).collect()}
+    assert by_arrays == {(r.sim, r.step): (tuple(r.nodes), r.type) for r in walks.state_walk_by_joins(g.adj, k, 6, 5).collect()}
+    assert len(by_arrays) == 35
+    kinds = {tuple(r.nodes): r.type for r in sets.with_type(sets.connected_sets(g, k), k).collect()}
+    for (sim, step), (nodes, kind) in by_arrays.items():
+        if step:
+            union = tuple(sorted({*nodes, *by_arrays[sim, step - 1][0]}))
+            assert len(union) == k and kinds[union] == kind
+    named = graph.ranked(sets.connected_sets(g, k - 1).select("nodes"), "nodes")
+    pairs = sets.state_pairs(named, sets.with_type(sets.connected_sets(g, k), k))
+    near = walks._Near(*walks.csr(g.adj))
+    moves = {(tuple(r.s), tuple(r.t)) for r in pairs.collect()}
+    assert moves == {(tuple(r.nodes), t) for r in named.collect() for t, _ in walks.state_neighbours(near, tuple(r.nodes))}
+    with pytest.raises(ValueError):
+        walks.state_walk(Graph.from_raw(frame(spark, [(0, 1)])).adj, k, 3, 1)
+
+
+def test_state_walk_shares_are_near(spark):
+    g = Graph.from_raw(edges.shipped_together(spark, "/root/testdata/sf0.001"))
+    for k in (3, 4):
+        metrics, seconds = experiments.compare_walks(g, k, experiments.exact(g, k), 1500, 16)
+        rows = {(r.variant, r["type"]): r for r in metrics.collect()}
+        assert set(seconds) == {"Basic", "PSRW"} and min(seconds.values()) > 0
+        assert rows["PSRW", 0].RE < 0.2 and rows["Basic", 0].RE < 0.2
+
+
+def test_experiment_program(spark, tmp_path, capsys, monkeypatch):
+    path = tmp_path / "g.txt"
+    pairs = TINY_GRAPHS["wheel"][0]
+    path.write_text(f"6 {len(pairs)}\n" + "".join(f"{a} {b}\n" for a, b in pairs))
+    monkeypatch.setattr(experiments, "SWEEP", (20,))
+    monkeypatch.setattr(experiments, "COMPARED", 20)
+    experiments.main([str(path), "4", "3"])
+    out = capsys.readouterr().out
+    assert "NRMSE      SRWIMPR = " in out and "seconds a run" in out
+    assert experiments.vector_line([0.25, None, 1234567.0]) == "      0.25\t         -\t1.23457e+06\t"
+    with pytest.raises(SystemExit):
+        experiments.main(["g"])
+
+
+def test_edge_list_sink(spark, tmp_path):
+    raw = frame(spark, [(0, 1), (1, 0), (2, 2), (1, 2)])
+    edges.write_edge_list(raw, 3, f"{tmp_path}/g")
+    back = edges.read_edge_list(spark, f"{tmp_path}/g/edges", f"{tmp_path}/g/header")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, raw.collect()))
+
+
 def test_estimates_are_near(spark):
     g = Graph.from_raw(edges.co_purchase(spark, "/root/testdata/sf0.001", 40))
     est = estimate.estimate(g, walks.walk(g.adj, 2001, 30), 3).withColumn("steps", F.lit(2000))
@@ -226,9 +277,3 @@ def test_unknown_sizes(spark):
         estimate.estimate(g, walks.walk(g.adj, 4, 2), 6)
     with pytest.raises(ValueError):
         sets.connected_sets(g, 1)
-    # Walks on a state graph with a single state have nowhere to go.
-    triangle = Graph.from_raw(frame(spark, [(0, 1), (1, 2), (0, 2)]))
-    states = graph.ranked(sets.connected_sets(triangle, 3).select("nodes"), "nodes")
-    pairs = sets.state_pairs(states, sets.with_type(sets.connected_sets(triangle, 4), 4))
-    with pytest.raises(ValueError):
-        walks.walk(pairs.select(F.lit(0).cast("long").alias("u"), F.lit(0).cast("long").alias("v")), 3, 1)
