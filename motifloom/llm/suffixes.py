@@ -75,14 +75,15 @@ def suffix_order(rank: np.ndarray) -> np.ndarray:
     return np.argsort(rank.astype(np.int64) << 32 | np.arange(len(rank)))
 
 
-def common_prefix(order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """For each place in suffix order, the length it shares with the place before it, as far as ranks go.
+def common_prefix(order: np.ndarray, levels: list[tuple[int, np.ndarray]], least: int) -> np.ndarray:
+    """For each place in suffix order, the length it shares with the place before it, as far as ranks go; 0 for under ``least``.
 
     From the longest length down, twice the shortest: each length fits once at most after those above it.
     """
     n = len(order)
     a, b, out = order.copy(), np.concatenate(([n], order[:-1])), np.zeros(n, np.int32)
-    open_ = np.arange(1, n)
+    enough = [rank for k, rank in levels if k <= least][-1][order]
+    open_ = np.flatnonzero(enough[1:] == enough[:-1]) + 1
     for k, rank in [*reversed(levels), levels[0]]:
         same = rank[np.minimum(a[open_], n - 1)] == rank[np.minimum(b[open_], n - 1)]
         more = open_[same]
@@ -91,6 +92,7 @@ def common_prefix(order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np
         b[more] += k
         if k == levels[-1][0]:  # agree as far as it counts
             open_ = open_[~same]
+    out[out < least] = 0
     return out
 
 
@@ -122,15 +124,15 @@ def nearest_smaller(order: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray,
     return near, least
 
 
-def longest_factors(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """At each place, the longest string that also starts earlier, and later (up to ``depth``).
+def longest_factors(codes: np.ndarray, depth: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """At each place, the longest string that also starts earlier, and later (up to ``depth``, and 0 for under ``least``).
 
     The first is the longest-previous-factor array; the second mirrors it.
     """
     n = len(codes)
-    levels = [(1, _ranks(codes.astype(np.int64)))] + [x for x in prefix_ranks(codes, depth) if x[0] > 1]
+    levels = [(1, codes)] + [x for x in prefix_ranks(codes, depth) if x[0] > 1]
     order = suffix_order(levels[-1][1])
-    shared = common_prefix(order, levels)
+    shared = common_prefix(order, levels, least)
     after = np.concatenate(([0], shared[:0:-1])) if n else shared  # the same, read from the other end
     out = []
     for seen in (order, n - 1 - order):  # mirrored places turn "larger" into "smaller"
@@ -151,7 +153,8 @@ def repeats(contexts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray,
     own[first + size] = False
     codes[own] = np.frombuffer(b"".join(contexts), np.uint8)
     codes[first + size] = 256 + np.arange(len(contexts))  # a different end for each
-    earlier, later = longest_factors(codes, depth)
+    # Shorter factors than an anchor are everywhere and of no use here.
+    earlier, later = longest_factors(codes, depth, min(GRAM, depth))
     return first, earlier >= depth, later >= depth
 
 

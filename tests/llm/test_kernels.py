@@ -88,6 +88,9 @@ def test_longest_factors():
         for depth in (1, 2, 3, 5, 8, 13):
             capped = suffixes.longest_factors(codes, depth)
             assert capped[0].tolist() == [min(x, depth) for x in before] and capped[1].tolist() == [min(x, depth) for x in after]
+            for least in range(1, depth + 1):
+                some = suffixes.longest_factors(codes, depth, least)
+                assert [x.tolist() for x in some] == [[min(x, depth) if x >= least else 0 for x in y] for y in (before, after)]
 
 
 def test_longest_factors_of_awkward_text(monkeypatch):
