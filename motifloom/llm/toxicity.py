@@ -6,7 +6,9 @@ features that tell the classes apart, fitted on at most ``per_class`` labelled
 rows of each class. Regularisation: wherever a labelled sentence names a
 group, the name is swapped for another of its set, and the squared change of
 the sentence's log-odds is penalised, so that a neutral mention of a group
-does not by itself move the score.
+does not by itself move the score. Names that no labelled sentence has can
+still move it, by what they share with other words; so each name is also
+carried into ``carriers`` labelled sentences and swapped there.
 
 Nulls: a null text is empty and gets the score of a text without features;
 rows with a null label or id are not learnt from. Of repeated labels the
@@ -51,7 +53,8 @@ class Settings:
     least_docs: int = 3
     least_z: float = 3.5
     swap_weight: float = 1.0
-    ridge: float = 3e-4
+    carriers: int = 32
+    ridge: float = 1e-4
     toxic_weight: float = 2.0
     rounds: int = 400
     identity: tuple[tuple[str, ...], ...] = IDENTITY
@@ -138,6 +141,17 @@ def examples(text: str, s: Settings) -> tuple[set[str], list[tuple[set[str], set
     return bag(words, s.prefixes), pairs
 
 
+def carried(texts: list[str], s: Settings) -> list[tuple[set[str], set[str]]]:
+    """Features before and after a swap, for each identity term put at the end of some labelled sentences, spread over ``texts``."""
+    out = []
+    for text in texts[:: max(1, len(texts) // max(s.carriers, 1))][: s.carriers]:
+        words = next((w for w in map(words_of, _SENTENCE.split(text)) if w), [])
+        for group in s.identity:
+            bags = [bag([*words, term], s.prefixes) for term in group]
+            out += list(zip(bags, bags[1:] + bags[:1], strict=True))
+    return out
+
+
 class _Names:
     """Numbers for features: a text's features take four bytes each."""
 
@@ -173,6 +187,12 @@ class _Rows:
         self.col = np.array([c for r in rows for c in r], np.int64)
         self.val = np.array([v for r in rows for v in r.values()], float)
 
+    def some(self) -> _Rows:
+        """Without the rows that have no entries."""
+        used, row = np.unique(self.row, return_inverse=True)
+        self.n, self.row = len(used), row
+        return self
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.col], self.n)
 
@@ -180,6 +200,23 @@ class _Rows:
         return np.bincount(self.col, self.val * g[self.row], self.width)
 
 
+def loss(x: _Rows, d: _Rows, weight: np.ndarray, labels: np.ndarray, w: np.ndarray, bias: float, s: Settings) -> float:
+    """What is minimised: weighted log loss, ridge, and the mean squared change of the log-odds by a swap."""
+    z = x.dot(w) + bias
+    fit_ = float((weight * (np.logaddexp(0, z) - labels * z)).sum())
+    return fit_ + s.ridge / 2 * float(w @ w) + (s.swap_weight * float((d.dot(w) ** 2).mean()) if d.n else 0.0)
+
+
+def gradient(x: _Rows, d: _Rows, weight: np.ndarray, labels: np.ndarray, w: np.ndarray, bias: float, s: Settings) -> tuple[np.ndarray, float]:
+    """The slope of ``loss`` by the weights and by the bias."""
+    p = 1 / (1 + np.exp(-np.clip(x.dot(w) + bias, -60, 60)))
+    g = weight * (p - labels)
+    grad = x.back(g) + s.ridge * w
+    if d.n:
+        grad = grad + 2 * s.swap_weight * d.back(d.dot(w)) / d.n
+    return grad, float(g.sum())
+
+
 def fit(rows: list[tuple[str, int]], s: Settings) -> Model:
     """Fit on ``(text, label)`` rows, by Adam on all rows at once; texts that repeat count once, with their highest label."""
     once: dict[str, int] = {}
@@ -195,6 +232,7 @@ def fit(rows: list[tuple[str, int]], s: Settings) -> Model:
         mine, swaps = examples(text, s)
         bags.append(known.of(mine))
         pairs += [(known.of(after - before), known.of(before - after)) for before, after in swaps]
+    pairs += [(known.of(after - before), known.of(before - after)) for before, after in carried([t for t, _ in rows], s)]
     all_names = list(known.number)
     chosen = select(bags, labels, all_names, s)
     names = [all_names[i] for i in chosen]
@@ -208,15 +246,11 @@ def fit(rows: list[tuple[str, int]], s: Settings) -> Model:
     d = _Rows([dict.fromkeys(kept(up), 1.0) | dict.fromkeys(kept(down), -1.0) for up, down in pairs], len(names))
     weight = np.where(labels == 1, s.toxic_weight, 1.0)
     weight /= weight.sum()
+    d = d.some()
     w, bias = np.zeros(len(names)), 0.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, s.rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x.dot(w) + bias, -60, 60)))
-        g = weight * (p - labels)
-        grad = x.back(g) + s.ridge * w
-        if d.n:
-            grad = grad + 2 * s.swap_weight * d.back(d.dot(w)) / d.n
-        full = np.append(grad, g.sum())
+        full = np.append(*gradient(x, d, weight, labels, w, bias, s))
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, bias = w - move[:-1], bias - move[-1]

@@ -252,6 +252,42 @@ def test_counterfactual_swaps():
     assert fair.score("these are vilethings") > 0.5 > fair.score(neutral)
 
 
+def naive_features(text):
+    """Each word and its leading characters: at all, repeated, and in a hundredth of the words."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    seen = [f for w in words for f in {w, *(w[:n] + "*" for n in (3, 4, 5, 6) if len(w) > n)}]
+    return {f + mark for f in set(seen) for mark, some in (("", True), ("+", seen.count(f) > 1), ("%", seen.count(f) * 100 >= len(words))) if some}
+
+
+def test_toxicity_score_and_slope():
+    """Scores against sums over plainly made features, the gradient against differences of the loss."""
+    rng = random.Random(3)
+    rows = [(prose(i, 30) + (" vile slur women" if i % 3 == 0 else " kind word black"), int(i % 3 == 0)) for i in range(90)]
+    settings_ = toxicity.Settings(rounds=60, least_z=1.0)
+    model = toxicity.fit(rows, settings_)
+    assert len(model.weights) > 10
+    for text in [t for t, _ in rows[:9]] + ["", "a " * 500 + "vile", "Über né women\nblack"]:
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in naive_features(text))
+        assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-9
+    x = toxicity._Rows([{c: 1.0 for c in range(6) if rng.random() < 0.5} for _ in range(20)], 6)
+    d = toxicity._Rows([{0: 1.0, 3: -1.0}, {}, {5: 1.0}], 6).some()
+    labels, weight = np.array([i % 2 for i in range(20)]), np.full(20, 0.05)
+    w, bias = np.array([rng.uniform(-1, 1) for _ in range(6)]), 0.3
+    slope, by_bias = toxicity.gradient(x, d, weight, labels, w, bias, settings_)
+    for i, step in enumerate(np.eye(7) * 1e-6):
+        up, down = (toxicity.loss(x, d, weight, labels, w + sign * step[:6], bias + sign * step[6], settings_) for sign in (1, -1))
+        assert abs((up - down) / 2e-6 - (slope[i] if i < 6 else by_bias)) < 1e-6
+
+
+def test_swaps_of_carried_terms_do_not_move_the_score():
+    """No labelled sentence names a group, but a term begins like words of one class."""
+    rows = [(prose(i, 20) + (" blackmail blacken" if i % 2 else " whitening whitest"), i % 2) for i in range(80)]
+    without, with_, strict = (toxicity.fit(rows, toxicity.Settings(carriers=n, swap_weight=w)) for n, w in ((0, 1.0), (32, 1.0), (32, 30.0)))
+    moved = [abs(m.logit("they are black") - m.logit("they are white")) for m in (without, with_, strict)]
+    assert moved[0] > 0.5 and moved[1] < 0.7 * moved[0] and moved[2] < 0.2 * moved[0]
+    assert all(m.score("blackmail and blacken " + prose(500, 15)) > 0.5 for m in (without, with_, strict))
+
+
 def test_toxicity_frames(spark, make, odd_rows):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (4, 7), (1, 0)], "doc_id long, toxic int")
     model = toxicity.train(make(odd_rows), labels)
