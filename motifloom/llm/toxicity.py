@@ -144,7 +144,8 @@ def examples(text: str, s: Settings) -> tuple[set[str], list[tuple[set[str], set
 def carried(texts: list[str], s: Settings) -> list[tuple[set[str], set[str]]]:
     """Features before and after a swap, for each identity term put at the end of some labelled sentences, spread over ``texts``."""
     out = []
-    for text in texts[:: max(1, len(texts) // max(s.carriers, 1))][: s.carriers]:
+    n = min(s.carriers, len(texts))
+    for text in [texts[i * len(texts) // n] for i in range(n)]:
         words = next((w for w in map(words_of, _SENTENCE.split(text)) if w), [])
         for group in s.identity:
             bags = [bag([*words, term], s.prefixes) for term in group]
