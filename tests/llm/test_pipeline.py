@@ -1,11 +1,20 @@
+import base64
+from collections import defaultdict
+
 import corpus_pipeline
 import duckdb
+import numpy as np
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
+from motifloom.llm import lines, queries, toxicity
 from motifloom.llm.queries import ORACLE_SQL, QUERIES
 
 from ..conftest import TINY
+from .test_dedup import alike, brute_lines, shingle_set
+from .test_kernels import groups
+from .test_text import brute_leaks, naive_features
 
 
 def test_stages(spark):
@@ -20,6 +29,55 @@ def test_stages(spark):
     assert all(r.round_trip for r in last)
 
 
+def naive_stages(spark, docs, sf_dir):
+    """What each stage keeps of ``(doc_id, text)`` rows, plainly: rows after each stage, and the token ids."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.train(table, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    odds = {t: model.bias + sum(model.weights.get(f, 0.0) for f in naive_features(t or "")) for _, t in docs}
+    calm = [(d, t) for d, t in docs if 1 / (1 + np.exp(-odds[t])) < 0.5]
+    cleaned = brute_lines(calm, lines.Tree())
+    sets = [shingle_set(t) for _, t in cleaned]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if alike(sets[a], sets[b])]
+    least = defaultdict(lambda: 10**9)
+    label = groups(pairs, len(sets))
+    for i, g in enumerate(label):
+        least[g] = min(least[g], cleaned[i][0])
+    single = [x for x, g in zip(cleaned, label, strict=True) if x[0] == least[g]]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    leaks = {d: n for d, _, n, _ in brute_leaks(single, items, 10)}
+    fair = [x for x in single if not leaks[x[0]]]
+    path, pattern = queries.tokenizer()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return [calm, cleaned, single, fair], {d: bpe.encode_ordinary(t or "") for d, t in fair}
+
+
+def test_stages_against_plain_ones(spark):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    kept, tokens = naive_stages(spark, sorted(map(tuple, docs.select("doc_id", "text").collect())), TINY)
+    for (name, stage), expected in zip(corpus_pipeline.STAGES, kept, strict=False):
+        docs = stage(spark, docs, TINY)
+        rows = docs.collect()
+        assert sorted((r.doc_id, r.text) for r in rows) == expected, name
+        docs = spark.createDataFrame(rows, docs.schema)
+    assert {r.doc_id: list(r.tokens) for r in corpus_pipeline.STAGES[-1][1](spark, docs, TINY).collect()} == tokens
+    assert len(kept[0]) < 200 and len(kept[2]) < len(kept[1]) and len(kept[3]) < len(kept[2])
+
+
+def test_stages_take_odd_tables(spark, make, odd_rows):
+    """Nulls, repeated and null ids, blank and very long texts, clashing columns, and empty tables."""
+    docs = make(odd_rows, ["score", "predicted", "n_lines", "node", "component_id", "n_hit", "spans", "_rest", "key"])
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, TINY)
+        assert out.columns == docs.columns and stage(spark, empty, TINY).count() == 0
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, TINY).collect()
+    assert all(r.round_trip and r.key == "mine" for r in last)
+    ids = [r.doc_id for r in last]
+    assert ids.count(None) == 2 and 5 not in ids and 7 not in ids  # copies go, rows without an id stay
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, TINY).select("doc_id", "text", "n_chars").collect()
     assert got and all(r.n_chars == len(r.text) for r in got)
