@@ -197,7 +197,9 @@ def node_drops(kinds: DataFrame, lines: DataFrame, tree: Tree) -> list[DataFrame
 def template_lines(docs: DataFrame, tree: Tree) -> DataFrame:
     """``(d0, d1, line_no)`` of the lines to drop from ``docs(doc_id, text)``."""
     lines = store(keyed(docs).mapInArrow(_parse(tree), f"{_LINE}, m0 long, m1 long"), "lines").read()
-    drops = store(_dropped(lines, _recurring(lines, ["m0", "m1"], tree), ["m0", "m1"], tree), "line-drops").read()
+    # Stored on their own, so that a join with lines found everywhere can be split where it is skewed.
+    exact = store(_recurring(lines, ["m0", "m1"], tree), "line-templates").read()
+    drops = store(_dropped(lines, exact, ["m0", "m1"], tree), "line-drops").read()
     for some in node_drops(*line_kinds(docs, lines, tree), tree):
         drops = drops.union(some)
     return drops.distinct()

@@ -362,7 +362,8 @@ def repeated_starts(docs: DataFrame, texts: DataFrame, length: int, keep: str) -
     contexts = places.groupBy("c0", "c1").agg(F.sum(F.size("at")).alias("n"), F.min(order).alias("place"), F.first("anchor").alias("key"), F.first("strings").alias("strings"))
     contexts = store(contexts, "context-places").read()
     bodies = found.where("context is not null").groupBy("c0", "c1").agg(F.first("context").alias("body"), F.first("mark").alias("mark"))
-    shared_keys = contexts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    # Stored on their own, so that the join of a key found everywhere can be split where it is skewed.
+    shared_keys = store(contexts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "shared-keys").read()
     items = contexts.join(shared_keys, "key").drop("n").join(bodies, ["c0", "c1"]).withColumnsRenamed({"c0": "h0", "c1": "h1"})
     items = items.withColumns({"low": F.lit(0).cast("long"), "high": F.lit(length - min(GRAM, length)).cast("long")})
     items = store(items.select(*[x.split()[0] for x in _ITEM.split(", ")]), "items").read()
