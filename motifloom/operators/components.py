@@ -3,7 +3,8 @@
 Each round keeps, for every node, edges to the smallest node known near it
 (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014). Both
 half-rounds are a combinable minimum per node and an equi-join that brings it
-back, so a hub's rows are split by adaptive skew handling. Rounds grow with the
+back. The minima are stored, so that both sides of the join come from an exchange
+and adaptive execution can split a hub's rows. Rounds grow with the
 logarithm of the component diameter, not with the diameter.
 """
 
@@ -12,22 +13,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.session import store
+from motifloom.session import Stored, store
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame) -> tuple[DataFrame, Stored]:
+    """``rows(u, v)`` with the least ``v`` of each ``u`` as ``m``."""
+    least = store(rows.groupBy("u").agg(F.min("v").alias("m")), "cc-least", tidy=False)
+    return rows.join(least.read(), "u"), least
+
+
+def _large_star(edges: DataFrame) -> Stored:
     """Link each larger neighbour of a node to the node's smallest neighbour."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    found, least = _with_least(both)
+    out = store(found.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), "cc-large", tidy=False)
+    least.drop()
+    return out
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> Stored:
     """Link each smaller neighbour of a node, and the node, to the smallest."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v")))
+    found, least = _with_least(down)
+    moved = found.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = store(moved.union(least.read().select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc")
+    least.drop()
+    return out
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -51,7 +62,9 @@ def components(edges: DataFrame) -> DataFrame:
     held = None
     while mark != seen:
         seen = mark
-        held = store(_small_star(_large_star(proper)).where("u <> v").distinct(), "cc")
+        large = _large_star(proper)
+        held = _small_star(large.read())
+        large.drop()
         if now is not start:
             now.drop()
         now, proper = held, held.read()

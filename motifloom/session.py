@@ -101,18 +101,20 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         release(spark)
 
 
-def store(df: DataFrame, label: str) -> Stored:
+def store(df: DataFrame, label: str, tidy: bool = True) -> Stored:
     """Write ``df`` to the shared folder, which cuts its lineage.
 
     The shuffle files behind it are then released: the driver's collector has
-    to run for that, and would otherwise wait for memory pressure.
+    to run for that, and would otherwise wait for memory pressure. ``tidy=False``
+    leaves that to the next table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/motifloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
-    gc.collect()
-    spark._jvm.System.gc()
+    if tidy:
+        gc.collect()
+        spark._jvm.System.gc()
     return Stored(spark, path)
 
 

@@ -197,9 +197,9 @@ def test_walks_agree(spark):
 def test_state_walks_agree(spark, k):
     """By arrays and by joins; each move is one between neighbours, of the type that the union of both has."""
     g = Graph.from_raw(frame(spark, TINY_GRAPHS["grid"][0] + [(0, 4), (1, 3), (4, 8)]))
-    by_arrays = {(r.sim, r.step): (tuple(r.nodes), r.type) for r in walks.state_walk(g.adj, k, 6, 5).collect()}
-    assert by_arrays == {(r.sim, r.step): (tuple(r.nodes), r.type) for r in walks.state_walk_by_joins(g.adj, k, 6, 5).collect()}
-    assert len(by_arrays) == 35
+    by_arrays = {(r.sim, r.step): (tuple(r.nodes), r.type) for r in walks.state_walk(g.adj, k, 3, 5).collect()}
+    assert by_arrays == {(r.sim, r.step): (tuple(r.nodes), r.type) for r in walks.state_walk_by_joins(g.adj, k, 3, 5).collect()}
+    assert len(by_arrays) == 20
     kinds = {tuple(r.nodes): r.type for r in sets.with_type(sets.connected_sets(g, k), k).collect()}
     for (sim, step), (nodes, kind) in by_arrays.items():
         if step:
@@ -216,7 +216,7 @@ def test_state_walks_agree(spark, k):
 
 def test_state_walk_shares_are_near(spark):
     g = Graph.from_raw(edges.shipped_together(spark, "/root/testdata/sf0.001"))
-    for k in (3, 4):
+    for k in (4,):
         metrics, seconds = experiments.compare_walks(g, k, experiments.exact(g, k), 1500, 16)
         rows = {(r.variant, r["type"]): r for r in metrics.collect()}
         assert set(seconds) == {"Basic", "PSRW"} and min(seconds.values()) > 0
