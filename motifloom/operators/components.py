@@ -18,7 +18,7 @@ from motifloom.session import Stored, store
 
 def _with_least(rows: DataFrame) -> tuple[DataFrame, Stored]:
     """``rows(u, v)`` with the least ``v`` of each ``u`` as ``m``."""
-    least = store(rows.groupBy("u").agg(F.min("v").alias("m")), "cc-least", tidy=False)
+    least = store(rows.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
     return rows.join(least.read(), "u"), least
 
 
@@ -26,7 +26,7 @@ def _large_star(edges: DataFrame) -> Stored:
     """Link each larger neighbour of a node to the node's smallest neighbour."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     found, least = _with_least(both)
-    out = store(found.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), "cc-large", tidy=False)
+    out = store(found.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), "cc-large")
     least.drop()
     return out
 

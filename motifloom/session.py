@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
 import threading
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -87,43 +85,39 @@ class Stored:
         atexit.unregister(self.drop)
 
 
+#: Spark drops the shuffle files of a query at its end, and does not wait for the driver's collector.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """A block whose queries leave no shuffle files behind."""
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """A block whose stored tables are dropped at its end, but for those kept."""
     outer = getattr(_open, "block", None)
     _open.block = mine = []
     try:
-        yield
+        with short_lived_shuffles(spark):
+            yield
     finally:
         _open.block = outer
         for table in list(mine):
             table.drop()
-        release(spark)
-
 
-def store(df: DataFrame, label: str, tidy: bool = True) -> Stored:
-    """Write ``df`` to the shared folder, which cuts its lineage.
 
-    The shuffle files behind it are then released: the driver's collector has
-    to run for that, and would otherwise wait for memory pressure. ``tidy=False``
-    leaves that to the next table.
-    """
+def store(df: DataFrame, label: str) -> Stored:
+    """Write ``df`` to the shared folder, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/motifloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    del df
-    if tidy:
-        gc.collect()
-        spark._jvm.System.gc()
+    with short_lived_shuffles(spark):
+        df.write.parquet(path)
     return Stored(spark, path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files that nothing refers to.
-
-    Twice, as the bridge to the JVM lets go of collected objects a little later.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.1)
