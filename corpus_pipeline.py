@@ -77,8 +77,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents, each over the written result of the one before."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to the documents, each over the written result of the one before.
+
+    A stage's result goes as soon as the next one's is written, or if that fails.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-")).read()
+        try:
+            after = store(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        finally:
+            if before is not None:
+                before.drop()
+        docs, before = after.read(), after
     return STAGES[-1][1](spark, docs, sf_dir)
