@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.llm import bpe, chat, decontaminate, digests, lines, simhash, suffixes, toxicity, urls, windows
+from motifloom.llm import audit, bpe, chat, decontaminate, digests, lines, simhash, suffixes, toxicity, urls, windows
 from motifloom.session import let_workers_import
 
 
@@ -108,6 +108,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, *tokenizer(), digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat_format": op2_chat_format,
@@ -119,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_document_fingerprint": op10_document_fingerprint,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _OP2 = """
@@ -284,6 +289,45 @@ select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, s
 from doc left join gone using (doc_id) left join kept using (doc_id)
 """
 
+_OP13 = """
+with word as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') as w from documents
+), first as (
+  select text, min(doc_id) as least from word group by text
+), known as (
+  select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by doc_id
+), doc as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text))::int + 8 * regexp_matches(text, '[#$%&*|]')::int
+    + 16 * coalesce(doc_id > least, false)::int as m
+  from word join first using (text) left join known using (doc_id)
+), cell as (
+  select part, m, count(*) as n, sum(good) as g, sum(toxic) as t from doc group by part, m
+), letter(c, b) as (
+  values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), perm as (
+  select a.c || b.c || c.c || d.c || e.c as filter_order, [a.b, b.b, c.b, d.b, e.b] as bs
+  from letter a, letter b, letter c, letter d, letter e
+  where a.b + b.b + c.b + d.b + e.b = 31 and len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5
+), step as (
+  select filter_order, i::int as step, bs[i] as bit, coalesce(list_sum(bs[1:i - 1]), 0)::int as before from perm, range(1, 6) r(i)
+), line as (
+  select part, filter_order, step,
+    sum(case when m & (before | bit) = 0 then n else 0 end) as kept,
+    sum(case when m & before = 0 and m & bit <> 0 then n else 0 end) as removed,
+    sum(case when m & before <> 0 and m & bit <> 0 then n else 0 end) as redundant,
+    sum(case when m = bit then n else 0 end) as unique_fails,
+    sum(case when m & before = 0 and m & bit <> 0 then g else 0 end) as good_lost,
+    sum(case when m & before = 0 and m & bit <> 0 then t else 0 end) as toxic_lost
+  from cell, step group by part, filter_order, step
+)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+  good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+  sum(removed) over (partition by part, filter_order[step])::bigint as shapley
+from line
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": _OP1,
     "op2_chat_format": _OP2,
@@ -291,4 +335,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_benchmark_decontamination": _OP4,
     "op6_url_filter": _OP6,
     "op7_substring_dedup": _OP7,
+    "op13_filter_audit": _OP13,
 }
