@@ -20,11 +20,11 @@ rows share stays small. Other columns of the tables are left alone.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifloom.session import scratch, store
@@ -87,14 +87,13 @@ def cells(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), part: s
 
 
 def _steps() -> Column:
-    """The 600 steps of the 120 orders: ``(filter_order, step, before, bit)``, as one literal array."""
+    """The 600 steps of the 120 orders: ``(filter_order, step, before, bit)``, as one constant array."""
     out = []
     for order in permutations(range(len(LETTERS))):
         name = "".join(LETTERS[i] for i in order)
         for step, i in enumerate(order):
-            before = sum(1 << j for j in order[:step])
-            out.append(f"struct('{name}' as filter_order, {step + 1} as step, {before} as before, {1 << i} as bit)")
-    return F.expr(f"array({', '.join(out)})")
+            out.append({"filter_order": name, "step": step + 1, "before": sum(1 << j for j in order[:step]), "bit": 1 << i})
+    return F.from_json(F.lit(json.dumps(out)), "array<struct<filter_order: string, step: int, before: int, bit: int>>")
 
 
 def interactions(counted: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.llm import audit, bpe, chat, decontaminate, digests, lines, simhash, suffixes, toxicity, urls, windows
+from motifloom.llm import audit, bpe, chat, decontaminate, digests, lines, secrets, simhash, suffixes, toxicity, urls, windows
 from motifloom.session import let_workers_import
 
 
@@ -108,6 +108,18 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, *tokenizer(), digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is a repository of its own, its source the owner."""
+    out = secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+    def of_kind(k: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+
+    base = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    more = [(F.size("spans") - F.size("base")).cast("long").alias("n_owned"), F.size("live").cast("long").alias("n_live"), F.size("examples").cast("long").alias("n_examples")]
+    return out.select(F.col("id").alias("doc_id"), *base, F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"), *more)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -123,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_document_fingerprint": op10_document_fingerprint,
+    "op11_secret_scan": op11_secret_scan,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -289,6 +302,48 @@ select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, s
 from doc left join gone using (doc_id) left join kept using (doc_id)
 """
 
+def _spans(kind: int, pattern: str, group: int = 0) -> str:
+    """Places of the matches: running sums of the lengths of the matches and of what lies between."""
+    found = f"regexp_extract_all(text, {pattern}, {group})" if group else "ms"
+    return f"""
+  select rid, {kind} as kind, ends[i] - length(ms[i]) as s, ends[i] as e, vs[i] as v from (
+    select rid, ms, vs, ends, unnest(range(1, len(ms) + 1)) as i from (
+      select rid, ms, {found} as vs, list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(ms[1:i], lambda m: length(m)))) as ends from (
+        select rid, text, regexp_extract_all(text, {pattern}) as ms, string_split_regex(text, {pattern}) as gaps from doc where regexp_matches(text, {pattern}))))"""
+
+
+_NAMES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = f"""'({_NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
+
+_OP11 = f"""
+with doc as materialized (
+  select row_number() over () as rid, doc_id, coalesce(source, '') as owner, coalesce(text, '') as text from documents
+), base as materialized (
+  select * from ({_spans(0, _ASSIGN, 2)}) where length(v) >= 6 union all {_spans(1, "'AKIA[A-Z0-9]{16,}'")} union all {_spans(2, "'[0-9a-f]{24,}'")}
+), other as materialized (
+  select * from ({_spans(3, "'[A-Za-z0-9+/_=-]{20,}'")}) where length(regexp_replace(v, '[^0-9]', '', 'g')) >= 4
+    and length(regexp_replace(v, '[^A-Za-z]', '', 'g')) >= 4 and len(list_distinct(string_split(v, ''))) >= 8 and not regexp_matches(v, '{secrets.PLACEHOLDER}')
+), place as (
+  select * from base union all select * from other
+), owned as (
+  select v, count(distinct owner) as n from place join doc using (rid) group by v
+), added as (
+  select * from other semi join (select v from owned where n <= 1) using (v)
+  where not exists (select 1 from base b where b.rid = other.rid and b.s < other.e and other.s < b.e)
+), line as (
+  select *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || e as t from (select * from base union all select * from added)
+), told as (
+  select rid, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex, count(*) filter (kind = 3) as n_owned,
+    string_agg(t, ',' order by s, kind) filter (kind < 3) as base, string_agg(t, ',' order by s, kind) as spans from line group by rid
+), copied as (
+  select rid, count(*) filter (n >= 3) as n_examples, count(*) filter (n <= 1) as n_live from base join owned using (v) group by rid
+)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_owned, 0)::bigint as n_owned,
+  coalesce(n_live, 0)::bigint as n_live, coalesce(n_examples, 0)::bigint as n_examples
+from doc left join told using (rid) left join copied using (rid)
+"""
+
 _OP13 = """
 with word as (
   select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') as w from documents
@@ -335,5 +390,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_benchmark_decontamination": _OP4,
     "op6_url_filter": _OP6,
     "op7_substring_dedup": _OP7,
+    "op11_secret_scan": _OP11,
     "op13_filter_audit": _OP13,
 }
