@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.llm import audit, bpe, chat, decontaminate, digests, lines, secrets, simhash, suffixes, toxicity, urls, windows
-from motifloom.session import let_workers_import
+from motifloom.llm import audit, bpe, chat, decontaminate, digests, lines, secrets, simhash, suffixes, timeparts, toxicity, urls, windows
+from motifloom.session import let_workers_import, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +121,29 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *base, F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"), *more)
 
 
+def click_moment() -> Column:
+    """``ts`` in microseconds; some rows are moved far back, some to the Monday before."""
+    at, day = timeparts.micros(F.col("ts")), timeparts.DAY
+    k = F.crc32(F.col("click_id").cast("string")) % 128
+    days = (k + 6) * (k + 6) * (k + 6)
+    monday = at - F.pmod(at + 3 * day, F.lit(7 * day))
+    return F.when(k < 16, at - days * day).when(k > 111, monday).otherwise(at)
+
+
+def op12_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = table(spark, sf_dir, "clicks")
+    limit = 1 + clicks.count() // 650
+    folder = f"{shared_dir(spark)}/motifloom-clicks-{uuid.uuid4().hex}"
+    order = timeparts.Order(click_moment(), timeparts.micros(F.col("arrived_at")), F.col("click_id"))
+    early = F.coalesce(F.col("arrived_at") < F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"), F.lit(False))
+    timeparts.update(clicks.where(early), folder, order, limit)
+    files = timeparts.update(clicks.where(~early), folder, order, limit)
+    found = timeparts.contents(spark, folder, clicks.schema, "click_id").withColumnRenamed("sha256", "ids_sha256")
+    out = found.join(F.broadcast(files.drop("n_rows")), ["leaf", "part"])
+    columns = F.lit(",".join(clicks.columns)).alias("columns")
+    return out.select("leaf", F.col("part").cast("long").alias("part"), columns, "n_rows", "n_new", "rewritten", "ids_sha256", "path")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -136,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_document_fingerprint": op10_document_fingerprint,
     "op11_secret_scan": op11_secret_scan,
+    "op12_time_partitions": op12_time_partitions,
     "op13_filter_audit": op13_filter_audit,
 }
 
