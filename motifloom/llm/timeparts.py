@@ -39,7 +39,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.types import StringType, StructType
 
 from motifloom.session import delete, exists, scratch, store
 
@@ -258,24 +258,22 @@ def plan(keys: DataFrame, limit: int) -> list[File]:
 # ---- files
 
 
-def _names(columns: list[str]) -> tuple[str, str]:
-    """Names of the folders for leaf and part that are no columns of the table."""
-    taken, out = {c.lower() for c in columns}, []
-    for name in ("leaf", "part"):
-        while name in taken:
-            name += "_"
-        out.append(name)
-    return out[0], out[1]
+def _folder(columns: list[str]) -> str:
+    """The folders' key, one folder for each file: a name that is no column of the table."""
+    name = "file"
+    while name in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def read(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
     """``(row, leaf, part, path, place)`` of the folder's rows; ``row`` has the table's columns."""
-    leaf, part = _names(schema.names)
-    full = StructType(list(schema.fields)).add(leaf, StringType()).add(part, IntegerType())
-    df = spark.read.schema(full).parquet(folder)
+    name = _folder(schema.names)
+    df = spark.read.schema(StructType(list(schema.fields)).add(name, StringType())).parquet(folder)
     row = F.struct(*[F.col(f"`{c}`") for c in schema.names])
+    leaf, part = (F.regexp_extract(name, r"^(.*)\.([0-9]+)$", i) for i in (1, 2))
     return df.select(
-        row.alias("row"), F.translate(F.col(leaf), ".", "/").alias("leaf"), F.col(part).alias("part"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("place")
+        row.alias("row"), F.translate(leaf, ".", "/").alias("leaf"), part.cast("int").alias("part"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("place")
     )
 
 
@@ -318,17 +316,16 @@ def update(new: DataFrame, folder: str, order: Order, limit: int) -> DataFrame:
             size[1] += r["n"] if r["leaf0"] is None else 0
             size[2] += r["n"] if (r["leaf0"], r["part0"]) == (f.leaf, f.part) else 0
         stays = {i for i, (n, _, same) in sizes.items() if n == same == had.get((files[i].leaf, files[i].part))}
-        leaf, part = _names(new.columns)
+        name = _folder(new.columns)
         folders = F.broadcast(named.where(~F.col("file").isin(sorted(stays))) if stays else named)
-        moved = placed.join(folders, "file").withColumn("leaf", F.coalesce(F.translate("leaf", "/", "."), F.lit("")))
+        folders = folders.select("file", F.coalesce(F.concat_ws(".", F.translate("leaf", "/", "."), "part"), F.lit("")).alias("folder"))
         # Sorted as the writer wants its folders, so that it keeps this order within each file.
-        moved = moved.repartition("leaf", "part").sortWithinPartitions("leaf", "part", *KEY)
+        moved = placed.join(folders, "file").repartition("folder").sortWithinPartitions("folder", *KEY)
         if len(stays) < len(files):
-            out = moved.select("row.*", F.col("leaf").alias(leaf), F.col("part").alias(part))
-            out.write.mode("append").partitionBy(leaf, part).parquet(folder)
+            moved.select("row.*", F.col("folder").alias(name)).write.mode("append").partitionBy(name).parquet(folder)
         kept = {(files[i].leaf, files[i].part) for i in stays}
-        for name, path in before.items():
-            if name not in kept:
+        for at, path in before.items():
+            if at not in kept:
                 delete(spark, path)
     told = [(f.leaf, f.part, sizes[i][0], sizes[i][1], i not in stays) for i, f in enumerate(files)]
     return spark.createDataFrame(told, "leaf string, part int, n_rows long, n_new long, rewritten boolean")
