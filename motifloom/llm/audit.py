@@ -74,10 +74,10 @@ def cells(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), part: s
     ids = store(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), "failures").read()
     # Rows of one text, counted for each part and label; how many of them have the least id is kept beside it.
     groups = with_labels(ids, labels).groupBy("d", "part", "mask", "good", "toxic")
-    groups = groups.agg(F.min("doc_id").alias("least"), F.min_by("n", "doc_id").alias("n_least"), F.sum("n").alias("n"))
+    nameless = F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0))
+    groups = groups.agg(F.min("doc_id").alias("least"), F.min_by("n", "doc_id").alias("n_least"), nameless.alias("nameless"), F.sum("n").alias("n"))
     first = F.min("least").over(Window.partitionBy("d"))
-    null_ids = F.col("least").isNull()
-    groups = groups.withColumn("firsts", F.when(null_ids, F.col("n")).when(F.col("least") == first, F.col("n_least")).otherwise(0))
+    groups = groups.withColumn("firsts", F.col("nameless") + F.when(F.col("least") == first, F.col("n_least")).otherwise(0))
     split = F.array(
         F.struct("mask", F.col("firsts").alias("n")), F.struct((F.col("mask") + (1 << 4)).alias("mask"), (F.col("n") - F.col("firsts")).alias("n"))
     )
