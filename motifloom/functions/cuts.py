@@ -210,8 +210,8 @@ TABLES = {"edges": "N", "pairs": "N", "triangles": "E", "diamonds": "E", "spans"
 
 
 @cache
-def rounds(k: int) -> list[tuple[str, list[tuple]]]:
-    """``(kind, factors)`` to compute one after the other; each is made of factors of earlier ones."""
+def rounds(k: int) -> list[list[tuple[str, list[tuple]]]]:
+    """Rounds of ``(kind, factors)``; each factor is made of factors of earlier rounds."""
     depth: dict[tuple, int] = {}
 
     def deep(f: tuple) -> int:
@@ -225,4 +225,5 @@ def rounds(k: int) -> list[tuple[str, list[tuple]]]:
     groups: dict[tuple, list] = {}
     for f, d in depth.items():
         groups.setdefault((d, f[0]), []).append(f)
-    return [(kind, sorted(groups[d, kind], key=repr)) for d, kind in sorted(groups)]
+    last = max(depth.values())
+    return [[(kind, sorted(groups[d, kind], key=repr)) for d, kind in sorted(groups) if d == now] for now in range(1, last + 1)]

@@ -17,6 +17,7 @@ elsewhere.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from motifloom.functions import atlas, cuts
 from motifloom.operators import four, sets
 from motifloom.operators.graph import Graph
 from motifloom.operators.orbits import cliques
-from motifloom.session import scratch, store
+from motifloom.session import scratch, store, store_all
 
 _WHOLE = "decimal(38,0)"
 
@@ -87,23 +88,38 @@ class _Sums:
         mine = [f for f, at in sorted(wanted, key=repr) if at == first[1] and self.table[f] is self.table[first[0]]]
         return self.joined(self.values(mine, first[1]), wanted)
 
-    def add(self, kind: str, factors: list[tuple]) -> None:
-        """Compute factors of one kind, together if they sum over the same rows."""
-        groups: dict[tuple, list] = {}
-        for f in factors:
-            # Sums over a table's own rows go by where its factor lies; all else shares its rows.
-            own = tuple(sorted({at for n, at in cuts.inner(f) if len(at) > 1}, key=repr)) if kind in ("pairs", "diamonds", "tops", "walks") else ()
-            groups.setdefault((len(own[0]), own[0]) if kind == "pairs" else own, []).append(f)
-        for mine in groups.values():
-            wanted = {(n, at) for f in mine for n, at in cuts.inner(f)}
-            n = mine[0][1][1]
-            kept = _WHOLE if cuts.TABLES[kind] == "N" else "long"
-            for f in mine:
-                self.column[f] = f"c{len(self.column)}"
-            sums = [F.sum(self._term(f, kept)).cast(kept).alias(self.column[f]) for f in mine]
-            table = store(self.rows(kind, wanted).groupBy(*[f"q{i}" for i in range(n)]).agg(*sums), kind).read()
+    def add(self, step: list[tuple[str, list[tuple]]]) -> None:
+        """Compute a round of factors; those of one kind together if they sum over the same rows."""
+        frames = []
+        for kind, factors in step:
+            groups: dict[tuple, list] = {}
+            for f in factors:
+                # Sums over a table's own rows go by where its factor lies; all else shares its rows.
+                own = tuple(sorted({at for n, at in cuts.inner(f) if len(at) > 1}, key=repr)) if kind in ("pairs", "diamonds", "tops", "walks") else ()
+                groups.setdefault((len(own[0]), own[0]) if kind == "pairs" else own, []).append(f)
+            for mine in groups.values():
+                frames.append((mine, *self._sum(kind, mine)))
+        tables = store_all([(df, mine[0][0]) for mine, df, _ in frames])
+        for (mine, _, turn), table in zip(frames, tables, strict=True):
+            held = table.read()
+            if turn:
+                a, b = turn
+                other = {a: b, b: a}
+                held = held.union(held.where(f"{a} < {b}").select(*[F.col(other.get(c, c)) for c in held.columns]))
             for f in mine:
-                self.table[f] = table
+                self.table[f] = held
+
+    def _sum(self, kind: str, factors: list[tuple]) -> tuple[DataFrame, tuple]:
+        """The grouped sums; and the two keys, if any, of which only one order was taken, as counts alone are the same in the other."""
+        wanted = {(n, at) for f in factors for n, at in cuts.inner(f)}
+        kept = _WHOLE if cuts.TABLES[kind] == "N" else "long"
+        for f in factors:
+            self.column[f] = f"c{len(self.column)}"
+        sums = [F.sum(self._term(f, kept)).cast(kept).alias(self.column[f]) for f in factors]
+        keys = [f"q{i}" for i in range(factors[0][1][1])]
+        rows = self.rows(kind, wanted)
+        turn = tuple(keys[-2:]) if kind in ("hubs", "wedges") and not wanted else ()
+        return (rows.where(f"{turn[0]} <= {turn[1]}") if turn else rows).groupBy(*keys).agg(*sums), turn
 
     def _term(self, f: tuple, kept: str) -> Column:
         parts = [F.col(_name(self.column[n], at)).cast(kept) for n, at in cuts.inner(f)]
@@ -116,8 +132,6 @@ def _name(column: str, at: tuple[int, ...]) -> str:
 
 def _orders(columns: str) -> Column:
     """All orders of some columns."""
-    from itertools import permutations
-
     return F.array(*[F.array(*p) for p in permutations(columns)])
 
 
@@ -128,8 +142,8 @@ def node_orbits(g: Graph, k: int) -> DataFrame:
     spark = g.edge.sparkSession
     with scratch(spark):
         sums = _Sums(g)
-        for kind, factors in cuts.rounds(k):
-            sums.add(kind, factors)
+        for step in cuts.rounds(k):
+            sums.add(step)
         nodes = g.degree.select(F.col("u").alias("q0"))
         patterns = cuts.patterns(k)
         nodes = sums.joined(nodes, {(f, (0,)) for p in patterns for f in cuts.elimination(p)})

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifloom.functions import atlas
-from motifloom.operators import estimate, experiments, four, graph, orbits, sets, walks
+from motifloom.operators import cuts, estimate, experiments, four, graph, sets, walks
 from motifloom.operators.graph import Graph
 from motifloom.session import Stored, let_workers_import, shared_dir, store
 from motifloom.sources import edges, truth
@@ -54,7 +54,12 @@ def dense(spark: SparkSession, sf_dir: str) -> Graph:
 
 def orbit_counts(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     g = prepared(spark, sf_dir)
-    return _once(spark, sf_dir, f"orbits{k}", lambda: store(orbits.node_orbits(g, k), f"orbits{k}")).read()
+    return _once(spark, sf_dir, f"orbits{k}", lambda: cuts.node_orbits(g, k))
+
+
+def dense_orbits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orbits of the whole co-purchase graph, which has too many sets of four nodes to list."""
+    return _once(spark, sf_dir, "dense-orbits", lambda: cuts.node_orbits(dense(spark, sf_dir), 5))
 
 
 def typed(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -199,7 +204,7 @@ QUERIES: dict[str, Query] = {
     "edge_stats": _on_graph(four.edge_stats),
     "graphlet4_by_edges": _on_graph(four.graphlet4_by_edges),
     "cliques4": _on_graph(four.cliques),
-    "graphlet5": _on_sets(5, lambda t: sets.counts(t, 5)),
+    "graphlet5": lambda s, d: cuts.graphlet5(prepared(s, d), orbit_counts(s, d, 5)),
     "orbits4": lambda s, d: orbit_counts(s, d, 4),
     "orbit_matrix4": lambda s, d: sets.wide_orbits(orbit_counts(s, d, 4), 14),
     "orbits5": lambda s, d: orbit_counts(s, d, 5).where("orbit >= 15"),
@@ -224,6 +229,8 @@ QUERIES: dict[str, Query] = {
     "copurchase_edge_support": lambda s, d: dense(s, d).support,
     "copurchase_clustering": lambda s, d: graph.global_clustering(dense(s, d)),
     "copurchase_graphlet4": lambda s, d: four.graphlet4(dense(s, d)),
+    "copurchase_graphlet5": lambda s, d: cuts.graphlet5(dense(s, d), dense_orbits(s, d)),
+    "copurchase_orbits5": dense_orbits,
     "walk_trace": lambda s, d: walks.walk(prepared(s, d).adj, STEPS, SIMS, SEED),
     "edges_hat": lambda s, d: estimate.edges_hat(prepared(s, d), trail(s, d, 3)).select("sim", F.round("e_hat", 6).alias("e_hat")),
     "error_metrics": metrics,

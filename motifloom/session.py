@@ -8,6 +8,7 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -121,8 +122,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 def store(df: DataFrame, label: str) -> Stored:
     """Write ``df`` to the shared folder, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/motifloom-{label}-{uuid.uuid4().hex}"
+    return store_all([(df, label)])[0]
+
+
+def store_all(frames: list[tuple[DataFrame, str]]) -> list[Stored]:
+    """Write some tables that don't depend on one another, a few at once, so that small ones don't wait for each other."""
+    spark = frames[0][0].sparkSession
+    paths = [f"{shared_dir(spark)}/motifloom-{label}-{uuid.uuid4().hex}" for _, label in frames]
     with short_lived_shuffles(spark):
-        df.write.parquet(path)
-    return Stored(spark, path)
+        if len(frames) == 1:
+            frames[0][0].write.parquet(paths[0])
+        else:
+            with ThreadPoolExecutor(4) as pool:
+                list(pool.map(lambda x: x[0][0].write.parquet(x[1]), zip(frames, paths, strict=True)))
+    return [Stored(spark, path) for path in paths]

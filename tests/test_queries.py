@@ -19,11 +19,15 @@ def db():
     return con
 
 
+#: Too many sets for SQL to list; held against enumeration on small graphs in test_cuts.
+NO_SQL = {"copurchase_graphlet5", "copurchase_orbits5"}
+
+
 def test_all_have_sql():
-    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) - NO_SQL == set(ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLE_SQL)
 def test_query(spark, db, name):
     got = QUERIES[name](spark, TINY)
     cur = db.execute(ORACLE_SQL[name])
