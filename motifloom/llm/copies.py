@@ -186,9 +186,11 @@ def _near_copies(rows: DataFrame, spec: Copies) -> DataFrame:
     near = bucket_links(keyed, SimHash(bits=128, radius=spec.radius, bucket_rows=spec.bucket_rows))
     groups = store(components(near.where("u <> v")), "copy-groups").read()
     links = store(verified_links(rows, groups, spec), "copy-links").read()
-    # One id may carry several texts: link its sets through the id.
-    several = named.join(nodes.select("s0", "s1", "node"), ["s0", "s1"]).groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"))
-    group = components(links.union(several.where("u <> v").select("u", "v"))).withColumnRenamed("component", "root")
+    # One id may carry several texts: link each of its sets with the least.
+    several = named.join(nodes.select("s0", "s1", "node"), ["s0", "s1"]).select("doc_id", "node").distinct()
+    least = several.groupBy("doc_id").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1")
+    same_id = several.join(least, "doc_id").where("u <> node").select("u", F.col("node").alias("v"))
+    group = components(links.union(same_id)).withColumnRenamed("component", "root")
     rooted = nodes.join(group, "node", "left").select("s0", "s1", F.coalesce("root", "node").alias("component_id"))
     out = marks.join(rooted, ["s0", "s1"], "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -308,7 +308,8 @@ def near_groups(docs: DataFrame, spec: SimHash, id_col: str = "doc_id", text_col
 
     ``component_id`` is the smallest id of the texts reachable over links; texts
     without words link with one another. Null ids take part in no group: their
-    ``component_id`` is null. Repeated ids keep one row each.
+    ``component_id`` is null. Repeated ids keep one row each, and link all of
+    their texts. A text of any length is read whole.
     """
     with scratch(docs.sparkSession):
         out = store(_near_groups(fingerprints(docs, spec, id_col, text_col), spec), "near-groups").keep()
@@ -319,9 +320,10 @@ def _near_groups(prints: DataFrame, spec: SimHash) -> DataFrame:
     names = [f"f{w}" for w in range(spec.bits // 64)]
     marks = store(prints, "simhash").read()
     nodes = store(marks.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node")), "simhash-nodes").read()
-    # One id may carry several texts: link its fingerprints through the id.
-    several = marks.where("doc_id is not null").join(nodes, names).groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"))
-    same_id = several.where("u <> v").select("u", "v")
+    # One id may carry several texts: link each of its fingerprints with the least.
+    several = marks.where("doc_id is not null").join(nodes, names).select("doc_id", "node").distinct()
+    least = several.groupBy("doc_id").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1")
+    same_id = several.join(least, "doc_id").where("u <> node").select("u", F.col("node").alias("v"))
     group = components(near_links(nodes, spec).union(same_id)).withColumnRenamed("component", "root")
     rooted = nodes.join(group, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
     out = marks.join(rooted, names, "left")

@@ -326,3 +326,11 @@ def test_empty_tables(make):
 def test_registered():
     assert sorted(int(q.split("_")[0][2:]) for q in queries.QUERIES if q.startswith("op")) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_ids_with_three_texts_link_all_of_them(make):
+    """One id holds three texts that others hold too: all are one group, for both ways to find copies."""
+    a, b, c = (prose(seed, 60) for seed in (11, 12, 13))
+    rows = [(1, a), (2, b), (3, c), (5, a), (5, b), (5, c), (6, prose(14, 60))]
+    for out in (simhash.near_groups(make(rows), simhash.SimHash()), copies.near_copies(make(rows))):
+        assert {(r["doc_id"], r["component_id"]) for r in out.collect()} == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 6)}
