@@ -36,7 +36,7 @@ def linked(seed, n, share):
     return [(i, rng.randrange(i)) for i in range(1, n)] + [(a, b) for a, b in combinations(range(n), 2) if rng.random() < share]
 
 
-@pytest.mark.parametrize(("seed", "n", "share"), [(1, 13, 0.5), (2, 16, 0.15), (3, 7, 1.0)])
+@pytest.mark.parametrize(("seed", "n", "share"), [(1, 13, 0.5), (2, 16, 0.15)])
 def test_orbits_against_enumeration(spark, seed, n, share):
     edges = linked(seed, n, share)
     g = Graph.from_raw(spark.createDataFrame(edges, "src long, dst long"))
