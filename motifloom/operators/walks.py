@@ -10,14 +10,20 @@ arrays if it has at most ``BROADCAST_EDGES`` entries; on a larger graph all
 walks move by a join for each step, whose rows are appended to one table.
 
 A walk on states visits connected sets of k-1 nodes, of which two are neighbours
-if they differ in one node. Only the neighbours of states that are visited are
-ever looked for.
+if they differ in one node. The neighbours of a state are never listed: a draw
+picks one of the state's edges out, that is a node of it by degree and a
+neighbour y of that, and a node x of the others to leave. The move is made if y
+is new, the rest with y is connected, and the node picked is the first of the
+rest that y is linked to, so that each neighbour state has one draw in its
+favour; else the walk draws again. A draw costs some look-ups of edges, at hubs
+as elsewhere.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -100,7 +106,10 @@ class Trail:
         self.table = Stored(spark, f"{shared_dir(spark)}/motifloom-trail-{uuid.uuid4().hex}")
 
     def add(self, rows: DataFrame, step: int) -> None:
-        rows.withColumn("step", F.lit(step).cast("long")).select("sim", "step", *rows.columns[1:]).write.mode("append").parquet(self.table.path)
+        self.table_add(rows.withColumn("step", F.lit(step).cast("long")).select("sim", "step", *rows.columns[1:]))
+
+    def table_add(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.table.path)
 
 
 def _eligible(adj: DataFrame, least_degree: int) -> tuple[DataFrame, int]:
@@ -141,35 +150,80 @@ def walk_by_joins(adj: DataFrame, nodes: int, sims: int, seed: int = 42, least_d
     return trail.table.read()
 
 
-def connected_without(near: dict[int, set[int]], rest: list[int], y: int) -> bool:
-    """Whether ``y`` and the nodes ``rest`` are connected."""
-    left, todo = set(rest), [y]
-    while todo and left:
-        mine = near[todo.pop()] & left
-        left -= mine
-        todo += mine
-    return not left
-
-
-class _Near(dict):
-    """Neighbours of nodes, as sets, made when asked for."""
-
-    def __init__(self, offsets: np.ndarray, flat: np.ndarray):
-        self.offsets, self.flat = offsets, flat
-
-    def __missing__(self, u: int) -> set[int]:
-        self[u] = out = set(self.flat[self.offsets[u] : self.offsets[u + 1]].tolist())
-        return out
-
-
-def state_neighbours(near: dict[int, set[int]], state: tuple[int, ...]) -> list[tuple[tuple[int, ...], int]]:
-    """The states that differ from ``state`` in one node, ascending, with the node that is new."""
-    out = []
-    for x in state:
-        rest = [v for v in state if v != x]
-        beside = set().union(*(near[v] for v in rest)).difference(state)
-        out += [(tuple(sorted((*rest, y))), y) for y in beside if connected_without(near, rest, y)]
-    return sorted(out)
+#: Draws in a row that move nothing, after which a walk is taken to have no neighbour state.
+MOST_DRAWS = 1_000_000
+
+
+class _Shapes:
+    """Whether k-1 nodes are connected and which type k nodes are, by the bits of their pairs."""
+
+    def __init__(self, k: int):
+        self.inner, self.outer = list(combinations(range(k - 1), 2)), list(combinations(range(k), 2))
+        self.connected = np.array([atlas.connected(range(k - 1), self._edges(self.inner, c)) for c in range(1 << len(self.inner))])
+        shapes = [self._edges(self.outer, c) for c in range(1 << len(self.outer))]
+        self.type = np.array([atlas.type_of(range(k), e) if atlas.connected(range(k), e) else -1 for e in shapes], np.int32)
+
+    @staticmethod
+    def _edges(pairs: list, code: int) -> frozenset:
+        return frozenset(p for i, p in enumerate(pairs) if code >> i & 1)
+
+    @staticmethod
+    def code(links: np.ndarray, pairs: list) -> np.ndarray:
+        """The bits of ``links[row, i, j]``."""
+        return sum(links[:, i, j].astype(np.int64) << at for at, (i, j) in enumerate(pairs))
+
+
+class _Sampler:
+    """Many walks on states at once, as arrays."""
+
+    def __init__(self, offsets: np.ndarray, flat: np.ndarray, k: int):
+        self.offsets, self.flat, self.m, self.n = offsets, flat, k - 1, len(offsets) - 1
+        self.degree, self.shapes = np.diff(offsets), _Shapes(k)
+        self.keys = np.repeat(np.arange(self.n), self.degree) * self.n + flat  # ascending
+
+    def linked(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        key = u * self.n + v
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.keys[at] == key
+
+    def start(self, st: int, first: int) -> tuple[int, list[int]]:
+        """A set grown from a node by one neighbour of it at a time."""
+        nodes = [first]
+        while len(nodes) < self.m:
+            beside = np.setdiff1d(np.concatenate([self.flat[self.offsets[v] : self.offsets[v + 1]] for v in nodes]), nodes)
+            st = st * MULTIPLIER % MODULUS
+            nodes = sorted([*nodes, int(beside[st % len(beside)])])
+        return st, nodes
+
+    def draw(self, st: np.ndarray, nodes: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, ...]:
+        """One draw of each walk: its stream, which ones move, their sets in order, links and types."""
+        m, rows = self.m, np.arange(len(st))
+        st = st * MULTIPLIER % MODULUS
+        d = self.degree[nodes]
+        upto = d.cumsum(1)
+        slot = st % (upto[:, -1] * (m - 1))
+        at, leave = slot // (m - 1), slot % (m - 1)
+        by = (at[:, None] >= upto).sum(1)
+        y = self.flat[self.offsets[nodes[rows, by]] + at - (upto - d)[rows, by]]
+        leave = leave + (leave >= by)
+        near = self.linked(nodes, y[:, None])
+        rest = near & (np.arange(m) != leave[:, None])
+        moves = np.flatnonzero(~(nodes == y[:, None]).any(1) & (rest.argmax(1) == by))
+        # The set with y in the place of the node that leaves.
+        after, new, rows = links[moves], rest[moves], np.arange(len(moves))
+        after[rows, leave[moves], :] = new
+        after[rows, :, leave[moves]] = new
+        fits = self.shapes.connected[self.shapes.code(after, self.shapes.inner)]
+        moves, after = moves[fits], after[fits]
+        union = np.zeros((len(moves), m + 1, m + 1), bool)
+        union[:, :m, :m], union[:, :m, m] = links[moves], near[moves]
+        kinds = self.shapes.type[self.shapes.code(union, self.shapes.outer)]
+        sets = nodes[moves].copy()
+        sets[np.arange(len(moves)), leave[moves]] = y[moves]
+        order = sets.argsort(1)
+        sets = np.take_along_axis(sets, order, 1)
+        after = np.take_along_axis(np.take_along_axis(after, order[:, :, None], 1), order[:, None, :], 2)
+        return st, moves, sets, after, kinds
 
 
 def state_walk(adj: DataFrame, k: int, steps: int, sims: int, seed: int = 42) -> DataFrame:
@@ -188,33 +242,36 @@ def state_walk(adj: DataFrame, k: int, steps: int, sims: int, seed: int = 42) ->
         raise ValueError(f"a walk on states needs {k} nodes")
     shared = spark.sparkContext.broadcast((offsets, flat, eligible))
 
-    def type_of(near: dict[int, set[int]], nodes: list[int]) -> int:
-        nodes = sorted(nodes)
-        edges = frozenset((i, j) for i, u in enumerate(nodes) for j, v in enumerate(nodes) if i < j and v in near[u])
-        return atlas.type_of(range(k), edges)
+    def frame(sim, step, nodes, kinds) -> pd.DataFrame:
+        return pd.DataFrame({"sim": sim, "step": step, "nodes": list(nodes), "type": pd.array(kinds, "Int32")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         offsets, flat, eligible = shared.value
-        near = _Near(offsets, flat)
+        walks = _Sampler(offsets, flat, k)
         for batch in batches:
-            for sim in batch["id"].tolist():
-                st = int(stream_start(np.array([sim]), seed)[0]) * MULTIPLIER % MODULUS
-                state = (int(eligible[st % len(eligible)]),)
-                while len(state) < k - 1:
-                    beside = sorted(set().union(*(near[v] for v in state)).difference(state))
-                    st = st * MULTIPLIER % MODULUS
-                    state = tuple(sorted((*state, beside[st % len(beside)])))
-                rows = [(sim, 0, list(state), None)]
-                for step in range(1, steps + 1):
-                    options = state_neighbours(near, state)
-                    st = st * MULTIPLIER % MODULUS
-                    after, y = options[st % len(options)]
-                    rows.append((sim, step, list(after), type_of(near, [*state, y])))
-                    state = after
-                    if len(rows) >= STEPS_AT_ONCE:
-                        yield pd.DataFrame(rows, columns=["sim", "step", "nodes", "type"]).astype({"type": "Int32"})
-                        rows = []
-                yield pd.DataFrame(rows, columns=["sim", "step", "nodes", "type"]).astype({"type": "Int32"})
+            sim = batch["id"].to_numpy()
+            if not len(sim):
+                continue
+            st = stream_start(sim, seed) * MULTIPLIER % MODULUS
+            starts = [walks.start(int(x), int(eligible[x % len(eligible)])) for x in st]
+            st, nodes = np.array([x for x, _ in starts]), np.array([x for _, x in starts])
+            links = walks.linked(nodes[:, :, None], nodes[:, None, :])
+            yield frame(sim, 0, nodes, [None] * len(sim))
+            step, idle, done = np.zeros(len(sim), np.int64), np.zeros(len(sim), np.int64), []
+            while len(go := np.flatnonzero(step < steps)):
+                st[go], moves, sets, after, kinds = walks.draw(st[go], nodes[go], links[go])
+                idle[go] += 1
+                at = go[moves]
+                nodes[at], links[at], idle[at] = sets, after, 0
+                step[at] += 1
+                done.append((sim[at], step[at], sets, kinds))
+                if len(done) >= STEPS_AT_ONCE:
+                    yield frame(*map(np.concatenate, zip(*done, strict=True)))
+                    done = []
+                if idle.max() > MOST_DRAWS:
+                    raise ValueError("a walk found no neighbour state")
+            if done:
+                yield frame(*map(np.concatenate, zip(*done, strict=True)))
 
     tasks = max(1, min(sims, spark.sparkContext.defaultParallelism))
     return spark.range(0, sims, 1, tasks).mapInPandas(run, "sim long, step long, nodes array<long>, type int")
@@ -234,33 +291,45 @@ def _picked(options: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def state_walk_by_joins(adj: DataFrame, k: int, steps: int, sims: int, seed: int = 42) -> DataFrame:
-    """The same walks by joins: a step looks for the neighbours of the walks' present states only."""
+    """The same walks by joins: in each round all walks that go on draw once."""
     from motifloom.operators.sets import inserted, with_type, without
 
-    first = _starts(adj, sims, seed, 1).select("sim", "state", F.array("node").alias("nodes"), F.array(F.lit(0)).alias("bits"))
-    now = store(first, "state-walk")
+    nbr = store(adj.groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("vs"), F.count("*").alias("d")), "nbr").read()
+    now = store(_starts(adj, sims, seed, 1).select("sim", "state", F.array("node").alias("nodes"), F.array(F.lit(0)).alias("bits")), "state-walk")
+    for _ in range(k - 2):
+        grown = inserted(_picked(_beside(now.read(), adj), ["v", "m", "nodes", "bits"]))
+        now = store(grown.select("sim", "state", "nodes", "bits"), "state-walk")
     trail = Trail(adj.sparkSession)
-    for step in range(2 - k, steps + 1):
-        if step > 0:
-            each = _beside(now.read(), adj).withColumns({"whole": F.struct("nodes", "bits", F.col("m").alias("m")), "x": F.explode(F.sequence(F.lit(0), F.lit(k - 2)))})
-            rest = without(each, "x")
-            reach = F.col("m")
-            for _ in range(k - 2):
-                reach = F.expr("aggregate(transform(bits, (b, i) -> case when (r & shiftleft(1, i)) <> 0 then b else 0 end), r, (x, y) -> x | y)")
-                rest = rest.withColumn("r", F.col("m") if "r" not in rest.columns else F.col("r")).withColumn("r", reach)
-            fits = rest.where(F.col("r") == (1 << (k - 2)) - 1)
-            moved = _picked(inserted(fits), ["nodes", "v", "bits", "whole"])
-            union = inserted(moved.select("sim", F.col("whole.nodes").alias("nodes"), F.col("whole.bits").alias("bits"), "v", F.col("whole.m").alias("m")))
-            kinds = with_type(union, k, "sim").select("sim", "type")
-            after = store(moved.select("sim", "state", "nodes", "bits").join(kinds, "sim"), "state-walk")
-        elif step > 2 - k:
-            grown = inserted(_picked(_beside(now.read(), adj), ["v", "m", "nodes", "bits"]))
-            after = store(grown.select("sim", "state", "nodes", "bits"), "state-walk")
-        else:
-            continue
+    trail.add(now.read().select("sim", "nodes", F.lit(None).cast("int").alias("type")), 0)
+    now = store(now.read().withColumn("step", F.lit(0).cast("long")), "state-walk")
+    idle = 0
+    while now.read().where(F.col("step") < steps).limit(1).count():
+        drawn = now.read().withColumn("state", F.col("state") * MULTIPLIER % MODULUS)
+        going = drawn.where(F.col("step") < steps)
+        each = going.select("sim", F.posexplode("nodes").alias("i", "u")).join(nbr.select("u", "d"), "u")
+        degrees = each.groupBy("sim").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]).alias("ds"))
+        rows = going.join(degrees, "sim").withColumn("slot", F.expr(f"state % (aggregate(ds, 0L, (a, b) -> a + b) * {k - 2})"))
+        rows = rows.withColumns({"at": F.expr(f"slot div {k - 2}"), "x": F.expr(f"int(slot % {k - 2})")})
+        upto = "transform(ds, (d, i) -> aggregate(slice(ds, 1, i + 1), 0L, (a, b) -> a + b))"
+        rows = rows.withColumn("by", F.expr(f"size(filter({upto}, c -> at >= c))"))
+        rows = rows.withColumns({"at": F.expr("at - aggregate(slice(ds, 1, by), 0L, (a, b) -> a + b)"), "x": F.expr("x + int(x >= by)"), "u": F.expr("nodes[by]")})
+        rows = rows.join(nbr, "u").withColumn("v", F.expr("vs[int(at)]")).drop("u", "vs", "d", "ds", "slot", "at")
+        rows = rows.where(~F.array_contains("nodes", F.col("v"))).join(nbr.select(F.col("u").alias("v"), "vs"), "v")
+        rows = rows.withColumn("m", F.expr("aggregate(transform(nodes, (n, i) -> case when array_contains(vs, n) then shiftleft(1, i) else 0 end), 0, (a, b) -> a | b)")).drop("vs")
+        rows = rows.where("(m & ~shiftleft(1, x) & (shiftleft(1, by) - 1)) = 0")
+        rest = without(rows.withColumn("whole", F.struct("nodes", "bits", F.col("m").alias("m"))), "x").withColumn("r", F.col("m"))
+        for _ in range(k - 2):
+            rest = rest.withColumn("r", F.expr("aggregate(transform(bits, (b, i) -> case when (r & shiftleft(1, i)) <> 0 then b else 0 end), r, (x, y) -> x | y)"))
+        moved = inserted(rest.where(F.col("r") == (1 << (k - 2)) - 1))
+        union = inserted(moved.select("sim", F.col("whole.nodes").alias("nodes"), F.col("whole.bits").alias("bits"), "v", F.col("whole.m").alias("m")))
+        kinds = with_type(union, k, "sim").select("sim", "type")
+        moved = store(moved.select("sim", "state", "nodes", "bits", (F.col("step") + 1).alias("step")).join(kinds, "sim"), "state-moves").read()
+        trail.table_add(moved.select("sim", "step", "nodes", "type"))
+        stay = drawn.join(moved.select("sim"), "sim", "left_anti").select("sim", "state", "nodes", "bits", "step")
+        idle = 0 if moved.limit(1).count() else idle + 1
+        if idle > MOST_DRAWS:
+            raise ValueError("a walk found no neighbour state")
+        after = store(moved.select(stay.columns).union(stay), "state-walk")
         now.drop()
         now = after
-        if step >= 0:
-            rows = now.read()
-            trail.add(rows.select("sim", "nodes", F.col("type") if step else F.lit(None).cast("int").alias("type")), step)
     return trail.table.read()

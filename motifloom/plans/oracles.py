@@ -212,10 +212,29 @@ def _state_walk(k: int) -> str:
     select g.sim, any_value(g.st) as st, any_value(g.s) as s, list(distinct a.v order by a.v) as vs
     from grow{i - 1} g join adj a on list_contains(g.s, a.u) and not list_contains(g.s, a.v) group by g.sim)
 )"""
-    walk = _walk("pairs", STEPS + 1, starts=f"select sim, st, id as u from grow{k - 1} join state using (s)")
-    for name in ("eligible", "first"):
-        walk = re.sub(rf"\b{name} as", f"{name}2 as", walk)
-    return out + walk
+    # A draw: a node by degree and one of its neighbours, and another node to leave; the walk stays unless all fits.
+    m = k - 1
+    place = "case " + " ".join(f"when slot < {' + '.join(f'd{j}' for j in range(1, i + 1))} then {i}" for i in range(1, m + 1)) + " end"
+    before = "case p " + " ".join(f"when {i} then {' + '.join(['0', *(f'd{j}' for j in range(1, i))])}" for i in range(1, m + 1)) + " end"
+    picked = "case p " + " ".join(f"when {i} then l{i}" for i in range(1, m + 1)) + " end"
+    first = "case " + " ".join(f"when q <> {i} and list_contains(l{i}, y) then {i}" for i in range(1, m + 1)) + " end"
+    others = "list_sort(list_append(list_filter(s, lambda n: n <> s[q]), y))"
+    lists = ", ".join(f"n{i}.vs as l{i}, n{i}.d as d{i}" for i in range(1, m + 1))
+    joins = " ".join(f"join nb0 n{i} on n{i}.u = s[{i}]" for i in range(1, m + 1))
+    total = " + ".join(f"d{i}" for i in range(1, m + 1))
+    return out + f""", draws(sim, st, s, step, moved) as (
+  select sim, st, s, 0::bigint, true from grow{m}
+  union all
+  select sim, st, case when ok then t else s end, step + ok::int, ok from (
+    select d.sim, d.st, d.s, t, step, not list_contains(d.s, y) and f = p and state.id is not null as ok from (
+      select *, {others} as t, {first} as f from (
+        select *, ({picked})[slot - ({before}) + 1] as y, case when x + 1 < p then x + 1 else x + 2 end as q from (
+          select *, {place} as p from (
+            select *, st % (({total}) * {m - 1}) // {m - 1} as slot, st % (({total}) * {m - 1}) % {m - 1} as x from (
+              select sim, st * {MULTIPLIER} % {MODULUS} as st, s, step, {lists} from draws {joins} where step < {STEPS}))))) d left join state on state.s = d.t)
+), walk as materialized (
+  select sim, step, id as node from draws join state using (s) where moved
+)"""
 
 
 def _orbit_dim(k: int) -> str:

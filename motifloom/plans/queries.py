@@ -24,6 +24,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 DAYS = 30
 #: Simulations and frames of the estimation queries, and the walks' seed.
 SIMS, STEPS, SEED = 100, 200, 42
+#: The published protocol of walks on states, less its longest runs.
+PROTOCOL = (1000, 2000)
 #: Steps of the two runs of the sweep.
 SWEEP = (100, 250)
 
@@ -98,6 +100,13 @@ def psrw(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return estimate.state_walk_shares(path, k)
 
 
+def dense_psrw(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """Shares of the whole co-purchase graph's types, from 1,000 walks of 2,000 moves."""
+    sims, steps = PROTOCOL
+    path = store(walks.state_walk(dense(spark, sf_dir).adj, k, steps, sims, SEED), "psrw").read()
+    return estimate.state_walk_shares(path, k)
+
+
 def state_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The states that four-node walks visit, as text, with the type of each move."""
     path = walks.state_walk(prepared(spark, sf_dir).adj, 5, STEPS, SIMS, SEED)
@@ -231,6 +240,7 @@ QUERIES: dict[str, Query] = {
     "copurchase_graphlet4": lambda s, d: four.graphlet4(dense(s, d)),
     "copurchase_graphlet5": lambda s, d: cuts.graphlet5(dense(s, d), dense_orbits(s, d)),
     "copurchase_orbits5": dense_orbits,
+    "copurchase_psrw5": dense_psrw,
     "walk_trace": lambda s, d: walks.walk(prepared(s, d).adj, STEPS, SIMS, SEED),
     "edges_hat": lambda s, d: estimate.edges_hat(prepared(s, d), trail(s, d, 3)).select("sim", F.round("e_hat", 6).alias("e_hat")),
     "error_metrics": metrics,

@@ -75,3 +75,9 @@ def test_dense_queries(spark):
     per_node = {r["orbit"]: r["s"] for r in orbit.groupBy("orbit").agg({"cnt": "sum"}).withColumnRenamed("sum(cnt)", "s").collect()}
     for r in atlas.orbits(5):
         assert per_node.get(r["orbit"], 0) == counts[r["type"]] * r["fold"]
+    # Walks on states find the same shares.
+    total = sum(counts.values())
+    shares = QUERIES["copurchase_psrw5"](spark, TINY).groupBy("type").agg({"value": "avg"}).collect()
+    for r in shares:
+        want = counts[r["type"]] / total
+        assert abs(r["avg(value)"] - want) < 0.05 * want + 0.0005

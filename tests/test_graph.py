@@ -1,5 +1,6 @@
 """Graph operators against golden values and brute force."""
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -207,9 +208,13 @@ def test_state_walks_agree(spark, k):
             assert len(union) == k and kinds[union] == kind
     named = graph.ranked(sets.connected_sets(g, k - 1).select("nodes"), "nodes")
     pairs = sets.state_pairs(named, sets.with_type(sets.connected_sets(g, k), k))
-    near = walks._Near(*walks.csr(g.adj))
     moves = {(tuple(r.s), tuple(r.t)) for r in pairs.collect()}
-    assert moves == {(tuple(r.nodes), t) for r in named.collect() for t, _ in walks.state_neighbours(near, tuple(r.nodes))}
+    long = {(r.sim, r.step): tuple(r.nodes) for r in walks.state_walk(g.adj, k, 4000, 8).collect()}
+    taken = Counter((long[sim, step - 1], t) for (sim, step), t in long.items() if step)
+    assert set(taken) == moves  # all neighbours are reached, nothing else is
+    # Neighbours of a state are equally likely, so all moves are.
+    expected = 8 * 4000 / len(moves)
+    assert sum((taken[m] - expected) ** 2 for m in moves) / expected / len(moves) < 3
     with pytest.raises(ValueError):
         walks.state_walk(Graph.from_raw(frame(spark, [(0, 1)])).adj, k, 3, 1)
 
