@@ -324,7 +324,7 @@ def test_empty_tables(make):
 
 
 def test_registered():
-    assert sorted(int(q.split("_")[0][2:]) for q in queries.QUERIES if q.startswith("op")) == list(range(1, 11))
+    assert sorted(int(q.split("_")[0][2:]) for q in queries.QUERIES if q.startswith("op")) == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
