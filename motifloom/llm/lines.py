@@ -5,13 +5,18 @@ fields, ``<*>``. The tree has a fixed depth: the number of tokens, then the
 first ``depth`` tokens. At a node, positions that most lines fill alike are
 constants and the others variable: that is the node's template, and lines that
 agree with at least ``similarity`` of their positions are of it. The lines that
-are of no recurring template move on to children of the node, by their token at
-the position where these lines have the fewest different tokens but two at
-least; so several templates of one leaf part from one another and from
-unrelated lines. There are ``splits`` such levels below a leaf. A line whose
-masked tokens recur as they are is a template of its own.
-
-A template of ``min_docs`` documents or more recurs; its lines are dropped. By
+are of no recurring template move on to children of the node. Each line picks
+the child itself, by one of its tokens in its place: of those that ``min_docs``
+lines of the node have there, but not all, the one that most lines have among
+those whose lines all agree in ``similarity`` of the places looked at; if there
+is none, the one whose lines agree in most of them. So a template parts from
+the others of its leaf by a token of its own, not by a field that takes few
+values. Up to ``probes`` places, evenly spread over the line, are looked at.
+There are ``splits`` such levels below a leaf. A line whose masked tokens recur
+as they are is a template of its own.
+
+A template of ``min_docs`` documents or more recurs, and so does a masked line
+that ``same_docs`` documents have as it is; such lines are dropped. By
 default its first line (smallest document id, then line number) stays, so that
 no content vanishes from the corpus with its copies; ``keep="none"`` drops
 that as well. Lines whose tokens have under ``min_bytes`` bytes are left alone.
@@ -25,10 +30,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.llm.kernels import Rolling, as_bytes, chunks, mix, signed, small_batches, xxh64
@@ -43,6 +50,8 @@ class Tree:
     similarity: float = 0.8
     min_bytes: int = 16
     min_docs: int = 3
+    same_docs: int = 2
+    probes: int = 16
     keep: str = "first"
 
 
@@ -129,11 +138,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select(*digest(F.col("doc_id"), F.col("text")), "doc_id", "text")
 
 
-def _recurring(lines: DataFrame, key: list[str], tree: Tree) -> DataFrame:
-    """Keys found in enough documents, with their first line."""
+def _recurring(lines: DataFrame, key: list[str], docs: int) -> DataFrame:
+    """Keys found in ``docs`` documents or more, with their first line."""
     per_doc = lines.groupBy(*key, "d0", "d1").agg(F.min(F.struct("doc_id", "line_no")).alias("p"))
     place = F.min(F.struct("p.doc_id", "d0", "d1", "p.line_no")).alias("place")
-    return per_doc.groupBy(*key).agg(F.count("*").alias("n_docs"), place).where(F.col("n_docs") >= tree.min_docs)
+    return per_doc.groupBy(*key).agg(F.count("*").alias("n_docs"), place).where(F.col("n_docs") >= docs)
 
 
 def _dropped(lines: DataFrame, templates: DataFrame, key: list[str], tree: Tree) -> DataFrame:
@@ -152,13 +161,29 @@ def node_templates(kinds: DataFrame) -> DataFrame:
     return places.select("node", F.transform("ps", lambda p: p["token"]).alias("template"))
 
 
-def children(rest: DataFrame) -> DataFrame:
-    """``rest(node, tokens, ...)`` moved to children, by the token where the node's lines differ least."""
-    tokens = rest.select("node", F.posexplode("tokens").alias("at", "token")).distinct()
-    differ = tokens.groupBy("node", "at").agg(F.count("*").alias("tokens")).where("tokens > 1")
-    place = differ.groupBy("node").agg(F.min(F.struct("tokens", "at"))["at"].alias("at"))
-    child = F.xxhash64("node", "at", F.get("tokens", F.col("at")))
-    return rest.join(place, "node").withColumn("node", child).drop("at")
+def probed(tree: Tree) -> list[Column]:
+    """The tokens at the places looked at, of lines with ``tokens``; null beyond a short line's end."""
+    looked = F.least(F.lit(tree.probes), F.size("tokens"))
+    return [F.get("tokens", F.when(looked > k, F.floor(F.lit(k) * F.size("tokens") / looked).cast("int"))).alias(f"p{k}") for k in range(tree.probes)]
+
+
+def children(rest: DataFrame, tree: Tree) -> DataFrame:
+    """``rest(node, m0, m1, n, tokens)`` moved to the children that the lines pick; lines without one go."""
+    nodes = rest.groupBy("node").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where((F.col("total") >= tree.min_docs) & (F.col("kinds") > 1))
+    rest = store(rest.join(nodes.select("node", "total"), "node"), "node-rest").read()
+    # One row for each token in its place; a group's least and greatest token at a probe are the same if all agree.
+    tokens = rest.select("node", "total", "n", F.least(F.lit(tree.probes), F.size("tokens")).alias("looked"), F.posexplode("tokens").alias("at", "token"), *probed(tree))
+    ends = [f(f"p{k}").alias(f"{name}{k}") for k in range(tree.probes) for f, name in ((F.min, "low"), (F.max, "high"))]
+    places = tokens.groupBy("node", "at", "token").agg(F.sum("n").alias("all"), F.first("total").alias("total"), F.first("looked").alias("looked"), *ends)
+    places = places.where((F.col("all") >= tree.min_docs) & (F.col("all") < F.col("total")))
+    agreed = reduce(add, [F.coalesce((F.col(f"low{k}") == F.col(f"high{k}")).cast("long"), F.lit(0)) for k in range(tree.probes)])
+    fits = agreed >= F.col("looked") * tree.similarity
+    rank = F.struct(fits.cast("int").alias("fits"), F.when(fits, F.col("all")).otherwise(agreed).alias("by"), (-F.col("at")).alias("first"))
+    places = store(places.select("node", "at", "token", rank.alias("rank")), "node-places").read()
+    own = rest.select("node", "m0", "m1", F.posexplode("tokens").alias("at", "token")).join(places, ["node", "at", "token"])
+    best = own.groupBy("m0", "m1").agg(F.max(F.struct("rank", "at", "token")).alias("best"))
+    child = F.xxhash64("node", "best.at", "best.token")
+    return rest.join(best, ["m0", "m1"]).select(child.alias("node"), "m0", "m1", "n", "tokens")
 
 
 def line_kinds(docs: DataFrame, lines: DataFrame, tree: Tree) -> tuple[DataFrame, DataFrame]:
@@ -186,11 +211,11 @@ def node_drops(kinds: DataFrame, lines: DataFrame, tree: Tree) -> list[DataFrame
             break
         close = kinds.join(node_templates(kinds), "node").where(agreed >= F.size("tokens") * tree.similarity).select("node", "m0", "m1")
         met = store(close.join(lines, ["m0", "m1"]), "template-lines").read()
-        found = store(_recurring(met, ["node"], tree), "node-templates").read()
+        found = store(_recurring(met, ["node"], tree.min_docs), "node-templates").read()
         out.append(store(_dropped(met, found, ["node"], tree), "node-drops").read())
         if level < tree.splits:
             settled = met.join(found.select("node"), "node", "left_semi").select("m0", "m1").distinct()
-            kinds = store(children(kinds.join(settled, ["m0", "m1"], "left_anti")), "node-children").read()
+            kinds = store(children(kinds.join(settled, ["m0", "m1"], "left_anti"), tree), "node-children").read()
     return out
 
 
@@ -198,7 +223,7 @@ def template_lines(docs: DataFrame, tree: Tree) -> DataFrame:
     """``(d0, d1, line_no)`` of the lines to drop from ``docs(doc_id, text)``."""
     lines = store(keyed(docs).mapInArrow(_parse(tree), f"{_LINE}, m0 long, m1 long"), "lines").read()
     # Stored on their own, so that a join with lines found everywhere can be split where it is skewed.
-    exact = store(_recurring(lines, ["m0", "m1"], tree), "line-templates").read()
+    exact = store(_recurring(lines, ["m0", "m1"], tree.same_docs), "line-templates").read()
     drops = store(_dropped(lines, exact, ["m0", "m1"], tree), "line-drops").read()
     for some in node_drops(*line_kinds(docs, lines, tree), tree):
         drops = drops.union(some)

@@ -232,6 +232,8 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from nam
 
 def _op1(tree: lines.Tree) -> str:
     """Lines, their templates level by level, and what stays."""
+    looked = [f"k[({i} * n) // least({tree.probes}, n) + 1]" for i in range(tree.probes)]
+    agreed = " + ".join(f"coalesce((n > {i} and min({x}) = max({x}))::int, 0)" for i, x in enumerate(looked))
     sql = f"""
 with line as materialized (
   select doc_id, i as line_no, ls[i] as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null))
@@ -242,7 +244,7 @@ with line as materialized (
     select doc_id, line_no, list_transform(words, lambda t: case when regexp_matches(t, '[0-9]') then chr(1) else t end) as k
     from token where strlen(array_to_string(words, '')) >= {tree.min_bytes})
 ), exact as (
-  select k, min((doc_id, line_no)) as place from parsed group by k having count(distinct doc_id) >= {tree.min_docs}
+  select k, min((doc_id, line_no)) as place from parsed group by k having count(distinct doc_id) >= {tree.same_docs}
 ), rest0 as (
   select doc_id, line_no, n, k, to_json({{'n': n, 'lead': k[1:{tree.depth}]}})::varchar as node from parsed
 )"""
@@ -260,10 +262,16 @@ with line as materialized (
   select node, min((doc_id, line_no)) as place from close{level} group by node having count(distinct doc_id) >= {tree.min_docs}
 ), left{level} as materialized (
   select doc_id, line_no, n, k, node from member{level} anti join (select doc_id, line_no from close{level} semi join template{level} using (node)) using (doc_id, line_no)
-), pick{level} as (
-  select node, min((d, i)) as p from (select node, i, count(distinct t) as d from place{level} semi join left{level} using (doc_id, line_no) group by node, i) where d > 1 group by node
+), spot{level} as materialized (
+  select l.doc_id, l.line_no, l.n, l.k, l.node, s.total, unnest(range(1, n + 1)) as i, unnest(k) as t
+  from left{level} l join (select node, count(*) as total from left{level} group by node having count(*) >= {tree.min_docs} and count(distinct k) > 1) s using (node)
+), agreed{level} as materialized (
+  select node, i, t, c, agreed >= least({tree.probes}, n) * {tree.similarity}::double as fits, agreed
+  from (select node, i, t, n, count(*) as c, total, {agreed} as agreed from spot{level} group by node, i, t, n, total having count(*) >= {tree.min_docs} and count(*) < total)
+), pick{level} as materialized (
+  select doc_id, line_no, max((fits::int, case when fits then c else agreed end, -i)) as p from spot{level} join agreed{level} using (node, i, t) group by doc_id, line_no
 ), rest{level + 1} as materialized (
-  select doc_id, line_no, n, k, node || to_json({{'at': p[2], 'token': k[p[2]]}})::varchar as node from left{level} join pick{level} using (node)
+  select doc_id, line_no, n, k, node || to_json({{'at': -p[3], 'token': k[-p[3]]}})::varchar as node from left{level} join pick{level} using (doc_id, line_no)
 )"""
     dropped = " union ".join(f"select doc_id, line_no from close{i} join template{i} using (node) where (doc_id, line_no) <> place" for i in range(tree.splits + 1))
     return f"""{sql}, dropped as (

@@ -86,7 +86,7 @@ def test_run(spark):
 @pytest.mark.parametrize("name", ORACLE_SQL)
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "conversations"):
+    for t in ("documents", "pages", "benchmark", "conversations", "labels"):
         con.execute(f"create view {t} as select * from '{TINY}/{t}.parquet'")
     cur = con.execute(ORACLE_SQL[name])
     cols = [c[0] for c in cur.description]
