@@ -8,8 +8,13 @@ sets of a few shingles too. Candidate links only decide which texts are
 compared: inside each group of texts that they connect, the sets themselves are
 compared, and only pairs with the similarity are linked.
 
-Equal sets are one node. Groups over ``group_rows`` are cut into chunks and
-each pair of chunks is one task's work, so no pair is lost.
+Equal sets are one node. A group over ``group_rows`` is dealt into chunks by a
+hash, ``turns`` times anew: the classes linked in one turn's chunks meet in the
+next one's, so a group of true copies becomes one class while each set is
+shipped once a turn, whatever the group's size. Where a group still has several
+classes, all texts of the keys that two classes share are compared, in pairs of
+chunks if a key has more than ``group_rows`` of them; so no pair that shares a
+key is lost. A text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from motifloom.llm.kernels import as_bytes, chunks, give_back, mix, signed, smal
 from motifloom.llm.simhash import SimHash, bucket_links, fingerprint_hashes, shingle_hashes
 from motifloom.llm.skew import cells
 from motifloom.operators.components import components
-from motifloom.session import let_workers_import, scratch, store
+from motifloom.session import Stored, let_workers_import, scratch, store
 
 
 @dataclass(frozen=True)
@@ -38,6 +43,7 @@ class Copies:
     rows: int = 3
     bucket_rows: int = 2048
     group_rows: int = 512
+    turns: int = 2
 
 
 def band_keys(hashes: np.ndarray, first: np.ndarray, spec: Copies) -> np.ndarray:
@@ -79,15 +85,15 @@ def _marks(spec: Copies):
 
 
 def _sets(spec: Copies):
-    """Arrow function (key, cells, node, text) -> (key, cells, node, set)."""
+    """Arrow function (cells, node, text) -> (cells, node, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 3):
-            texts = [as_bytes(t) for t in batch.column(3).to_pylist()]
+        for batch in small_batches(batches, 2):
+            texts = [as_bytes(t) for t in batch.column(2).to_pylist()]
             for a, b in chunks(map(len, texts)):
                 hashes, first = shingle_hashes(texts[a:b], spec.shingle)
                 sets = pa.array([hashes[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in range(3)], sets], ["key", "cells", "node", "set"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in range(2)], sets], ["cells", "node", "set"])
 
     return run
 
@@ -148,16 +154,43 @@ def _set_links(spec: Copies):
     return run
 
 
-def verified_links(rows: DataFrame, groups: DataFrame, spec: Copies) -> DataFrame:
-    """Links ``(u, v)`` with the similarity between ``rows(doc_id, text)`` of one of ``groups(node, component)``."""
-    dealt = cells(groups.select(F.col("component").alias("key"), "node"), spec.group_rows, "node")
-    wanted = dealt.groupBy("node").agg(F.first("key").alias("key"), F.collect_list(F.col("cell").cast("long")).alias("cells"))
+def compared(rows: DataFrame, dealt: DataFrame, spec: Copies) -> Stored:
+    """Links ``(u, v)`` with the similarity between ``rows(doc_id, text)`` that meet in a cell of ``dealt(key, cell, node)``."""
+    wanted = dealt.groupBy("node").agg(F.collect_list(F.struct(F.col("key"), F.col("cell").cast("long").alias("cell"))).alias("cells"))
     wanted = store(wanted, "copy-cells").read().withColumnRenamed("node", "doc_id")
     # Such lists grow with the corpus, so they are joined by a shuffle at every size.
-    found = rows.join(wanted.hint("merge"), "doc_id").select("key", "cells", "doc_id", "text")
-    sets = found.mapInArrow(_sets(spec), "key long, cells array<long>, node long, set binary")
-    sets = sets.select("key", F.explode("cells").alias("cell"), "node", "set").repartition("key", "cell")
-    return sets.sortWithinPartitions("key", "cell").mapInArrow(_set_links(spec), "u long, v long")
+    found = rows.join(wanted.hint("merge"), "doc_id").select("cells", "doc_id", "text")
+    sets = found.mapInArrow(_sets(spec), "cells array<struct<key:long,cell:long>>, node long, set binary")
+    sets = sets.select(F.explode("cells").alias("at"), "node", "set").select("at.key", "at.cell", "node", "set").repartition("key", "cell")
+    return store(sets.sortWithinPartitions("key", "cell").mapInArrow(_set_links(spec), "u long, v long"), "copy-links")
+
+
+def verified_links(rows: DataFrame, groups: DataFrame, keyed: DataFrame, spec: Copies) -> DataFrame:
+    """Links ``(u, v)`` that span the same classes as all with the similarity inside ``groups(node, component)``.
+
+    ``rows(doc_id, text)`` has the texts, ``keyed(key, node)`` the keys that similar ones share.
+    """
+    sizes = groups.groupBy("component").agg(F.count("*").alias("rows"))
+    large = sizes.where(F.col("rows") > spec.group_rows).select("component", F.ceil(F.col("rows") * 2 / spec.group_rows).alias("parts"))
+    large = store(large, "large-groups").read()
+    small = groups.join(large.hint("merge"), "component", "left_anti")
+    links = compared(rows, small.select(F.col("component").alias("key"), F.lit(0).alias("cell"), "node"), spec).read()
+    apart = groups.join(large.hint("merge"), "component")
+    for turn in range(spec.turns):
+        if apart.isEmpty():
+            return links
+        cell = F.pmod(F.xxhash64(F.lit(turn), "node"), "parts")
+        links = links.union(compared(rows, apart.select(F.col("component").alias("key"), cell.alias("cell"), "node"), spec).read())
+        found = apart.drop("class").join(components(links).withColumnRenamed("component", "class"), "node", "left")
+        found = store(found.select("component", "node", "parts", F.coalesce("class", "node").alias("class")), "copy-classes").read()
+        several = found.groupBy("component").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b")
+        apart = store(found.join(several.select("component").hint("merge"), "component"), "groups-apart").read()
+    if apart.isEmpty():
+        return links
+    shared = store(keyed.select("key", "node").join(apart.select("node", "class").hint("merge"), "node"), "keys-apart").read()
+    several = shared.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b")
+    shared = store(shared.join(several.select("key").hint("merge"), "key").select("key", "node"), "keys-shared").read()
+    return links.union(compared(rows, cells(shared, spec.group_rows, "node"), spec).read())
 
 
 def near_copies(docs: DataFrame, spec: Copies | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,7 +218,7 @@ def _near_copies(rows: DataFrame, spec: Copies) -> DataFrame:
     keyed = nodes.where("s0 <> 0 or s1 <> 0").select(F.explode("keys").alias("key"), "node", "f0", "f1")
     near = bucket_links(keyed, SimHash(bits=128, radius=spec.radius, bucket_rows=spec.bucket_rows))
     groups = store(components(near.where("u <> v")), "copy-groups").read()
-    links = store(verified_links(rows, groups, spec), "copy-links").read()
+    links = verified_links(rows, groups, keyed, spec)
     # One id may carry several texts: link each of its sets with the least.
     several = named.join(nodes.select("s0", "s1", "node"), ["s0", "s1"]).select("doc_id", "node").distinct()
     least = several.groupBy("doc_id").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1")

@@ -351,6 +351,23 @@ def test_line_dedup_parts_many_templates_of_a_crowded_leaf(make):
         assert sorted(got) == brute_lines(rows, lines.Tree()) and sum(t == "" for _, t in got) == 7 * n
 
 
+def test_copies_ship_each_text_a_few_times_whatever_the_group(make, monkeypatch):
+    """Groups of copies of one text, each with a word of its own: rows shipped grow with the documents alone."""
+    plain, shipped = copies.compared, []
+
+    def counted(rows, dealt, spec):
+        shipped.append(dealt.count())
+        return plain(rows, dealt, spec)
+
+    monkeypatch.setattr(copies, "compared", counted)
+    base = [f"word{i}" for i in range(150)]
+    for n in (60, 600, 2400):
+        shipped.clear()
+        rows = [(i, " ".join([*base[: i % 150], f"own{i}", *base[i % 150 :]])) for i in range(n)]
+        got = copies.near_copies(make(rows), copies.Copies(group_rows=64)).collect()
+        assert {r["component_id"] for r in got} == {0} and sum(shipped) <= 2 * n
+
+
 def test_empty_tables(make):
     none = make([])
     assert suffixes.dedup_substrings(none).count() == 0

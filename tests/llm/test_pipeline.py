@@ -12,6 +12,7 @@ from motifloom.llm import lines, queries, toxicity
 from motifloom.llm.queries import ORACLE_SQL, QUERIES
 
 from ..conftest import TINY
+from .conftest import prose
 from .test_dedup import alike, brute_lines, shingle_set
 from .test_kernels import groups
 from .test_text import brute_leaks, naive_features
@@ -29,6 +30,17 @@ def test_stages(spark):
     assert all(r.round_trip for r in last)
 
 
+def least_of_groups(rows):
+    """The rows with the smallest id of their group of near copies."""
+    sets = [shingle_set(t) for _, t in rows]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if alike(sets[a], sets[b])]
+    least = defaultdict(lambda: 10**9)
+    label = groups(pairs, len(sets))
+    for i, g in enumerate(label):
+        least[g] = min(least[g], rows[i][0])
+    return [x for x, g in zip(rows, label, strict=True) if x[0] == least[g]]
+
+
 def naive_stages(spark, docs, sf_dir):
     """What each stage keeps of ``(doc_id, text)`` rows, plainly: rows after each stage, and the token ids."""
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -36,13 +48,10 @@ def naive_stages(spark, docs, sf_dir):
     odds = {t: model.bias + sum(model.weights.get(f, 0.0) for f in naive_features(t or "")) for _, t in docs}
     calm = [(d, t) for d, t in docs if 1 / (1 + np.exp(-odds[t])) < 0.5]
     cleaned = brute_lines(calm, lines.Tree())
-    sets = [shingle_set(t) for _, t in cleaned]
-    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if alike(sets[a], sets[b])]
-    least = defaultdict(lambda: 10**9)
-    label = groups(pairs, len(sets))
-    for i, g in enumerate(label):
-        least[g] = min(least[g], cleaned[i][0])
-    single = [x for x, g in zip(cleaned, label, strict=True) if x[0] == least[g]]
+    once = least_of_groups(cleaned)
+    whole = dict(docs)
+    stay = {d for d, _ in least_of_groups([(d, whole[d]) for d, _ in once])}
+    single = [x for x in once if x[0] in stay]
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     leaks = {d: n for d, _, n, _ in brute_leaks(single, items, 10)}
     fair = [x for x in single if not leaks[x[0]]]
@@ -78,6 +87,17 @@ def test_stages_take_odd_tables(spark, make, odd_rows):
     assert ids.count(None) == 2 and 5 not in ids and 7 not in ids  # copies go, rows without an id stay
 
 
+def test_near_dedup_knows_copies_that_line_dedup_cut(spark, tmp_path):
+    """Of a later copy only the lines that differ are left; it goes, a clean one with as little left stays."""
+    body = [f"line {chr(97 + i)} says {prose(i, 12)}" for i in range(12)]
+    whole = [(1, "\n".join(body)), (2, "\n".join([*body[:11], "its own last words"])), (3, prose(50, 80)), (4, None), (7, prose(51, 40) + "\nits own last words")]
+    now = [(1, whole[0][1]), (2, "its own last words"), (3, whole[2][1]), (4, None), (7, "something else that never was there")]
+    schema = "doc_id long, text string"
+    spark.createDataFrame(whole, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(now, schema), str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4, 7]
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, TINY).select("doc_id", "text", "n_chars").collect()
     assert got and all(r.n_chars == len(r.text) for r in got)
