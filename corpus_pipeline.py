@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from motifloom.llm import bpe, copies as near, decontaminate, lines, toxicity
 from motifloom.llm.queries import table, tokenizer
-from motifloom.session import let_workers_import, store
+from motifloom.session import exists, let_workers_import, scratch, store
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -42,12 +42,32 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
 
 
+def entered(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, text)`` of ``docs`` as they entered the pipeline, if all lines that they have now come from there."""
+    whole = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole")).where("doc_id is not null and whole is not null")
+    both = docs.select("doc_id", "text").join(whole.hint("merge"), "doc_id", "left")
+    left = F.array_except(F.split(F.coalesce("text", F.lit("")), "\n"), F.concat(F.split("whole", "\n"), F.array(F.lit(""))))
+    return both.select("doc_id", F.when(F.size(left) == 0, F.col("whole")).otherwise(F.col("text")).alias("text"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near copies stays: five-word shingles, similarity 0.8."""
+    """The smallest id of each group of near copies stays: five-word shingles, similarity 0.8.
+
+    Texts are compared as they are now; those that stay, once more as they
+    entered the pipeline, as line dedup leaves of a later copy only the lines in
+    which it differs. Where ``sf_dir`` has no documents, they are only compared
+    as they are now.
+    """
     let_workers_import(spark)
-    groups = near.near_copies(docs)
-    copies = groups.where("component_id <> doc_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    copies = near.near_copies(docs).where("component_id <> doc_id").select("doc_id")
+    if not exists(spark, f"{sf_dir}/documents.parquet"):
+        return docs.join(copies.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    with scratch(spark):
+        stay = docs.join(copies.hint("merge"), "doc_id", "left_anti")
+        whole = store(entered(spark, stay, sf_dir), "whole-texts").read()
+        groups = near.near_copies(whole)
+    again = groups.where("component_id <> doc_id").select("doc_id")
+    return docs.join(copies.union(again).hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
