@@ -11,6 +11,10 @@ of one array, and a round performs one merge in each of them. Longer pieces
 have a tree each. Pieces repeat much, so each worker keeps a bounded memo.
 
 Vocabulary files hold a line ``base64(token) rank`` each.
+
+A null or empty text has no tokens. Each row is encoded by itself, so rows and ids
+may repeat, and an empty table gives an empty one. Texts of any length are
+encoded whole.
 """
 
 from __future__ import annotations
