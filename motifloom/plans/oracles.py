@@ -11,7 +11,7 @@ from itertools import permutations
 
 from motifloom.functions import atlas
 from motifloom.operators.walks import MODULUS, MULTIPLIER, SKIPPED
-from motifloom.plans.queries import DAYS, SEED, SIMS, STEPS, SWEEP, TRUTH_LINES
+from motifloom.plans.queries import DAYS, SEED, SIMS, STEPS, SWEEP
 
 _PAIR = f"""
   select distinct x.l_orderkey as g, x.l_partkey as u, y.l_partkey as v from lineitem x join lineitem y
@@ -277,11 +277,10 @@ select variant, STEPS::bigint as steps, type, round(avg(estimate), 6) as RV, rou
 from est join (select type, count(*)::double as cnt from typed3 group by type) using (type) group by variant, type
 """
 
-_TRUTH = "select * from (" + " union all ".join(
-    f"select '{name}' as graph, 3 as k, {i} as type, {n}::bigint as cnt"
-    for name in ("a.txt", "b.txt")
-    for i, n in enumerate(next(x for x in TRUTH_LINES if x.split("\t")[0].replace("\\", "/").endswith("/" + name)).split()[1:])
-) + ")"
+_NODE_TRUTH = """, closed as (select x.u, count(*) // 2 as t from adj x join adj y on x.u = y.u join adj z on z.u = x.v and z.v = y.v group by x.u),
+both_counts as (select deg.u, d * (d - 1) // 2 - coalesce(t, 0) as wedges, coalesce(t, 0) as t from deg left join closed using (u))
+select u || '.txt' as graph, 3 as k, 0 as type, wedges::bigint as cnt from both_counts union all select u || '.txt', 3, 1, t::bigint from both_counts
+"""
 
 _SIDES = "sides as materialized (select e.u, e.v, x, case sum(b) when 1 then -1 when 3 then 0 else 1 end as side from (select e.u, e.v, a.v as x, 1 as b from e join adj a on a.u = e.u and a.v <> e.v union all select e.u, e.v, a.v, 2 from e join adj a on a.u = e.v and a.v <> e.u) e group by e.u, e.v, x)"
 
@@ -387,6 +386,9 @@ from value join exact using (type) group by variant, type"""
 
 _SCAN = f"select 3 * count(*) as n_raw, count(*) as loops, 2 * count(*) as n_kept, count(distinct (u, v)) as n_edges from ({_PAIR})"
 
+#: ``(k, type, cnt)`` of all sizes.
+_SIZES = " union all ".join(f"select {k} as k, type, cnt from ({_GRAPH}{_typed(k)} {_counts(k)})" for k in (3, 4, 5))
+
 ORACLE_SQL: dict[str, str] = {
     "edge_list": f"with recursive{_RAW} select u, v from raw",
     "scan_stats": _SCAN,
@@ -413,9 +415,9 @@ ORACLE_SQL: dict[str, str] = {
     "edge_order": f"{_GRAPH} select row_number() over (order by a.d + b.d desc, e.u desc, e.v desc) - 1 as place, e.u, e.v, a.d + b.d as bound from e join deg a on a.u = e.u join deg b on b.u = e.v",
     "reweight4": f"{_GRAPH}{_typed(4)} {_REWEIGHT}",
     "report4": f"{_GRAPH}{_typed(4)} select type, rpad(name, 20, ' ') || lpad(cnt::varchar, 20, ' ') || lpad(printf('%.6f', cnt::double / (select count(*) from typed4)), 12, ' ') as line from ({_counts(4)})",
-    "constants": f"select * from ({_values(list(CONSTANTS))}) c(k, type, signature, beta, walk_div, phi, parts, reweight)",
+    "constants": f"select c.*, coalesce(n.cnt, 0)::bigint as cnt from ({_values(list(CONSTANTS))}) c(k, type, signature, beta, walk_div, phi, parts, reweight) left join ({_SIZES}) n on n.k = c.k and n.type = c.type",
     "text_scan": _SCAN,
-    "truth_table": " union all ".join(f"select 'shipped' as graph, {k} as k, type, cnt from ({_GRAPH}{_typed(k)} {_counts(k)})" for k in (3, 4, 5)),
+    "truth_table": f"select 'shipped' as graph, k, type, cnt from ({_SIZES})",
     "metric_log": _metric_log(),
     "count_sweep": " union all ".join(f"select * from ({_metrics(n, SEED + i)})" for i, n in enumerate(SWEEP)),
     "unit_errors": f"{_GRAPH}{_estimates(3)} select variant, type, round(sqrt(avg(pow(estimate / cnt - 1, 2))), 6) as NRMSE from est join (select type, count(*)::double as cnt from typed3 group by type) using (type) group by variant, type",
@@ -437,7 +439,7 @@ ORACLE_SQL: dict[str, str] = {
     "walk_trace": f"{_GRAPH}{_walk('adj', STEPS)} select sim, step, node from walk",
     "edges_hat": f"{_GRAPH}{_walk('adj', STEPS + 1)} select sim, round((select count(*) from deg)::double * count(*) / sum(1.0::double / d) / 2, 6) as e_hat from walk join deg on node = deg.u group by sim",
     "error_metrics": _metrics(),
-    "truth_lookup": _TRUTH,
+    "truth_lookup": _GRAPH + _NODE_TRUTH,
 }
 for _k in (3, 4, 5):
     _total = f"(select count(*) from typed{_k})"

@@ -156,8 +156,11 @@ def unit_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The constants of each type beside the number of its sets in the graph."""
     rows = atlas.constants()
-    return atlas.table(spark, rows, list(rows[0]))
+    found = [exact_counts(spark, sf_dir, k).select(F.lit(k).alias("k"), "type", "cnt") for k in (3, 4, 5)]
+    sizes = found[0].union(found[1]).union(found[2])
+    return atlas.table(spark, rows, list(rows[0])).join(sizes, ["k", "type"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,13 +178,20 @@ def concentration_metrics(spark: SparkSession, sf_dir: str, k: int = 4) -> DataF
     return estimate.error_metrics(ours.union(base), exact, by=("variant",))
 
 
-TRUTH_LINES = ("/data/a.txt\t 7\t 1\t", "C:\\data\\b.txt\t 9\t 2\t", "other/a.txt\t 8\t 3\t", "")
+def truth_lines(g: Graph) -> DataFrame:
+    """``(line_no, line)``: each node's open wedges and triangles as truth of a file named after it, then a stale line of zeros, and empty lines."""
+    t = F.coalesce("t", F.lit(0))
+    wedges = F.expr("d * (d - 1) div 2") - t
+    lines = F.array(F.concat(F.lit("C:\\data\\"), "u", F.lit(".txt\t "), wedges, F.lit("\t "), t, F.lit("\t")), F.concat(F.lit("old/"), "u", F.lit(".txt\t 0\t 0\t")), F.lit(""))
+    both = g.degree.join(g.node_triangles, "u", "left")
+    return both.select("u", F.posexplode(lines).alias("i", "line")).select((F.col("u") * 3 + F.col("i")).alias("line_no"), "line")
 
 
 def truth_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame(list(enumerate(TRUTH_LINES)), "line_no long, line string")
-    known = truth.parse_truth(lines)
-    return truth.lookup(known, "/x/a.txt").union(truth.lookup(known, "b.txt")).select("graph", F.lit(3).alias("k"), "type", "cnt")
+    """The truth of each node's file, asked for by a path with the other kind of slash."""
+    g = prepared(spark, sf_dir)
+    asked = g.degree.select(F.concat(F.lit("/x/"), "u", F.lit(".txt")).alias("path"))
+    return truth.lookup_all(truth.parse_truth(truth_lines(g)), asked).select("graph", F.lit(3).alias("k"), "type", "cnt")
 
 
 def _on_graph(f: Callable[[Graph], DataFrame]) -> Query:

@@ -23,11 +23,21 @@ def parse_truth(lines: DataFrame) -> DataFrame:
     return parts.select(graph_name(F.col("p")[0]).alias("graph"), "line_no", F.posexplode(numbers).alias("type", "cnt"))
 
 
+def first_lines(truth: DataFrame) -> DataFrame:
+    """``(graph, type, cnt)`` of the first line of each graph."""
+    first = Window.partitionBy("graph").orderBy("line_no")
+    return truth.withColumn("r", F.dense_rank().over(first)).where("r = 1").select("graph", "type", "cnt")
+
+
 def lookup(truth: DataFrame, graph: str) -> DataFrame:
     """``(graph, type, cnt)`` of the first line for a graph, given by name or path."""
     name = graph.replace("\\", "/").rsplit("/", 1)[-1]
-    first = Window.partitionBy("graph").orderBy("line_no")
-    return truth.where(F.col("graph") == name).withColumn("r", F.dense_rank().over(first)).where("r = 1").select("graph", "type", "cnt")
+    return first_lines(truth.where(F.col("graph") == name))
+
+
+def lookup_all(truth: DataFrame, asked: DataFrame) -> DataFrame:
+    """The same for every graph of ``asked(path)``; once for each name, nothing for unknown ones or null."""
+    return first_lines(truth.join(asked.select(graph_name(F.col("path")).alias("graph")), "graph", "left_semi"))
 
 
 def write_truth(counts: DataFrame, graph: str, k: int, path: str) -> None:
