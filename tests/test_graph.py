@@ -264,6 +264,9 @@ def test_truth_files(spark, tmp_path):
     path.write_text("/a/one.txt\t 5\t 2\t\n\\b\\two.txt\t 1\t 0\t\n/c/one.txt\t 9\t 9\t\n")
     known = truth.read_truth(spark, str(path))
     assert [tuple(r) for r in truth.lookup(known, "x/one.txt").orderBy("type").collect()] == [("one.txt", 0, 5), ("one.txt", 1, 2)]
+    asked = spark.createDataFrame([("x/one.txt",), ("y\\\\one.txt",), ("none.txt",), (None,)], "path string")
+    assert sorted(map(tuple, truth.lookup_all(known, asked).collect())) == [("one.txt", 0, 5), ("one.txt", 1, 2)]
+    assert truth.lookup_all(known.where("false"), asked).count() == 0
     out = str(tmp_path / "t")
     for n in (3, 4):
         truth.write_truth(spark.createDataFrame([(0, n)], "type int, cnt long"), "g", 3, out)
