@@ -285,3 +285,33 @@ def test_unknown_sizes(spark):
         estimate.estimate(g, walks.walk(g.adj, 4, 2), 6)
     with pytest.raises(ValueError):
         sets.connected_sets(g, 1)
+
+
+@pytest.mark.parametrize("k", [None, 5])
+def test_walks_bring_no_adjacency_to_the_driver(spark, monkeypatch, k):
+    """Neighbour lists are read by the tasks, which may forget and read them again."""
+    pairs = [(i, (i * 7 + j) % 400) for i in range(400) for j in (1, 3, 11) if i != (i * 7 + j) % 400]
+    g = Graph.from_raw(frame(spark, pairs))
+    run = lambda: sorted(map(tuple, (walks.walk(g.adj, 30, 6) if k is None else walks.state_walk(g.adj, k, 30, 6)).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(type(g.adj), "toPandas", lambda self: pytest.fail("the graph went to the driver"))
+        m.setattr(spark.sparkContext, "broadcast", lambda *a: pytest.fail("the graph was broadcast"))
+        m.setattr(walks, "GROUP_BYTES", 1)
+        m.setattr(walks, "HELD", 50)
+        got = run()
+    assert got == run()
+    assert len(got) == 6 * (30 if k is None else 31)
+    if k is None:  # replayed
+        near = {}
+        for u, v in sorted(map(tuple, g.adj.collect())):
+            near.setdefault(u, []).append(v)
+        for sim in range(6):
+            state = 1 + (sim * 7919 + 42) % (walks.MODULUS - 1)
+            for _ in range(walks.SKIPPED + 1):
+                state = state * walks.MULTIPLIER % walks.MODULUS
+            node, path = sorted(near)[state % len(near)], []
+            for step in range(30):
+                path.append((sim, step, node))
+                state = state * walks.MULTIPLIER % walks.MODULUS
+                node = near[node][state % len(near[node])]
+            assert path == got[sim * 30 : sim * 30 + 30]
