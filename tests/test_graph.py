@@ -315,3 +315,32 @@ def test_walks_bring_no_adjacency_to_the_driver(spark, monkeypatch, k):
                 state = state * walks.MULTIPLIER % walks.MODULUS
                 node = near[node][state % len(near[node])]
             assert path == got[sim * 30 : sim * 30 + 30]
+
+
+def test_components_by_sides_first(spark, monkeypatch):
+    """Dense graphs whose least and greatest neighbours don't link all that belongs together."""
+    from motifloom.operators import components as cc
+
+    first = [(i, j) for i in range(0, 60, 2) for j in range(i + 2, 60, 2)]
+    second = [(i, j) for i in range(1, 61, 2) for j in range(i + 2, 61, 2)]
+    joined = [(100 + a, 100 + b) for a, b in [*first, *second]] + [(120, 131)]
+    pairs = [*first, *second, *joined, (500, 501)]
+    rounds = []
+    real = cc._rooted
+    monkeypatch.setattr(cc, "_rooted", lambda rows: rounds.append(rows.count()) or real(rows))
+    got = dict(map(tuple, cc.components(frame(spark, pairs).toDF("u", "v")).collect()))
+    assert got == {**dict.fromkeys(range(0, 60, 2), 0), **dict.fromkeys(range(1, 61, 2), 1), **dict.fromkeys(range(100, 160), 100), 500: 500, 501: 500}
+    assert len(rounds) == 2 and rounds[0] < len(pairs) / 4 and rounds[1] == 1
+
+
+def test_edges_of_a_graph_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    raw = frame(spark, CYCLE + [(7, 8)]).mapInPandas(count, "src long, dst long")
+    assert Graph.from_raw(raw).edge.count() == 6
+    assert made.value == 7
