@@ -344,3 +344,19 @@ def test_edges_of_a_graph_are_made_once(spark):
     raw = frame(spark, CYCLE + [(7, 8)]).mapInPandas(count, "src long, dst long")
     assert Graph.from_raw(raw).edge.count() == 6
     assert made.value == 7
+
+
+@pytest.mark.parametrize("k", [3, 4, 5])
+def test_sets_are_made_once(spark, k):
+    """Each set once, without a shuffle that tells sets apart; numbered pairs of states are those of joined unions."""
+    hub = [(0, i) for i in range(1, 9)] + [(1, 2), (2, 3), (3, 1), (4, 9), (9, 10), (10, 5), (7, 8)]
+    g = Graph.from_raw(frame(spark, hub))
+    whole = sets.connected_sets(g, k)
+    assert "hashpartitioning(nodes" not in whole._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r.nodes) for r in whole.collect()]
+    assert len(got) == len(set(got)) == sum(brute_types(11, hub, k))
+    assert all(list(n) == sorted(n) for n in got)
+    named = graph.ranked(sets.connected_sets(g, k - 1), "nodes")
+    place = {tuple(r.nodes): r.id for r in named.collect()}
+    joined = sets.state_pairs(named.select("nodes", "id"), sets.with_type(whole, k)).collect()
+    assert sorted((place[tuple(r.s)], place[tuple(r.t)], r.type) for r in joined) == sorted(map(tuple, sets.numbered_state_pairs(named, g, k).collect()))
