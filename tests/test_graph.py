@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from motifloom.functions import atlas, equations
-from motifloom.operators import estimate, experiments, four, graph, orbits, sets, walks
+from motifloom.operators import blocks, estimate, experiments, four, graph, orbits, sets, walks
 from motifloom.operators.components import components
 from motifloom.operators.graph import Graph
 from motifloom.sources import edges, truth
@@ -360,3 +360,16 @@ def test_sets_are_made_once(spark, k):
     place = {tuple(r.nodes): r.id for r in named.collect()}
     joined = sets.state_pairs(named.select("nodes", "id"), sets.with_type(whole, k)).collect()
     assert sorted((place[tuple(r.s)], place[tuple(r.t)], r.type) for r in joined) == sorted(map(tuple, sets.numbered_state_pairs(named, g, k).collect()))
+
+
+def test_common_neighbours_by_blocks(spark, monkeypatch):
+    """By pairs of blocks all is as by joins, and no wedges are joined."""
+    monkeypatch.setattr(blocks, "ENTRIES", 80)
+    rng = np.random.default_rng(5)
+    pairs = [(a, b) for a, b in combinations(range(30), 2) if rng.random() < 0.3] + [(0, i) for i in range(1, 50)] + [(49, 50)]
+    joined = Graph.from_raw(frame(spark, pairs))
+    ours = Graph(joined.edge, by_blocks=True)
+    assert "Join" not in ours.support._jdf.queryExecution().executedPlan().toString()
+    for what in ("support", "triangles", "node_triangles", "pairs_of_paths"):
+        assert sorted(map(tuple, getattr(ours, what).collect())) == sorted(map(tuple, getattr(joined, what).collect())), what
+    assert graph.line_triangle(Graph(joined.edge.limit(0), by_blocks=True)).collect()[1].cnt == 0
