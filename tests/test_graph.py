@@ -373,3 +373,11 @@ def test_common_neighbours_by_blocks(spark, monkeypatch):
     for what in ("support", "triangles", "node_triangles", "pairs_of_paths"):
         assert sorted(map(tuple, getattr(ours, what).collect())) == sorted(map(tuple, getattr(joined, what).collect())), what
     assert graph.line_triangle(Graph(joined.edge.limit(0), by_blocks=True)).collect()[1].cnt == 0
+
+
+def test_no_table_of_nodes_is_broadcast(spark):
+    """Degrees, ids and edges are small on disk at sizes where they fill a driver; joins don't send them through it."""
+    pairs = spark.createDataFrame(TINY_GRAPHS["grid"][0], "u long, v long")
+    g = Graph(pairs)
+    for made in (g.with_degrees, g.clustering, g.triangles, estimate.visited(g, pairs.toDF("sim", "node"))):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
