@@ -381,3 +381,23 @@ def test_no_table_of_nodes_is_broadcast(spark):
     g = Graph(pairs)
     for made in (g.with_degrees, g.clustering, g.triangles, estimate.visited(g, pairs.toDF("sim", "node"))):
         assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_groups_take_no_join(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 7), (1, 5), (1, 6), (2, 5), (2, 5), (None, 1), (3, None), (3, 8), (3, 9)], "g long, m long")
+    pairs = edges.from_pairs(rows, "g", "m")
+    assert sorted(map(tuple, pairs.collect())) == [(5, 6), (5, 7), (6, 7), (8, 9)]
+    shipped = edges.shipped_together(spark, "/root/testdata/sf0.001")
+    for df in (pairs, shipped):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dense_edges_of_one_component_are_not_joined_to_roots(spark, monkeypatch):
+    from motifloom.operators import components as cc
+
+    joined, real = [], cc._joined
+    monkeypatch.setattr(cc, "_joined", lambda *a: joined.append(1) or real(*a))
+    for apart, expected in ((0, []), (100, [1])):
+        pairs = [(a + apart * b, c + apart * b) for b in (0, 1) for a in range(30) for c in range(a + 1, 30)]
+        of = {r.node: r.component for r in cc.components(frame(spark, pairs).toDF("u", "v")).collect()}
+        assert of == {n + apart * b: apart * b for b in (0, 1) for n in range(30)} and joined == expected
