@@ -21,7 +21,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -263,20 +263,41 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple[str, int]]:
-    """At most ``per_class`` labelled texts of each class, by the least hashes of their ids."""
-    usable = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
+    """``(doc_id, text, toxic)`` of at most ``per_class`` labelled texts of each class, by the least hashes of their ids."""
+    usable = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     usable = usable.where(fold(F.col("doc_id")) != 0)
     chosen = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.per_class) for y in (0, 1)]
     few = chosen[0].union(chosen[1])  # bounded: 2 * per_class rows of two numbers
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
-    got = rows.orderBy("doc_id", "text").select("text", "toxic").toLocalIterator(prefetchPartitions=True)
-    return [(r.text, int(r.toxic)) for r in got]
+    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
+
+
+def _fitted(s: Settings) -> Callable[[pa.Table], pa.Table]:
+    """Arrow function (doc_id, text, toxic) -> the model fitted on these rows, as text."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        model = fit(list(zip(table["text"].to_pylist(), table["toxic"].to_pylist(), strict=True)), s)
+        return pa.table({"model": pa.array([_packed(model)])})
+
+    return run
+
+
+def _packed(model: Model) -> str:
+    return json.dumps([model.weights, model.bias, model.prefixes])
+
+
+def _unpacked(packed: str) -> Model:
+    weights, bias, prefixes = json.loads(packed)
+    return Model(weights, bias, tuple(prefixes))
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
+    """The model of the labelled rows. They are bounded, and fitted in a task: the driver gets the weights alone."""
     s = settings or Settings()
-    return fit(training_rows(docs, labels, s), s)
+    let_workers_import(docs.sparkSession)
+    got = training_rows(docs, labels, s).groupBy(F.lit(0).alias("all")).applyInArrow(_fitted(s), "model string").collect()
+    return _unpacked(got[0].model) if got else fit([], s)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -285,11 +306,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     names = [c for c in docs.columns if c not in ("score", "predicted", "_text")]
     rows = docs.select(*names, F.col(text_col).cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    packed = json.dumps([model.weights, model.bias, model.prefixes])
+    packed = _packed(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias, prefixes = json.loads(packed)
-        mine = Model(weights, bias, tuple(prefixes))
+        mine = _unpacked(packed)
         for batch in small_batches(batches, len(names)):
             scores = [mine.score(t or "") for t in batch.column(len(names)).to_pylist()]
             kept = [batch.column(i) for i in range(len(names))]

@@ -328,3 +328,15 @@ def test_following(spark):
     values = sorted({rng.randrange(-(2**62), 2**62) for _ in range(200)} | {0, 1, 2, 2**18, 2**36, 2**36 + 1})
     got = dict(map(tuple, digests.following(spark.createDataFrame([(v,) for v in values], "x long")).collect()))
     assert got == dict(zip(values, [*values[1:], None], strict=True))
+
+
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{'vile rotten' if i % 2 else 'kind gentle'} words here {i}") for i in range(200)], "doc_id long, text string").repartition(5)
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) as toxic")
+    s = toxicity.Settings(carriers=2, rounds=50)
+    rows = toxicity.training_rows(docs, labels, s).orderBy("doc_id", "text").collect()
+    here = toxicity.fit([(r.text, r.toxic) for r in rows], s)
+    fitted: list = []
+    monkeypatch.setattr(toxicity, "examples", lambda *a: fitted.append(1))
+    there = toxicity.train(docs, labels, s)
+    assert not fitted and here.weights and (there.weights, there.bias, there.prefixes) == (here.weights, here.bias, here.prefixes)
