@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.llm.kernels import as_bytes, chunks, give_back, mix, signed, small_batches
+from motifloom.llm.kernels import as_bytes, chunks, give_back, mix, signed, small_batches, stars
 from motifloom.llm.simhash import SimHash, bucket_links, fingerprint_hashes, shingle_hashes
 from motifloom.llm.skew import cells
 from motifloom.operators.components import components
@@ -85,15 +85,15 @@ def _marks(spec: Copies):
 
 
 def _sets(spec: Copies):
-    """Arrow function (cells, node, text) -> (cells, node, set)."""
+    """Arrow function (node, text) -> (node, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 2):
-            texts = [as_bytes(t) for t in batch.column(2).to_pylist()]
+        for batch in small_batches(batches, 1):
+            texts = [as_bytes(t) for t in batch.column(1).to_pylist()]
             for a, b in chunks(map(len, texts)):
                 hashes, first = shingle_hashes(texts[a:b], spec.shingle)
                 sets = pa.array([hashes[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in range(2)], sets], ["cells", "node", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets], ["node", "set"])
 
     return run
 
@@ -128,12 +128,12 @@ def set_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], lis
 
 
 def _set_links(spec: Copies):
-    """Arrow function over rows (key, cell, node, set) sorted by key and cell: links within each run."""
+    """Arrow function over rows (key, cell, node, set) sorted by key and cell: links of each run, from the nodes of a class to its least."""
 
     def emit(nodes: list[int], sets: list[bytes]) -> pa.RecordBatch:
         i, j = set_links([np.frombuffer(s, np.uint64) for s in sets], spec.similarity) if len(sets) > 1 else ([], [])
         at = np.array(nodes, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(at[np.array(x, np.int64)]) for x in (i, j)], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*[at[np.array(x, np.int64)] for x in (i, j)])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets = None, [], []
@@ -154,33 +154,36 @@ def _set_links(spec: Copies):
     return run
 
 
-def compared(rows: DataFrame, dealt: DataFrame, spec: Copies) -> Stored:
-    """Links ``(u, v)`` with the similarity between ``rows(doc_id, text)`` that meet in a cell of ``dealt(key, cell, node)``."""
-    wanted = dealt.groupBy("node").agg(F.collect_list(F.struct(F.col("key"), F.col("cell").cast("long").alias("cell"))).alias("cells"))
-    wanted = store(wanted, "copy-cells").read().withColumnRenamed("node", "doc_id")
+def stored_sets(rows: DataFrame, nodes: DataFrame, spec: Copies) -> DataFrame:
+    """``(node, set)`` of the texts of ``rows(doc_id, text)`` that ``nodes(node)`` names: all texts are dealt out once, later turns read their sets."""
     # Such lists grow with the corpus, so they are joined by a shuffle at every size.
-    found = rows.join(wanted.hint("merge"), "doc_id").select("cells", "doc_id", "text")
-    sets = found.mapInArrow(_sets(spec), "cells array<struct<key:long,cell:long>>, node long, set binary")
-    sets = sets.select(F.explode("cells").alias("at"), "node", "set").select("at.key", "at.cell", "node", "set").repartition("key", "cell")
-    return store(sets.sortWithinPartitions("key", "cell").mapInArrow(_set_links(spec), "u long, v long"), "copy-links")
+    found = rows.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id").select("doc_id", "text")
+    return store(found.mapInArrow(_sets(spec), "node long, set binary"), "copy-sets").read()
+
+
+def compared(sets: DataFrame, dealt: DataFrame, spec: Copies) -> Stored:
+    """Links ``(u, v)`` that span the same classes as those with the similarity between ``sets(node, set)`` that meet in a cell of ``dealt(key, cell, node)``."""
+    cells_ = dealt.select("key", F.col("cell").cast("long").alias("cell"), "node").hint("merge")
+    met = sets.join(cells_, "node").select("key", "cell", "node", "set").repartition("key", "cell")
+    return store(met.sortWithinPartitions("key", "cell").mapInArrow(_set_links(spec), "u long, v long"), "copy-links")
 
 
-def verified_links(rows: DataFrame, groups: DataFrame, keyed: DataFrame, spec: Copies) -> DataFrame:
+def verified_links(sets: DataFrame, groups: DataFrame, keyed: DataFrame, spec: Copies) -> DataFrame:
     """Links ``(u, v)`` that span the same classes as all with the similarity inside ``groups(node, component)``.
 
-    ``rows(doc_id, text)`` has the texts, ``keyed(key, node)`` the keys that similar ones share.
+    ``sets(node, set)`` has the sets, ``keyed(key, node)`` the keys that similar ones share.
     """
     sizes = groups.groupBy("component").agg(F.count("*").alias("rows"))
     large = sizes.where(F.col("rows") > spec.group_rows).select("component", F.ceil(F.col("rows") * 2 / spec.group_rows).alias("parts"))
     large = store(large, "large-groups").read()
     small = groups.join(large.hint("merge"), "component", "left_anti")
-    links = compared(rows, small.select(F.col("component").alias("key"), F.lit(0).alias("cell"), "node"), spec).read()
+    links = compared(sets, small.select(F.col("component").alias("key"), F.lit(0).alias("cell"), "node"), spec).read()
     apart = groups.join(large.hint("merge"), "component")
     for turn in range(spec.turns):
         if apart.isEmpty():
             return links
         cell = F.pmod(F.xxhash64(F.lit(turn), "node"), "parts")
-        links = links.union(compared(rows, apart.select(F.col("component").alias("key"), cell.alias("cell"), "node"), spec).read())
+        links = links.union(compared(sets, apart.select(F.col("component").alias("key"), cell.alias("cell"), "node"), spec).read())
         found = apart.drop("class").join(components(links).withColumnRenamed("component", "class"), "node", "left")
         found = store(found.select("component", "node", "parts", F.coalesce("class", "node").alias("class")), "copy-classes").read()
         several = found.groupBy("component").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b")
@@ -190,7 +193,7 @@ def verified_links(rows: DataFrame, groups: DataFrame, keyed: DataFrame, spec: C
     shared = store(keyed.select("key", "node").join(apart.select("node", "class").hint("merge"), "node"), "keys-apart").read()
     several = shared.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b")
     shared = store(shared.join(several.select("key").hint("merge"), "key").select("key", "node"), "keys-shared").read()
-    return links.union(compared(rows, cells(shared, spec.group_rows, "node"), spec).read())
+    return links.union(compared(sets, cells(shared, spec.group_rows, "node"), spec).read())
 
 
 def near_copies(docs: DataFrame, spec: Copies | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,7 +221,7 @@ def _near_copies(rows: DataFrame, spec: Copies) -> DataFrame:
     keyed = nodes.where("s0 <> 0 or s1 <> 0").select(F.explode("keys").alias("key"), "node", "f0", "f1")
     near = bucket_links(keyed, SimHash(bits=128, radius=spec.radius, bucket_rows=spec.bucket_rows))
     groups = store(components(near.where("u <> v")), "copy-groups").read()
-    links = verified_links(rows, groups, keyed, spec)
+    links = verified_links(stored_sets(rows, groups, spec), groups, keyed, spec)
     # One id may carry several texts: link each of its sets with the least.
     several = named.join(nodes.select("s0", "s1", "node"), ["s0", "s1"]).select("doc_id", "node").distinct()
     least = several.groupBy("doc_id").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1")

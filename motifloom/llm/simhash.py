@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.llm.kernels import Words, as_bytes, chunks, mix, signed, small_batches, unsigned, xxh64
+from motifloom.llm.kernels import Words, as_bytes, chunks, mix, signed, small_batches, stars, unsigned, xxh64
 from motifloom.llm.skew import cells
 from motifloom.operators.components import components
 from motifloom.session import let_workers_import, scratch, store
@@ -254,7 +254,7 @@ def links(key: np.ndarray, words: list[np.ndarray], radius: int) -> tuple[np.nda
 
 
 def _bucket_links(spec: SimHash):
-    """Arrow function over rows (key, cell, node, f...) sorted by key and cell: links within each run."""
+    """Arrow function over rows (key, cell, node, f...) sorted by key and cell: links that span the same groups as those within each run."""
     n_words = spec.bits // 64
 
     def emit(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -262,7 +262,7 @@ def _bucket_links(spec: SimHash):
         lone = np.concatenate(([True], key[1:] != key[:-1])) & np.concatenate((key[1:] != key[:-1], [True]))
         cols, key = [c[~lone] for c in cols], key[~lone]
         i, j = links(key, [unsigned(c) for c in cols[3:]], spec.radius) if len(key) else (np.empty(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(cols[2][i]), pa.array(cols[2][j])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(cols[2][i], cols[2][j])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -285,7 +285,7 @@ def _bucket_links(spec: SimHash):
 
 
 def near_links(nodes: DataFrame, spec: SimHash) -> DataFrame:
-    """Spanning links ``(u, v)`` between ``nodes(node, f0[, f1])`` within the radius."""
+    """Links ``(u, v)`` that span the same groups as those between ``nodes(node, f0[, f1])`` within the radius."""
     let_workers_import(nodes.sparkSession)
     names = [f"f{w}" for w in range(spec.bits // 64)]
     tables = [
@@ -296,7 +296,7 @@ def near_links(nodes: DataFrame, spec: SimHash) -> DataFrame:
 
 
 def bucket_links(keyed: DataFrame, spec: SimHash) -> DataFrame:
-    """Spanning links ``(u, v)`` within the radius between rows of ``keyed(key, node, f0[, f1])`` that share a key."""
+    """Links ``(u, v)``, to a least node each, that span the same groups as those within the radius between rows of ``keyed(key, node, f0[, f1])`` that share a key."""
     names = [f"f{w}" for w in range(spec.bits // 64)]
     apart = cells(keyed, spec.bucket_rows, "node")
     dealt = apart.select("key", F.col("cell").cast("long").alias("cell"), "node", *names).repartition("key", "cell")

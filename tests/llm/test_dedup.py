@@ -368,6 +368,18 @@ def test_copies_ship_each_text_a_few_times_whatever_the_group(make, monkeypatch)
         assert {r["component_id"] for r in got} == {0} and sum(shipped) <= 2 * n
 
 
+def test_copies_deal_out_texts_once(make, monkeypatch):
+    """Later turns of a large group read the sets that the first made, not all texts again."""
+    plain, made, turns = copies._sets, [], []
+    monkeypatch.setattr(copies, "_sets", lambda spec: made.append(1) or plain(spec))
+    compared = copies.compared
+    monkeypatch.setattr(copies, "compared", lambda *a: turns.append(1) or compared(*a))
+    base = [f"word{i}" for i in range(150)]
+    rows = [(i, " ".join([*base[: i % 150], f"own{i}", *base[i % 150 :]])) for i in range(200)]
+    got = copies.near_copies(make(rows), copies.Copies(group_rows=16)).collect()
+    assert {r["component_id"] for r in got} == {0} and len(turns) > 1 and len(made) == 1
+
+
 def test_empty_tables(make):
     none = make([])
     assert suffixes.dedup_substrings(none).count() == 0

@@ -102,3 +102,18 @@ def test_longest_factors_of_awkward_text(monkeypatch):
             before, after = naive_factors(codes.tolist())
             got = suffixes.longest_factors(codes, 70)
             assert (got[0].tolist(), got[1].tolist()) == ([min(x, 70) for x in before], [min(x, 70) for x in after])
+
+
+def test_stars():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 300):
+        u, v = rng.integers(0, n, (2, n // 2))
+        got = dict(zip(*map(np.ndarray.tolist, K.stars(u, v)), strict=True))
+        label = groups(zip(u.tolist(), v.tolist(), strict=True), n)
+        least = {}
+        for i, g in enumerate(label):
+            least.setdefault(g, i)
+        assert got == {i: least[g] for i, g in enumerate(label) if least[g] != i}
+    chain = np.arange(1000)
+    node, root = K.stars(chain[1:], chain[:-1])
+    assert node.tolist() == list(range(1, 1000)) and not root.any()
