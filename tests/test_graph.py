@@ -333,6 +333,20 @@ def test_components_by_sides_first(spark, monkeypatch):
     assert len(rounds) == 2 and rounds[0] < len(pairs) / 4 and rounds[1] == 1
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    """Links to the least of each group, either way round, are components as they are; others end without a round that changes nothing."""
+    from motifloom.operators import components as cc
+
+    rounds, real = [], cc._large_star
+    monkeypatch.setattr(cc, "_large_star", lambda e: rounds.append(1) or real(e))
+    stars = [(i, 0) for i in range(1, 9)] + [(10, i) for i in range(11, 14)] + [(20, 20)]
+    for extra, expected, n in (([], {}, 0), ([(8, 13)], dict.fromkeys(range(10, 14), 0), 1)):
+        rounds.clear()
+        got = dict(map(tuple, cc.components(frame(spark, stars + extra).toDF("u", "v")).collect()))
+        assert got == {**dict.fromkeys(range(9), 0), **dict.fromkeys(range(10, 14), 10), 20: 20, **expected}
+        assert len(rounds) == 0 if not n else 1 <= len(rounds) <= 2
+
+
 def test_edges_of_a_graph_are_made_once(spark):
     made = spark.sparkContext.accumulator(0)
 
