@@ -4,10 +4,12 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from motifloom.functions import atlas, cuts
 from motifloom.operators import cuts as sums
+from motifloom.operators import lists, rooted
 from motifloom.operators.graph import Graph
 from motifloom.plans.queries import QUERIES
 
@@ -47,6 +49,38 @@ def test_orbits_against_enumeration(spark, seed, n, share):
     assert got == dict(want)
 
 
+@pytest.mark.parametrize(("seed", "n", "share"), [(3, 14, 0.5), (4, 12, 0.9)])
+def test_dense_orbits_against_enumeration(spark, monkeypatch, seed, n, share):
+    """With many neighbours a node, sums are made around each node, and only rows of edges are joined."""
+    kinds, real = set(), sums._Sums.rows
+    monkeypatch.setattr(sums._Sums, "rows", lambda self, kind, wanted: kinds.add(kind) or real(self, kind, wanted))
+    edges = linked(seed, n, share)
+    g = Graph.from_raw(spark.createDataFrame(edges, "src long, dst long"), by_blocks=True)
+    got = {(r["node"], r["orbit"]): r["cnt"] for r in sums.node_orbits(g, 5).where("orbit > 0").collect()}
+    assert got == dict(sum((plain_orbits(edges, k) for k in (3, 4, 5)), Counter())) and kinds == {"edges"}
+
+
+def test_sums_around_a_node_in_parts(monkeypatch):
+    """A node's lists are looked at a few entries at a time, and sums are whole beyond 64 bits."""
+    rng = np.random.default_rng(6)
+    link = np.triu(rng.random((40, 40)) < 0.4, 1)
+    link |= link.T
+    start, flat = np.concatenate(([0], np.cumsum(link.sum(1)))), np.nonzero(link)[1].astype(np.int32)
+    on = np.concatenate([rooted._Around(start, flat, flat).triangles(r) for r in range(40)])
+    whole = [rooted._Around(start, flat, on).sums(r) for r in range(40)]
+    monkeypatch.setattr(lists, "AT_ONCE", 16)
+    around = rooted._Around(start, flat, np.concatenate([rooted._Around(start, flat, flat).triangles(r) for r in range(40)]))
+    for (row, edges, five), (row2, edges2, five2) in zip(whole, map(around.sums, range(40)), strict=True):
+        assert (row, five) == (row2, five2) and all((edges[c] == edges2[c]).all() for c in edges)
+    assert rooted._total(np.array([1 << 40]), np.array([1 << 40])) == 1 << 80
+
+
+def test_dense_star_with_a_hub(spark):
+    g = Graph.from_raw(spark.createDataFrame([(0, i) for i in range(1, 3_001)], "src long, dst long"), by_blocks=True)
+    got = {r["name"]: r["cnt"] for r in sums.graphlet5(g).collect()}
+    assert got["4-star"] == sum(got.values()) == 3_000 * 2_999 * 2_998 * 2_997 // 24
+
+
 def test_star_with_a_hub(spark):
     """A hub of 3,000 leaves, some of them linked in pairs: closed forms, and no set is listed."""
     n, pairs = 3_000, 50
