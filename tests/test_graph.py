@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from motifloom.functions import atlas, equations
-from motifloom.operators import blocks, estimate, experiments, four, graph, orbits, sets, walks
+from motifloom.operators import blocks, estimate, experiments, four, graph, lists, orbits, sets, walks
 from motifloom.operators.components import components
 from motifloom.operators.graph import Graph
 from motifloom.sources import edges, truth
@@ -415,3 +415,21 @@ def test_dense_edges_of_one_component_are_not_joined_to_roots(spark, monkeypatch
         pairs = [(a + apart * b, c + apart * b) for b in (0, 1) for a in range(30) for c in range(a + 1, 30)]
         of = {r.node: r.component for r in cc.components(frame(spark, pairs).toDF("u", "v")).collect()}
         assert of == {n + apart * b: apart * b for b in (0, 1) for n in range(30)} and joined == expected
+
+
+def test_common_neighbours_of_blocks_that_tasks_read(spark, monkeypatch):
+    """Nothing is sent for them, and all is as by joins, and as by pairs of blocks where tasks can't open the shared folder."""
+    monkeypatch.setattr(lists, "GROUP_BYTES", 1 << 10)
+    monkeypatch.setattr(blocks, "HELD", 500)
+    rng = np.random.default_rng(5)
+    pairs = [(a, b) for a, b in combinations(range(400), 2) if rng.random() < 0.05] + [(0, i) for i in range(1, 401)]
+    joined = Graph.from_raw(frame(spark, pairs))
+    read, sent = Graph(joined.edge, by_blocks=True), Graph(joined.edge, by_blocks=True)
+    sent.__dict__["lists"] = None
+    assert len(read.lists.runs(500)) > 3 and read.by_lists and not sent.by_lists
+    for what in ("support", "triangles", "pairs_of_paths"):
+        assert sorted(map(tuple, getattr(read, what).collect())) == sorted(map(tuple, getattr(joined, what).collect())) == sorted(map(tuple, getattr(sent, what).collect())), what
+    assert "Exchange" not in read.support._jdf.queryExecution().executedPlan().toString()
+    for f in (four.graphlet4, graph.line_triangle, graph.global_clustering):
+        assert f(read).collect() == f(joined).collect() == f(sent).collect()
+    assert [r.cnt for r in four.graphlet4(Graph(joined.edge.limit(0), by_blocks=True)).collect()] == [0] * 6
