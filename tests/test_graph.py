@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from motifloom.functions import atlas, equations
-from motifloom.operators import blocks, estimate, experiments, four, graph, lists, orbits, sets, walks
+from motifloom.operators import blocks, estimate, experiments, four, frames, graph, lists, orbits, sets, walks
 from motifloom.operators.components import components
 from motifloom.operators.graph import Graph
 from motifloom.sources import edges, truth
@@ -433,3 +433,26 @@ def test_common_neighbours_of_blocks_that_tasks_read(spark, monkeypatch):
     for f in (four.graphlet4, graph.line_triangle, graph.global_clustering):
         assert f(read).collect() == f(joined).collect() == f(sent).collect()
     assert [r.cnt for r in four.graphlet4(Graph(joined.edge.limit(0), by_blocks=True)).collect()] == [0] * 6
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_all_frames_are_observed_where_they_are_listed(spark, monkeypatch, k):
+    """No frame is sent, and all is as by joins, which are left for folders that tasks can't open."""
+    g = Graph.from_raw(frame(spark, [*TINY_GRAPHS["grid"][0], *((0, 100 + i) for i in range(9)), (100, 101), (100, 1)]))
+    joined = Graph(g.edge)
+    joined.__dict__["lists"] = None
+    want = sorted(map(tuple, estimate.twin(joined, k).collect()))
+    monkeypatch.setattr(estimate, "all_frames", None)
+    assert sorted(map(tuple, estimate.twin(g, k).collect())) == want and sum(r[1] for r in want) > 0
+
+
+def test_frames_in_parts(monkeypatch):
+    rng = np.random.default_rng(7)
+    link = np.triu(rng.random((20, 20)) < 0.3, 1)
+    link |= link.T
+    made = frames._Frames(np.concatenate(([0], np.cumsum(link.sum(1)))), np.nonzero(link)[1].astype(np.int32), 5)
+    add = lambda: [Counter({tuple(map(int, r[:-1])): int(r[-1]) for r in zip(*rows, strict=True)}) for rows in made.observed(np.arange(20))]
+    whole = sum(add(), Counter())
+    monkeypatch.setattr(lists, "AT_ONCE", 64)
+    parts = add()
+    assert len(parts) > 20 and sum(parts, Counter()) == whole
